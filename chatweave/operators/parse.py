@@ -168,7 +168,7 @@ def parse_messages(
     blocks = block_formats(lines, style, date_order, sample_lines, block_rows)
     typed = type_messages(assemble(lines, blocks, block_rows), resolve_offset(tz_offset))
     if mode.upper() == "FAILFAST":
-        typed = typed.withColumn(
-            "ts", F.when(F.col("_parse_error").isNull(), F.col("ts")).otherwise(F.raise_error("_parse_error"))
-        )
+        # A filter, so that it runs whichever columns are read.
+        error = F.col("_parse_error")
+        typed = typed.where(F.when(error.isNull(), F.lit(True)).otherwise(F.raise_error(error).cast("boolean")))
     return typed.withColumn("sender_id", sender_to_id(F.col("sender"), me, them)).select(*MESSAGE_COLUMNS)

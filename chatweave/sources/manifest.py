@@ -10,19 +10,19 @@ from chatweave.operators.runs import stamp
 from chatweave.sources.lines import read_lines
 
 
-def read_manifest(spark: SparkSession, folder: str, glob: str = "*.jsonl") -> DataFrame:
-    """manifest(run_id, seq, type, event_ts, file, stage, elapsed_seconds, payload).
+def parse_manifest(lines: DataFrame) -> DataFrame:
+    """manifest(run_id, seq, type, event_ts, file, stage, elapsed_seconds, payload) from
+    (run_id, line_no, line).
 
-    Lines that are not JSON are left out. ``run_id`` is the log's path below ``folder`` and ``seq``
-    its line number. Keys outside the envelope stay readable in ``payload``, the whole line.
+    Lines that are not JSON are left out. Keys outside the envelope stay readable in ``payload``,
+    the whole line.
     """
     event = F.col("_event")
     return (
-        read_lines(spark, folder, glob)
-        .withColumn("_event", F.try_parse_json("line"))
+        lines.withColumn("_event", F.try_parse_json("line"))
         .where(event.isNotNull())
         .select(
-            relative_path(F.col("path"), folder).alias("run_id"),
+            "run_id",
             F.col("line_no").alias("seq"),
             F.try_variant_get(event, "$.type", "string").alias("type"),
             F.try_variant_get(event, "$.event_ts", "timestamp").alias("event_ts"),
@@ -34,6 +34,12 @@ def read_manifest(spark: SparkSession, folder: str, glob: str = "*.jsonl") -> Da
     )
 
 
+def read_manifest(spark: SparkSession, folder: str, glob: str = "*.jsonl") -> DataFrame:
+    """All logs below a folder; ``run_id`` is a log's path below it and ``seq`` its line number."""
+    lines = read_lines(spark, folder, glob)
+    return parse_manifest(lines.withColumn("run_id", relative_path(F.col("path"), folder)))
+
+
 def append_events(events: DataFrame, folder: str) -> None:
     """Append events as JSON lines, one folder per run; events get a time if they have none."""
     stamp(events).write.mode("append").partitionBy("run_id").json(folder)
