@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from datetime import datetime, timezone
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatweave.functions import fixed_values as fv
@@ -26,66 +26,65 @@ def int_or_null(col: Column) -> Column:
     return col.try_cast("int")
 
 
-def _clock(text: Column) -> tuple[Column, Column]:
-    """(hour, minute) of a 12-hour or 24-hour clock string; nulls when it is neither."""
-    trimmed = strip(text)
-    packed = F.regexp_replace(trimmed, r"(?U)[\s.]", "")
-    is_12h = packed.rlike(fv.TIME_12H)
-    hour_12 = int_or_null(F.regexp_extract(packed, fv.TIME_12H, 1))
-    half = F.lower(F.regexp_extract(packed, fv.TIME_12H, 3))
-    hour_12 = (
-        F.when((half == "pm") & (hour_12 < 12), hour_12 + 12)
-        .when((half == "am") & (hour_12 == 12), F.lit(0))
-        .otherwise(hour_12)
-    )
-    hour = F.when(is_12h, hour_12).otherwise(int_or_null(F.regexp_extract(trimmed, fv.TIME_24H, 1)))
-    minute = F.when(is_12h, int_or_null(F.regexp_extract(packed, fv.TIME_12H, 2))).otherwise(
-        int_or_null(F.regexp_extract(trimmed, fv.TIME_24H, 2))
-    )
-    return hour, minute
-
-
-def _day_period_hour(hour: Column, period: Column) -> Column:
-    """Hour on the 24-hour clock for a Portuguese time of day.
+def with_timestamp(df: DataFrame, style: str, date_order: str, header: str, out: str) -> DataFrame:
+    """Add TIMESTAMP_NTZ ``out`` of a header line, to the minute; null when the date or time is not
+    real. Each part is a column of its own, so that no pattern runs twice on a header.
 
-    Morning words turn 12 into 0; afternoon and night words add 12 to hours below 12, so
-    '12:30 da noite' stays at 12.
+    Portuguese times name the part of the day: morning words turn 12 into 0, afternoon and night
+    words add 12 to hours below 12, so '12:30 da noite' stays at 12.
     """
-    start = F.lower(F.left(period, F.lit(3)))
-    return (
-        F.when(start.isin("mad", "man") & (hour == 12), F.lit(0))
-        .when(start.isin("tar", "noi") & (hour < 12), hour + 12)
-        .otherwise(hour)
+    pt, ios, line = F.col(style) == "pt", F.col(style) == "ios", F.col(header)
+    date = (
+        F.when(pt, F.regexp_extract(line, fv.PT_HEADER, 1))
+        .when(ios, F.regexp_extract(line, fv.IOS_HEADER, 1))
+        .otherwise(F.regexp_extract(line, fv.ANDROID_HEADER, 1))
     )
-
-
-def header_timestamp(style: Column, date_order: Column, header: Column) -> Column:
-    """TIMESTAMP_NTZ of a header line, to the minute; null when the date or time is not real."""
-
-    def part(index: dict[str, int]) -> Column:
-        return (
-            F.when(style == "pt", F.regexp_extract(header, fv.PT_HEADER, index["pt"]))
-            .when(style == "ios", F.regexp_extract(header, fv.IOS_HEADER, index["ios"]))
-            .otherwise(F.regexp_extract(header, fv.ANDROID_HEADER, index["android"]))
+    clock = F.when(ios, F.regexp_extract(line, fv.IOS_HEADER, 2)).when(
+        ~pt, F.regexp_extract(line, fv.ANDROID_HEADER, 2)
+    )
+    # For pt: 'hour:minute' and the first three letters of the part of the day.
+    pt_clock = F.when(pt, F.regexp_replace(line, fv.PT_HEADER, "$2:$3"))
+    period = F.when(pt, F.lower(F.left(F.regexp_extract(line, fv.PT_HEADER, 4), F.lit(3))))
+    packed = F.regexp_replace("_clock", r"(?U)[\s.]", "")
+    half = F.lower(F.right("_packed", F.lit(2)))
+    df = (
+        df.withColumns({"_date": F.split(date, "/"), "_clock": strip(clock), "_pt": F.split(pt_clock, ":"), "_period": period})
+        .withColumn("_packed", packed)
+        .withColumn("_12h", F.col("_packed").rlike(fv.TIME_12H))
+        .withColumn("_period", F.when(F.col("_12h"), half).otherwise(F.col("_period")))
+        .withColumn(
+            "_hm",
+            F.when(pt, F.col("_pt"))
+            .when(F.col("_12h"), F.split(F.regexp_replace("_packed", fv.TIME_12H, "$1:$2"), ":"))
+            .when(F.col("_clock").rlike(fv.TIME_24H), F.split("_clock", ":")),
         )
-
-    numbers = F.split(part({"pt": 1, "ios": 1, "android": 1}), "/")
-    first, second = (int_or_null(F.get(numbers, F.lit(i))) for i in (0, 1))
-    year = int_or_null(F.get(numbers, F.lit(2)))
-    year = F.when(year < 100, year + 2000).otherwise(year)
-    month_first = date_order == "mdy"
-    day = F.when(month_first, second).otherwise(first)
-    month = F.when(month_first, first).otherwise(second)
-
-    clock_hour, clock_minute = _clock(part({"pt": 2, "ios": 2, "android": 2}))
-    period_hour = _day_period_hour(
-        int_or_null(F.regexp_extract(header, fv.PT_HEADER, 2)),
-        F.regexp_extract(header, fv.PT_HEADER, 4),
+        .withColumns(
+            {
+                "_a": int_or_null(F.get("_date", F.lit(0))),
+                "_b": int_or_null(F.get("_date", F.lit(1))),
+                "_year": int_or_null(F.get("_date", F.lit(2))),
+                "_hour": int_or_null(F.get("_hm", F.lit(0))),
+                "_minute": int_or_null(F.get("_hm", F.lit(1))),
+            }
+        )
+    )
+    hour, mdy = F.col("_hour"), F.col(date_order) == "mdy"
+    hour = (
+        F.when(F.col("_period").isin("am", "mad", "man") & (hour == 12), F.lit(0))
+        .when(F.col("_period").isin("pm", "tar", "noi") & (hour < 12), hour + 12)
+        .otherwise(hour)
+    )
+    made = F.try_make_timestamp_ntz(
+        F.when(F.col("_year") < 100, F.col("_year") + 2000).otherwise(F.col("_year")),
+        F.when(mdy, F.col("_a")).otherwise(F.col("_b")),
+        F.when(mdy, F.col("_b")).otherwise(F.col("_a")),
+        hour,
+        F.col("_minute"),
+        F.lit(0).cast("decimal(16,6)"),
+    )
+    return df.withColumn(out, made).drop(
+        "_date", "_clock", "_pt", "_period", "_packed", "_12h", "_hm", "_a", "_b", "_year", "_hour", "_minute"
     )
-    period_minute = int_or_null(F.regexp_extract(header, fv.PT_HEADER, 3))
-    hour = F.when(style == "pt", period_hour).otherwise(clock_hour)
-    minute = F.when(style == "pt", period_minute).otherwise(clock_minute)
-    return F.try_make_timestamp_ntz(year, month, day, hour, minute, F.lit(0).cast("decimal(16,6)"))
 
 
 def iso_text(ts_local: Column, offset: str) -> Column:

@@ -21,7 +21,7 @@ CONVERTED_EXTENSIONS = ("mp3", "wav")  # best first
 def referenced_files(messages: DataFrame) -> DataFrame:
     """(chat_id, file, kind, n): distinct audio and image files with how often they are posted."""
     return (
-        messages.select("chat_id", F.explode("media").alias("m"))
+        messages.select("chat_id", F.explode_outer("media").alias("m"))
         .where(F.col("m.kind").isin(*ARTIFACT_OF))
         .groupBy("chat_id", F.col("m.file").alias("file"), F.col("m.kind").alias("kind"))
         .agg(F.count(F.lit(1)).alias("n"))

@@ -88,14 +88,14 @@ def transcribe(
     if existing is not None:
         old = existing.select(*keys, normalize_text(F.col("text")).alias("text"))
         checked = checked.unionByName(assess_quality(old).withColumn("source", F.lit("existing")))
-    flagged = retry_candidates(checked, keys, "source")
+    flagged = retry_candidates(checked, keys, "source").checkpoint()
     inputs = items if existing is None else items.unionByName(existing.drop("text"))
     again = apply_model(
         inputs.join(flagged.select(*keys), keys, "left_semi"), make_model, keys, quality_retry=True, tasks=tasks
-    ).checkpoint()
+    )
     retried = assess_quality(
         again.select(*keys, normalize_text(F.col("text")).alias("retry_text"), "error"), "retry_text"
-    )
+    ).checkpoint()
     decided = decide_retry(flagged, retried, keys)
     better = decided.where("replaced").select(*keys, F.col("retry_text").alias("text"))
     artifacts = made.join(better, keys, "left_anti").unionByName(better)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from chatweave.functions import fixed_values as fv
 from chatweave.functions.naming import guess_kind
 from chatweave.functions.text import sender_to_id, strip
-from chatweave.functions.times import header_timestamp, iso_text, month_key, resolve_offset
+from chatweave.functions.times import iso_text, month_key, resolve_offset, with_timestamp
 from chatweave.operators.blocks import BLOCK, BLOCK_ROWS, with_block
 from chatweave.operators.dialect import block_formats, is_header
 
@@ -91,11 +91,10 @@ def assemble(lines: DataFrame, blocks: DataFrame, block_rows: int = BLOCK_ROWS)
 
 def attachment_file(body: Column) -> Column:
     """File named by an attachment body, or null."""
+    # The file group cannot be empty, so an empty extract means no match.
     suffix = F.regexp_extract(body, fv.ATTACHED_SUFFIX, 1)
     tag = F.regexp_extract(body, fv.ATTACHED_TAG, 1)
-    return (
-        F.when(body.rlike(fv.ATTACHED_SUFFIX), strip(suffix)).when(body.rlike(fv.ATTACHED_TAG), strip(tag))
-    )
+    return strip(F.coalesce(F.nullif(suffix, F.lit("")), F.nullif(tag, F.lit(""))))
 
 
 def type_messages(assembled: DataFrame, offset: str) -> DataFrame:
@@ -106,15 +105,16 @@ def type_messages(assembled: DataFrame, offset: str) -> DataFrame:
         .when(style == "ios", F.regexp_extract(header, fv.IOS_HEADER, 3))
         .otherwise(F.regexp_extract(header, fv.ANDROID_HEADER, 3))
     )
-    has_sender = F.col("_rest").rlike(fv.SENDER)
+    has_sender = F.col("_has_sender")
     df = (
         assembled.withColumn("_rest", rest)
+        .withColumn("_has_sender", F.col("_rest").rlike(fv.SENDER))
         .withColumn("sender", F.when(has_sender, strip(F.regexp_extract("_rest", fv.SENDER, 1))))
         .withColumn("_body", F.when(has_sender, F.regexp_extract("_rest", fv.SENDER, 2)).otherwise(F.col("_rest")))
         .withColumn("_file", attachment_file(F.col("_body")))
         .withColumn("_kind", F.when(F.col("_file").isNotNull(), guess_kind(F.col("_file"))))
-        .withColumn("ts_local", header_timestamp(style, F.col("date_order"), header))
     )
+    df = with_timestamp(df, "style", "date_order", "source_line", "ts_local")
     own_text = F.when(F.col("_file").isNull(), F.col("_body"))
     text = F.when(own_text.isNull() & F.col("tail").isNull(), F.lit(None).cast("string")).otherwise(
         F.concat_ws("\n", own_text, F.col("tail"))

@@ -6,6 +6,8 @@ the measures share it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,36 +26,53 @@ def normalize_text(col: Column) -> Column:
 
 def tokens(col: Column) -> Column:
     """Lower-case words. Words hold no space, so one lower-casing of the joined text will do."""
-    found = F.regexp_extract_all(col, F.lit(fv.WORD), F.lit(0))
-    return F.when(F.size(found) == 0, F.array().cast("array<string>")).otherwise(
-        F.split(F.lower(F.array_join(found, " ")), " ")
-    )
+    joined = F.array_join(F.regexp_extract_all(col, F.lit(fv.WORD), F.lit(0)), " ")
+    # Splitting '' gives one empty item, which no word can be.
+    return F.array_remove(F.split(F.lower(joined), " "), "")
+
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once per row.
+
+    A lambda reads its outer expressions again for every element. Catalyst may also put the
+    definition of a column in place of its name, for example when it moves a filter down. As a
+    lambda variable the value stays computed once whatever the optimizer does.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
-def _longest_run(items: Column) -> Column:
+
+def longest_run(items: Column) -> Column:
     """Length of the longest stretch of equal neighbours in an array; 0 when empty.
 
-    Keeps the positions where a new value starts; the widest gap between two of them is the
-    answer. ``items`` should be a column rather than an expression: it is read per position.
+    Keeps the positions where a new value starts; the widest gap between two of them is the answer.
     """
-    n = F.size(items)
-    starts = F.filter(
-        F.sequence(F.lit(0), n - 1),
-        lambda i: (i == 0) | (F.get(items, i) != F.get(items, i - 1)),
-    )
-    ends = F.concat(F.slice(starts, F.lit(2), F.size(starts)), F.array(n))
-    longest = F.array_max(F.zip_with(starts, ends, lambda s, e: e - s))
-    return F.when(n > 0, longest).otherwise(F.lit(0))
+
+    def measure(arr: Column) -> Column:
+        n = F.size(arr)
+        starts = F.filter(
+            F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(arr, i) != F.get(arr, i - 1))
+        )
+        gaps = bind(
+            starts,
+            lambda s: F.zip_with(s, F.concat(F.slice(s, F.lit(2), F.size(s)), F.array(n)), lambda x, y: y - x),
+        )
+        return F.when(n > 0, F.array_max(gaps)).otherwise(F.lit(0))
+
+    return bind(items, measure)
 
 
 def ngrams(items: Column, n: int) -> Column:
     """Space-joined runs of ``n`` items; empty when there are fewer."""
-    count = F.size(items) - (n - 1)
-    grams = F.transform(
-        F.sequence(F.lit(0), count - 1),
-        lambda i: F.concat_ws(" ", *[F.get(items, i + k) for k in range(n)]),
-    )
-    return F.when(count > 0, grams).otherwise(F.array().cast("array<string>"))
+
+    def build(arr: Column) -> Column:
+        count = F.size(arr) - (n - 1)
+        grams = F.transform(
+            F.sequence(F.lit(0), count - 1),
+            lambda i: F.concat_ws(" ", *[F.get(arr, i + k) for k in range(n)]),
+        )
+        return F.when(count > 0, grams).otherwise(F.array().cast("array<string>"))
+
+    return bind(items, build)
 
 
 def sentences(text: Column) -> Column:
@@ -63,14 +82,9 @@ def sentences(text: Column) -> Column:
     return F.transform(long_enough, lambda w: F.lower(F.array_join(w, " ")))
 
 
-def with_max_repeat(df: DataFrame, items: Column, out: str) -> DataFrame:
+def max_repeat(items: Column) -> Column:
     """How often the most frequent item of an array occurs: equal items are neighbours once sorted."""
-    sorted_col = f"_sorted_{out}"
-    return (
-        df.withColumn(sorted_col, F.sort_array(items))
-        .withColumn(out, _longest_run(F.col(sorted_col)))
-        .drop(sorted_col)
-    )
+    return longest_run(F.sort_array(items))
 
 
 def with_tokens(df: DataFrame, text: str, clean: str = "_clean", words: str = "_tokens") -> DataFrame:
@@ -86,7 +100,7 @@ def token_measures(df: DataFrame, words: str = "_tokens") -> DataFrame:
             "_ratio",
             F.when(n > 0, F.size(F.array_distinct(words)) / n).otherwise(F.lit(0.0)),
         )
-        .withColumn("max_token_run", _longest_run(F.col(words)))
+        .withColumn("max_token_run", longest_run(F.col(words)))
     )
 
 
@@ -127,8 +141,8 @@ def assess_quality(df: DataFrame, text: str = "text", out: str = "quality") -> D
     no more often than the 3 words it starts with, so counting 3-word runs gives the same number.
     """
     measured = token_measures(with_tokens(df, text))
-    measured = with_max_repeat(measured, ngrams(F.col("_tokens"), 3), "max_phrase_repeat")
-    measured = with_max_repeat(measured, sentences(F.col("_clean")), "max_sentence_repeat")
+    measured = measured.withColumn("max_phrase_repeat", max_repeat(ngrams(F.col("_tokens"), 3)))
+    measured = measured.withColumn("max_sentence_repeat", max_repeat(sentences(F.col("_clean"))))
     empty = F.col("_clean") == ""
     issues = F.when(empty, F.array(F.lit("empty_transcript"))).otherwise(
         F.array_compact(F.array(*tail_issues(F.col("_clean")), *body_issues()))

@@ -14,13 +14,18 @@ def retry_candidates(assessed: DataFrame, keys: Sequence[str], seq: str, quality
     """One row per key with a flagged transcript: the first flagged one by ``seq`` counts.
 
     Columns: keys, ``before_issues``, ``before_tokens`` and every other column of that row. The
-    minimum is taken before the shuffle, so a key with many rows is no problem.
+    minimum is taken before the shuffle, so a key with many rows is no problem. Sound transcripts
+    are left out inside the aggregate: a filter would be moved down and compute quality twice.
     """
     others = [c for c in assessed.columns if c not in (*keys, quality)]
     return (
-        assessed.where(~F.col(f"{quality}.ok"))
-        .groupBy(*keys)
-        .agg(F.min_by(F.struct(*others, F.col(quality).alias("_q")), F.col(seq)).alias("_first"))
+        assessed.groupBy(*keys)
+        .agg(
+            F.min_by(
+                F.struct(*others, F.col(quality).alias("_q")), F.when(~F.col(f"{quality}.ok"), F.col(seq))
+            ).alias("_first")
+        )
+        .where(F.col("_first").isNotNull())
         .select(
             *keys,
             *[F.col(f"_first.{c}").alias(c) for c in others],

@@ -258,7 +258,7 @@ def enriched_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-    WITH h AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(abs(CAST(x AS DOUBLE)) * 1000) AS BIGINT)) AS h FROM embeddings),
+    WITH h AS (SELECT vec_id, [CAST(floor(abs(CAST(x AS DOUBLE)) * 1000) AS BIGINT) for x in embedding] AS h FROM embeddings),
     m AS (
       SELECT vec_id, sum(c) AS total, sum(c * i) AS weighted
       FROM (SELECT vec_id, unnest(h) AS c, generate_subscripts(h, 1) - 1 AS i FROM h) GROUP BY vec_id
@@ -560,14 +560,14 @@ def token_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def phrase_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _words(spark, sf_dir).drop("_clean")
     for n in (3, 4, 5):
-        df = quality.with_max_repeat(df, quality.ngrams(F.col("_tokens"), n), f"r{n}")
+        df = df.withColumn(f"r{n}", quality.max_repeat(quality.ngrams(F.col("_tokens"), n)))
     return df.select("doc_id", *[F.col(f"r{n}").cast("long").alias(f"r{n}") for n in (3, 4, 5)])
 
 
 @query(f"{_QUALITY_SQL} SELECT doc_id, max_sentence_repeat FROM q")
 def sentence_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _words(spark, sf_dir).drop("_tokens")
-    df = quality.with_max_repeat(df, quality.sentences(F.col("_clean")), "max_sentence_repeat")
+    df = df.withColumn("max_sentence_repeat", quality.max_repeat(quality.sentences(F.col("_clean"))))
     return df.select("doc_id", F.col("max_sentence_repeat").cast("long").alias("max_sentence_repeat"))
 
 
@@ -597,8 +597,9 @@ def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_QUALITY_SQL} SELECT issue, count(*) AS n FROM (SELECT unnest(issues) AS issue FROM q) GROUP BY issue")
 def quality_issue_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    issues = _assessed(spark, sf_dir).select(F.explode("quality.issues").alias("issue"))
-    return issues.groupBy("issue").agg(F.count(F.lit(1)).alias("n"))
+    # explode() makes Catalyst infer a filter on the issues and compute them twice; the outer form does not.
+    issues = _assessed(spark, sf_dir).select(F.explode_outer("quality.issues").alias("issue"))
+    return issues.where(F.col("issue").isNotNull()).groupBy("issue").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
