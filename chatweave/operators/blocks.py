@@ -20,7 +20,7 @@ BLOCK = "_block"
 
 
 def with_block(df: DataFrame, order: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    return df.withColumn(BLOCK, F.floor(F.col(order) / F.lit(block_rows)).cast("long"))
+    return df.withColumn(BLOCK, F.expr(f"`{order}` div {int(block_rows)}"))
 
 
 def running_total(

@@ -43,6 +43,7 @@ def header_evidence(
     aggs = []
     for style in fv.STYLES:
         aggs.append(F.count_if(F.col(f"_{style}")).alias(f"headers_{style}"))
+        aggs.append(F.min(F.when(F.col(f"_{style}"), F.col("line_no"))).alias(f"first_{style}"))
         aggs.append(F.count_if(F.col(f"_{style}") & sampled).alias(f"seen_{style}"))
     for style in ("android", "ios"):
         # Only sampled headers reach the two extractions.
@@ -116,32 +117,39 @@ def block_formats(
     sample_lines: int = fv.DETECTION_SAMPLE_LINES,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Per (chat_id, block): the chat's style and order, ``headers_before`` the block, and
-    ``open_block``, the last earlier block that has a header (its last message is still open)."""
+    """Per (chat_id, block): the chat's style and order, and where its messages are.
+
+    ``headers_before`` counts the headers of earlier blocks, ``first_header`` is the block's first
+    header line (null if it has none), and ``open_block`` is the last earlier block with a header:
+    lines before ``first_header`` continue the last message of that block.
+    """
     chat = Window.partitionBy("chat_id")
     earlier = chat.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     blocks = header_evidence(lines, sample_lines, block_rows)
     own = [c for c in blocks.columns if c not in EVIDENCE]
     summed = blocks.select(*own, *[F.sum(c).over(chat).alias(c) for c in EVIDENCE])
-    headers = (
-        F.when(F.col("style") == "pt", F.col("headers_pt"))
-        .when(F.col("style") == "ios", F.col("headers_ios"))
-        .otherwise(F.col("headers_android"))
-    )
     return (
         resolve_style(summed, style, date_order)
-        .withColumn("_headers", headers)
+        .withColumns({"_headers": _of_style("headers"), "first_header": _of_style("first")})
         .select(
             "chat_id",
             BLOCK,
             "style",
             "date_order",
+            "first_header",
             F.coalesce(F.sum("_headers").over(earlier), F.lit(0)).alias("headers_before"),
             F.max(F.when(F.col("_headers") > 0, F.col(BLOCK))).over(earlier).alias("open_block"),
         )
     )
 
 
+def _of_style(measure: str) -> Column:
+    """The ``measure`` column of the chat's style."""
+    return F.expr(
+        f"CASE style WHEN 'pt' THEN {measure}_pt WHEN 'ios' THEN {measure}_ios ELSE {measure}_android END"
+    )
+
+
 def count_messages(lines: DataFrame, style: str = "auto", date_order: str = "auto") -> DataFrame:
     """(chat_id, n_messages): headers of the chat's style, without assembling messages."""
     totals = (
@@ -154,8 +162,5 @@ def count_messages(lines: DataFrame, style: str = "auto", date_order: str = "aut
     )
     return resolve_style(totals, style, date_order).select(
         "chat_id",
-        F.when(F.col("style") == "pt", F.col("headers_pt"))
-        .when(F.col("style") == "ios", F.col("headers_ios"))
-        .otherwise(F.col("headers_android"))
-        .alias("n_messages"),
+        _of_style("headers").alias("n_messages"),
     )

@@ -91,6 +91,8 @@ def enrich_messages(
 ) -> DataFrame:
     """Messages with ``media.converted_file`` and ``enrichment`` filled.
 
+    ``messages`` are read more than once here, so pass stored ones rather than a long plan.
+
     ``many_files``: messages may refer to several files (parsed ones have one at most). Then rows
     are regrouped by message, and the last file that has an artifact fills the enrichment.
     """

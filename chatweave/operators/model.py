@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from chatweave.operators.quality import assess_quality, normalize_text
 from chatweave.operators.retry import decide_retry, retry_candidates
-from chatweave.plans.session import ensure_checkpoint_dir
+from chatweave.plans.session import store
 
 MakeModel = Callable[[], Callable[..., str]]
 
@@ -77,25 +77,24 @@ def transcribe(
     as well. Returns ``(artifacts, events)``: artifacts are (keys, text) to write, new or replaced;
     events are (keys, type, reason, issues, token_count).
 
-    Model calls are checkpointed: a model need not give the same text twice, and a lost executor
-    must not make the retry decision differ from the text that is kept.
+    Model results are stored before use: a model need not give the same text twice, and a lost
+    executor must not make the retry decision differ from the text that is kept.
     """
     keys = list(keys)
-    ensure_checkpoint_dir(items.sparkSession)
-    first = apply_model(items, make_model, keys, tasks=tasks).checkpoint()
+    first = store(apply_model(items, make_model, keys, tasks=tasks))
     made = first.where(F.col("error").isNull()).select(*keys, normalize_text(F.col("text")).alias("text"))
     checked = assess_quality(made).withColumn("source", F.lit("new"))
     if existing is not None:
         old = existing.select(*keys, normalize_text(F.col("text")).alias("text"))
         checked = checked.unionByName(assess_quality(old).withColumn("source", F.lit("existing")))
-    flagged = retry_candidates(checked, keys, "source").checkpoint()
+    flagged = store(retry_candidates(checked, keys, "source"))
     inputs = items if existing is None else items.unionByName(existing.drop("text"))
     again = apply_model(
         inputs.join(flagged.select(*keys), keys, "left_semi"), make_model, keys, quality_retry=True, tasks=tasks
     )
-    retried = assess_quality(
-        again.select(*keys, normalize_text(F.col("text")).alias("retry_text"), "error"), "retry_text"
-    ).checkpoint()
+    retried = store(
+        assess_quality(again.select(*keys, normalize_text(F.col("text")).alias("retry_text"), "error"), "retry_text")
+    )
     decided = decide_retry(flagged, retried, keys)
     better = decided.where("replaced").select(*keys, F.col("retry_text").alias("text"))
     artifacts = made.join(better, keys, "left_anti").unionByName(better)

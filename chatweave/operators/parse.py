@@ -49,46 +49,53 @@ def assemble(lines: DataFrame, blocks: DataFrame, block_rows: int = BLOCK_ROWS)
         .orderBy("line_no")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    numbered = (
-        with_block(lines.select("chat_id", "line_no", "line"), "line_no", block_rows)
-        .join(blocks, ["chat_id", BLOCK])
-        .withColumn("_starts", is_header(F.col("style"), F.col("line")).cast("int"))
-        .withColumn("msg_idx", F.col("headers_before") + F.sum("_starts").over(in_block) - 1)
-        .where(F.col("msg_idx") >= 0)
+    placed = with_block(lines.select("chat_id", "line_no", "line"), "line_no", block_rows).join(
+        blocks, ["chat_id", BLOCK]
     )
-    pieces = (
-        numbered.groupBy(
-            "chat_id", BLOCK, "msg_idx", "headers_before", "open_block", "style", "date_order"
-        )
+    # Messages that start in the block, with their lines in the block.
+    own = (
+        placed.where(F.col("line_no") >= F.col("first_header"))
+        .withColumn("_starts", is_header(F.col("style"), F.col("line")))
+        .withColumn("msg_idx", F.col("headers_before") + F.count_if("_starts").over(in_block) - 1)
+        .groupBy("chat_id", BLOCK, "msg_idx", "style", "date_order")
         .agg(
-            F.max(F.when(F.col("_starts") == 1, F.col("line"))).alias("source_line"),
-            F.sort_array(
-                F.collect_list(F.when(F.col("_starts") == 0, F.struct("line_no", "line")))
-            ).alias("_rest"),
-        )
-        .withColumn(
-            "_tail",
-            F.when(F.size("_rest") > 0, F.array_join(F.col("_rest.line"), "\n")),
+            F.max(F.when(F.col("_starts"), F.col("line"))).alias("source_line"),
+            _in_order(F.when(~F.col("_starts"), F.struct("line_no", "line"))).alias("_rest"),
         )
-        .drop("_rest")
     )
-    own = pieces.where(F.col("msg_idx") >= F.col("headers_before"))
+    # Lines before a block's first header belong to the last message of an earlier block.
     carried = (
-        pieces.where(F.col("msg_idx") < F.col("headers_before"))
-        .groupBy("chat_id", F.col("open_block").alias(BLOCK), F.col("msg_idx").alias("_open_idx"))
-        .agg(F.sort_array(F.collect_list(F.struct(F.col(BLOCK).alias("b"), F.col("_tail").alias("t")))).alias("_more"))
-        .select("chat_id", BLOCK, "_open_idx", F.array_join(F.col("_more.t"), "\n").alias("_carried"))
+        placed.where(
+            F.col("open_block").isNotNull()
+            & (F.col("first_header").isNull() | (F.col("line_no") < F.col("first_header")))
+        )
+        .groupBy("chat_id", "open_block", BLOCK, "headers_before")
+        .agg(_in_order(F.struct("line_no", "line")).alias("_lines"))
+        .groupBy("chat_id", F.col("open_block").alias(BLOCK))
+        .agg(
+            (F.max("headers_before") - 1).alias("_open_idx"),
+            _in_order(F.struct(F.col(BLOCK).alias("b"), F.array_join("_lines.line", "\n").alias("line"))).alias("_more"),
+        )
     )
-    # concat_ws skips nulls, and an empty continuation line is '' rather than null.
-    tail = F.when(
-        F.col("_tail").isNotNull() | (F.col("_open_idx") == F.col("msg_idx")),
-        F.concat_ws("\n", F.col("_tail"), F.when(F.col("_open_idx") == F.col("msg_idx"), F.col("_carried"))),
+    joined = own.join(carried, ["chat_id", BLOCK], "left").withColumn(
+        "_more", F.when(F.col("_open_idx") == F.col("msg_idx"), F.col("_more.line"))
     )
-    return own.join(carried, ["chat_id", BLOCK], "left").select(
-        "chat_id", "msg_idx", "style", "date_order", "source_line", tail.alias("tail")
+    parts = F.concat("_rest.line", F.coalesce("_more", F.array().cast("array<string>")))
+    return joined.withColumn("_parts", parts).select(
+        "chat_id",
+        "msg_idx",
+        "style",
+        "date_order",
+        "source_line",
+        F.when(F.size("_parts") > 0, F.array_join("_parts", "\n")).alias("tail"),
     )
 
 
+def _in_order(line: Column) -> Column:
+    """Structs of a group, nulls left out, in the order of their first field."""
+    return F.sort_array(F.collect_list(line))
+
+
 def attachment_file(body: Column) -> Column:
     """File named by an attachment body, or null."""
     # The file group cannot be empty, so an empty extract means no match.

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from chatweave.functions import naming, text
 from chatweave.operators import audio, dialect, enrich, markdown, media, model, quality, report, retry, runs
 from chatweave.plans import inputs as inp
+from chatweave.plans.session import store
 from chatweave.sources import exports
 from chatweave.sources.manifest import parse_manifest
 from chatweave.streaming import incremental
@@ -149,6 +150,11 @@ def artifact_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- media work -------------------------------------------------------------------------------
 
 
+def _work(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The work list, stored: the plans below read it several times."""
+    return store(media.work_list(inp.attachment_messages(spark, sf_dir)))
+
+
 @query(f"WITH {inp.PAGES_SQL} SELECT chat_id, file, kind FROM work")
 def media_worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.work_list(inp.attachment_messages(spark, sf_dir))
@@ -162,17 +168,17 @@ def media_worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 )
 def media_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.missing_files(media_worklist(spark, sf_dir), inp.page_listing(spark, sf_dir))
+    return media.missing_files(_work(spark, sf_dir), inp.page_listing(spark, sf_dir))
 
 
 @query(f"WITH {inp.PAGES_SQL} SELECT chat_id, file, kind FROM found WHERE stem IS NULL")
 def media_todo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.without_artifact(media_worklist(spark, sf_dir), inp.page_artifacts(spark, sf_dir))
+    return media.without_artifact(_work(spark, sf_dir), inp.page_artifacts(spark, sf_dir))
 
 
 @query(f"WITH {inp.PAGES_SQL} SELECT chat_id, file, kind, stem FROM found WHERE stem IS NOT NULL")
 def media_done(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.with_artifact(media_worklist(spark, sf_dir), inp.page_artifacts(spark, sf_dir))
+    return media.with_artifact(_work(spark, sf_dir), inp.page_artifacts(spark, sf_dir))
 
 
 _PLAN_SQL = f"""
@@ -198,7 +204,7 @@ plan AS (
 @query(f"{_PLAN_SQL} SELECT * FROM plan")
 def media_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_plan(
-        media_worklist(spark, sf_dir),
+        _work(spark, sf_dir),
         inp.page_listing(spark, sf_dir),
         inp.page_artifacts(spark, sf_dir),
         inp.page_converted(spark, sf_dir),
@@ -222,7 +228,7 @@ def media_plan_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {inp.PAGES_SQL} SELECT chat_id, file, converted_file FROM conv")
 def converted_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return enrich.find_converted(media_worklist(spark, sf_dir), inp.page_converted(spark, sf_dir))
+    return enrich.find_converted(_work(spark, sf_dir), inp.page_converted(spark, sf_dir))
 
 
 @query(
@@ -241,7 +247,7 @@ def converted_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def enriched_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = enrich.enrich_messages(
-        inp.attachment_messages(spark, sf_dir), inp.page_artifacts(spark, sf_dir), inp.page_converted(spark, sf_dir)
+        store(inp.attachment_messages(spark, sf_dir)), inp.page_artifacts(spark, sf_dir), inp.page_converted(spark, sf_dir)
     )
     return rows.select(
         "chat_id",
@@ -282,7 +288,7 @@ def ocr_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 )
 def ocr_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    images = media_worklist(spark, sf_dir).where(F.col("kind") == "image").select("chat_id", "file")
+    images = _work(spark, sf_dir).where(F.col("kind") == "image").select("chat_id", "file")
     return media.cap_per_chat(images, 2)
 
 
@@ -405,7 +411,7 @@ def chat_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 )
 def media_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = enrich.enrich_messages(inp.attachment_messages(spark, sf_dir), inp.page_artifacts(spark, sf_dir))
+    rows = enrich.enrich_messages(store(inp.attachment_messages(spark, sf_dir)), inp.page_artifacts(spark, sf_dir))
     return rows.select("chat_id", "msg_idx", markdown.bullet(40).alias("md"))
 
 

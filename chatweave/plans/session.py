@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = "*", app: str = "chatweave") -> SparkSession:
@@ -39,3 +40,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         named = tempfile.mkdtemp(prefix="chatweave-checkpoint-")
     sc.setCheckpointDir(named)
     return named
+
+
+def store(df: DataFrame) -> DataFrame:
+    """Write a table to the checkpoint folder and read it back.
+
+    For results that several later steps read: they are computed once, survive the loss of
+    executors, keep column pruning, and their real size is known when joins are planned.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/chatweave-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
