@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from chatweave.operators.quality import assess_quality, normalize_text
 from chatweave.operators.retry import decide_retry, retry_candidates
-from chatweave.plans.session import store
+from chatweave.plans.session import ship_package, store
 
 MakeModel = Callable[[], Callable[..., str]]
 
@@ -41,6 +41,7 @@ def apply_model(
     ``tasks`` sets how many model copies run; rows are dealt out evenly, whatever their keys.
     """
     keys = list(keys)
+    ship_package(items.sparkSession)
     if tasks:
         items = items.repartition(tasks)
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,3 +53,16 @@ def store(df: DataFrame) -> DataFrame:
     path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/chatweave-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give Python workers this package, once per session (what ``--py-files`` does for a job)."""
+    sc = spark.sparkContext
+    if getattr(sc, "_chatweave_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    archive = shutil.make_archive(
+        f"{tempfile.mkdtemp(prefix='chatweave-package-')}/chatweave", "zip", package.parent, package.name
+    )
+    sc.addPyFile(archive)
+    sc._chatweave_shipped = True

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chatweave.plans.session import ship_package
+
 CHUNK_BYTES = 8 << 20
 LINE_BATCH = 20_000
 
@@ -39,6 +41,7 @@ def entry_path(entry: str) -> str:
 
 def list_archives(spark: SparkSession, path: str) -> DataFrame:
     """(archive): locations of all .zip files below a folder; their bytes are not read."""
+    ship_package(spark)
     return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
