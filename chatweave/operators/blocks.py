@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chatweave.plans.session import store
+
 BLOCK_ROWS = 1 << 16
 BLOCK = "_block"
 
@@ -72,3 +74,23 @@ def previous_value(
         )
         .drop("_carry", BLOCK)
     )
+
+
+def ranked(df: DataFrame, keys: Sequence[str], order: str, out: str) -> DataFrame:
+    """1-based rank by ``order`` (any sortable type, unique within the key) in groups of any size.
+
+    Rows are cut into ranges of (keys, order); a range takes the place of a block. The ranges are
+    sampled anew each time they are made, so rows are stored with the range they fell in.
+    """
+    pieces = store(
+        df.repartitionByRange(*keys, order).withColumn(BLOCK, F.spark_partition_id())
+    )
+    sizes = pieces.groupBy(*keys, BLOCK).agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    carried = sizes.select(*keys, BLOCK, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_carry"))
+    in_piece = Window.partitionBy(*keys, BLOCK).orderBy(order)
+    return (
+        pieces.join(carried, [*keys, BLOCK])
+        .withColumn(out, F.col("_carry") + F.row_number().over(in_piece))
+        .drop("_carry", BLOCK)
+    )

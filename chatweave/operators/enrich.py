@@ -28,7 +28,7 @@ def referenced_files(messages: DataFrame) -> DataFrame:
     )
 
 
-def _stem_lookups(files: DataFrame) -> DataFrame:
+def stem_lookups(files: DataFrame) -> DataFrame:
     """One row per (file, candidate stem); ``rank`` 0 is the primary stem."""
     return files.select(
         "chat_id", "file", "kind", F.posexplode(candidate_stems(F.col("file"))).alias("rank", "stem")
@@ -46,7 +46,7 @@ def find_text_artifacts(files: DataFrame, artifacts: DataFrame) -> DataFrame:
         "chat_id", F.col("kind").alias("artifact"), "stem", F.struct("stem", "rel_path", "text").alias("found")
     )
     matched = salted_left_join(
-        _stem_lookups(files).withColumn("artifact", wanted),
+        stem_lookups(files).withColumn("artifact", wanted),
         known,
         ["chat_id", "artifact", "stem"],
         row_id=F.col("file"),
@@ -68,7 +68,7 @@ def find_converted(files: DataFrame, converted: DataFrame) -> DataFrame:
         .agg(F.collect_set(F.struct(preference.alias("ext_rank"), F.col("rel_path"))).alias("found"))
     )
     matched = salted_left_join(
-        _stem_lookups(files.where(F.col("kind") == "audio")), by_stem, ["chat_id", "stem"], row_id=F.col("file")
+        stem_lookups(files.where(F.col("kind") == "audio")), by_stem, ["chat_id", "stem"], row_id=F.col("file")
     )
     return (
         matched.select("chat_id", "file", "rank", F.explode("found").alias("f"))

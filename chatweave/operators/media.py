@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatweave.functions import fixed_values as fv
-from chatweave.operators.enrich import find_text_artifacts, referenced_files
+from chatweave.operators.blocks import ranked
+from chatweave.operators.enrich import find_text_artifacts, referenced_files, stem_lookups
 from chatweave.operators.skew import salted_left_join
 
 
+LIMITED_RANKING = 1000  # Spark limits a ranking before the shuffle up to this many rows
+
+
 @dataclass(frozen=True)
 class MediaOptions:
     transcribe: bool = True
@@ -43,13 +47,11 @@ def with_artifact(work: DataFrame, artifacts: DataFrame) -> DataFrame:
 
 def _converted_flags(work: DataFrame, converted: DataFrame) -> DataFrame:
     """(chat_id, file, has_mp3, has_wav) under any candidate stem."""
-    from chatweave.operators.enrich import _stem_lookups
-
     by_stem = converted.groupBy("chat_id", "stem").agg(
         F.bool_or(F.col("ext") == "mp3").alias("mp3"), F.bool_or(F.col("ext") == "wav").alias("wav")
     )
     matched = salted_left_join(
-        _stem_lookups(work.where(F.col("kind") == "audio")), by_stem, ["chat_id", "stem"], row_id=F.col("file")
+        stem_lookups(work.where(F.col("kind") == "audio")), by_stem, ["chat_id", "stem"], row_id=F.col("file")
     )
     return matched.groupBy("chat_id", "file").agg(
         F.coalesce(F.bool_or("mp3"), F.lit(False)).alias("has_mp3"),
@@ -145,16 +147,19 @@ def cap_per_chat(work: DataFrame, cap: int, order: str = "file") -> DataFrame:
     """Add ``ocr_action``: the first ``cap`` files of a chat by name are ``create``, the rest
     ``deferred``; 0 is no cap. ``order`` must be unique within a chat.
 
-    Finding the cap-th name is a limited ranking, which Spark cuts to ``cap`` rows per task
-    before the shuffle. The full list is then only compared with that name.
+    For small caps, finding the cap-th name is a limited ranking, which Spark cuts to ``cap`` rows
+    per task before the shuffle, and the full list is then only compared with that name. Larger
+    caps rank the whole list in ranges.
     """
     if cap <= 0:
         return work.withColumn("ocr_action", F.lit("create"))
-    ranked = work.select("chat_id", order).withColumn(
-        "_rank", F.row_number().over(Window.partitionBy("chat_id").orderBy(order))
-    )
+    if cap > LIMITED_RANKING:
+        action = F.when(F.col("_rank") <= cap, "create").otherwise("deferred")
+        return ranked(work, ["chat_id"], order, "_rank").withColumn("ocr_action", action).drop("_rank")
     last = (
-        ranked.where(F.col("_rank") <= cap)
+        work.select("chat_id", order)
+        .withColumn("_rank", F.row_number().over(Window.partitionBy("chat_id").orderBy(order)))
+        .where(F.col("_rank") <= cap)
         .groupBy("chat_id")
         .agg(F.max(order).alias("_last"))
     )

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatweave.functions import fixed_values as fv
+from chatweave.functions.times import resolve_offset
 from chatweave.operators.markdown import transcript_lines
 from chatweave.operators.parse import parse_messages
-from chatweave.operators.report import chat_report
+from chatweave.operators.report import chat_report, report_text
 from chatweave.sources.chats import read_chat_lines
 from chatweave.streaming.incremental import append_months
 
@@ -69,6 +70,11 @@ def write_transcripts(messages: DataFrame, folder: str, max_chars: int = fv.MARK
     )
 
 
+def write_reports(texts: DataFrame, folder: str) -> None:
+    """Report texts (chat_id, report), one folder per chat, replaced as a whole."""
+    texts.write.mode("overwrite").partitionBy("chat_id").text(folder)
+
+
 def publish(
     messages: DataFrame, out_dir: str, batch: int, options: JobOptions = JobOptions()
 ) -> tuple[DataFrame, DataFrame | None]:
@@ -84,7 +90,21 @@ def publish(
     write_conversations(stored, f"{out_dir}/conversation")
     write_transcripts(stored, f"{out_dir}/transcript", options.markdown_chars)
     events = append_months(stored, out_dir, batch)
-    return chat_report(stored), events
+    report = chat_report(stored)
+    texts = report_text(
+        report,
+        chat_file=F.col("chat_id"),
+        export_folder=F.col("chat_id"),
+        out_dir=out_dir,
+        resume=True,
+        tz=resolve_offset(options.tz_offset),
+        outputs={n: f"{out_dir}/{n}" for n in ("messages", "conversation", "transcript", "by-month")},
+        counters=["n_messages"],
+        me=options.me,
+        them=options.them,
+    )
+    write_reports(texts, f"{out_dir}/report")
+    return report, events
 
 
 def upsert_artifacts(artifacts: DataFrame, out_dir: str, version: int) -> DataFrame:

@@ -645,11 +645,10 @@ def retry_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def retry_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The retry of a transcript is the next document's text."""
-    assessed = _assessed(spark, sf_dir)
-    first = retry.retry_candidates(assessed.select("doc_id", "quality"), ["doc_id"], "doc_id")
+    assessed = store(_assessed(spark, sf_dir).select("doc_id", "quality"))
+    first = retry.retry_candidates(assessed, ["doc_id"], "doc_id")
     again = assessed.select(
-        (F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("retry_text"), "quality",
-        F.lit(None).cast("string").alias("error"),
+        (F.col("doc_id") - 1).alias("doc_id"), "quality", F.lit(None).cast("string").alias("error")
     )
     return retry.decide_retry(first, again, ["doc_id"]).select("doc_id", "replaced", "reason", "still_flagged")
 

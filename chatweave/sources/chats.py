@@ -37,15 +37,8 @@ def read_chat_lines(spark: SparkSession, folder: str, whole_file_bytes: int = WH
     chosen = (
         choose_chats(spark, folder)
         .where(F.col("chat_path").isNotNull())
-        .select(F.concat_ws("/", F.lit(folder.rstrip("/")), "export", "chat_path").alias("path"), F.col("export").alias("chat_id"))
-    )
-    # Small side: one row per chat. A file that holds a large part of all lines would make this
-    # join uneven, so it is made on (path, part of the file) instead of the path alone.
-    from chatweave.operators.skew import salted_left_join
-
-    lines = read_lines(spark, folder, "*.txt", whole_file_bytes)
-    return (
-        salted_left_join(lines, chosen, ["path"], row_id=F.col("line_no"))
-        .where(F.col("chat_id").isNotNull())
-        .select("chat_id", "path", "line_no", "line")
+        .select(F.concat_ws("/", F.lit(folder.rstrip("/")), "export", "chat_path").alias("path"))
     )
+    lines = read_lines(spark, folder, "*.txt", whole_file_bytes, chosen)
+    export = F.regexp_extract(relative_path(F.col("path"), folder), r"^([^/]+)/", 1)
+    return lines.select(export.alias("chat_id"), "path", "line_no", "line")

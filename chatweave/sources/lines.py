@@ -31,25 +31,27 @@ def list_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     )
 
 
-def _small_file_lines(spark: SparkSession, path: str, glob: str, limit: int) -> DataFrame:
+def _small_file_lines(spark: SparkSession, path: str, glob: str, limit: int, chosen: DataFrame | None) -> DataFrame:
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", glob)
         .load(path)
         .where(F.col("length") <= limit)
+        .select(decoded_path(F.col("_metadata.file_path")).alias("path"), "content")
     )
+    if chosen is not None:
+        files = files.join(chosen, "path", "left_semi")
     text = F.make_valid_utf8(F.col("content").cast("string"))
     parts = F.split(text, r"\r\n|\r|\n")
     # A line end at the end of the file does not start another line.
     lines = F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
-    return files.select(
-        decoded_path(F.col("_metadata.file_path")).alias("path"),
-        F.posexplode(lines).alias("line_no", "line"),
-    ).withColumn("line_no", F.col("line_no").cast("long"))
+    return files.select("path", F.posexplode(lines).alias("line_no", "line")).withColumn(
+        "line_no", F.col("line_no").cast("long")
+    )
 
 
-def _large_file_lines(spark: SparkSession, path: str, glob: str, limit: int) -> DataFrame:
+def _large_file_lines(spark: SparkSession, path: str, glob: str, limit: int, chosen: DataFrame | None) -> DataFrame:
     raw = (
         spark.read.option("recursiveFileLookup", "true")
         .option("pathGlobFilter", glob)
@@ -65,21 +67,31 @@ def _large_file_lines(spark: SparkSession, path: str, glob: str, limit: int) ->
     per_split = raw.groupBy("_uri", "_split").agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy("_uri").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
     starts = per_split.select(
-        "_uri", "_split", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_first")
+        "_uri",
+        "_split",
+        decoded_path(F.col("_uri")).alias("path"),
+        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_first"),
     )
+    if chosen is not None:
+        # One row per split here, so a file of any size is chosen without skew.
+        starts = starts.join(chosen, "path", "left_semi")
     # _pos only has to grow within a split, which one task reads front to back.
     in_split = Window.partitionBy("_uri", "_split").orderBy("_pos")
     return raw.join(starts, ["_uri", "_split"]).select(
-        decoded_path(F.col("_uri")).alias("path"),
-        (F.col("_first") + F.row_number().over(in_split) - 1).alias("line_no"),
-        "line",
+        "path", (F.col("_first") + F.row_number().over(in_split) - 1).alias("line_no"), "line"
     )
 
 
 def read_lines(
-    spark: SparkSession, path: str, glob: str = "*.txt", whole_file_bytes: int = WHOLE_FILE_BYTES
+    spark: SparkSession,
+    path: str,
+    glob: str = "*.txt",
+    whole_file_bytes: int = WHOLE_FILE_BYTES,
+    chosen: DataFrame | None = None,
 ) -> DataFrame:
-    """(path, line_no, line) of all matching files below a folder."""
-    return _small_file_lines(spark, path, glob, whole_file_bytes).unionByName(
-        _large_file_lines(spark, path, glob, whole_file_bytes)
+    """(path, line_no, line) of all matching files below a folder, or of those in ``chosen(path)``."""
+    if chosen is not None:
+        chosen = chosen.select("path")
+    return _small_file_lines(spark, path, glob, whole_file_bytes, chosen).unionByName(
+        _large_file_lines(spark, path, glob, whole_file_bytes, chosen)
     )

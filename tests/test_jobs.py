@@ -109,6 +109,9 @@ def test_publish(lines_of, tmp_path, spark):
     text = "".join((tmp_path / "transcript" / "chat_id=c" / n).read_text() for n in parts)
     assert text.startswith("# WhatsApp Transcript\n\n\n## 2025-01\n\n- **2025-01-05 10:00** — **A**: hello\n- **2025-01-06")
     assert "\n\n## 2025-02\n\n- " in text
+    (report_file,) = [n for n in os.listdir(tmp_path / "report" / "chat_id=d") if n.startswith("part-")]
+    lines = (tmp_path / "report" / "chat_id=d" / report_file).read_text().splitlines()
+    assert "- Participants detected: ç" in lines and "- n_messages: 1" in lines
     write_conversations(spark.read.parquet(str(tmp_path / "messages")).limit(1), str(tmp_path / "conversation"))
     assert spark.read.text(str(tmp_path / "conversation")).count() == 1
 

@@ -209,3 +209,9 @@ def test_parse_manifest_keeps_free_keys(spark):
     df = spark.createDataFrame([("r", 0, '{"type": 5, "file": null}')], "run_id string, line_no bigint, line string")
     (r,) = parse_manifest(df).collect()
     assert (r.type, r.file) == ("5", None)
+
+
+@pytest.mark.parametrize("whole_file_bytes", [1 << 20, 0])
+def test_both_readers_choose_chats(spark, export_folder, whole_file_bytes):
+    lines = read_chat_lines(spark, export_folder, whole_file_bytes)
+    assert {r.chat_id: r.n for r in lines.groupBy("chat_id").agg(F.count("*").alias("n")).collect()} == {"ana": 3, "bob": 1}
