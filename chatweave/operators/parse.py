@@ -49,15 +49,19 @@ def assemble(lines: DataFrame, blocks: DataFrame, block_rows: int = BLOCK_ROWS)
         .orderBy("line_no")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    placed = with_block(lines.select("chat_id", "line_no", "line"), "line_no", block_rows).join(
-        blocks, ["chat_id", BLOCK]
+    # Both uses below name the same columns and filters of lines and blocks, needed or not: then
+    # their shuffles are equal and Spark makes each of them once.
+    block_columns = ["style", "date_order", "first_header", "headers_before", "open_block"]
+    numbered = lines.select("chat_id", "line_no", "line").where(F.col("line_no").isNotNull())
+    placed = with_block(numbered, "line_no", block_rows).join(
+        blocks.select("chat_id", BLOCK, *block_columns), ["chat_id", BLOCK]
     )
     # Messages that start in the block, with their lines in the block.
     own = (
         placed.where(F.col("line_no") >= F.col("first_header"))
         .withColumn("_starts", is_header(F.col("style"), F.col("line")))
         .withColumn("msg_idx", F.col("headers_before") + F.count_if("_starts").over(in_block) - 1)
-        .groupBy("chat_id", BLOCK, "msg_idx", "style", "date_order")
+        .groupBy("chat_id", BLOCK, "msg_idx", *block_columns)
         .agg(
             F.max(F.when(F.col("_starts"), F.col("line"))).alias("source_line"),
             _in_order(F.when(~F.col("_starts"), F.struct("line_no", "line"))).alias("_rest"),
@@ -69,7 +73,7 @@ def assemble(lines: DataFrame, blocks: DataFrame, block_rows: int = BLOCK_ROWS)
             F.col("open_block").isNotNull()
             & (F.col("first_header").isNull() | (F.col("line_no") < F.col("first_header")))
         )
-        .groupBy("chat_id", "open_block", BLOCK, "headers_before")
+        .groupBy("chat_id", BLOCK, *block_columns)
         .agg(_in_order(F.struct("line_no", "line")).alias("_lines"))
         .groupBy("chat_id", F.col("open_block").alias(BLOCK))
         .agg(

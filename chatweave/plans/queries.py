@@ -726,7 +726,7 @@ _COUNTER_TYPES = {
     f"WITH {inp.MANIFEST_SQL} SELECT run_id, "
     + ", ".join(f"count(*) FILTER (type = '{t}') AS {c}" for c, t in _COUNTER_TYPES.items())
     + ", count(*) FILTER (type IN ('audio_transcript_retried', 'audio_transcript_retry_failed'))"
-    " AS audio_transcript_retry_attempted, 0 AS audio_wav_created, 0 AS image_ocr_failed FROM manifest GROUP BY run_id"
+    " AS audio_transcript_retry_attempted, count(*) FILTER (false) AS audio_wav_created, count(*) FILTER (false) AS image_ocr_failed FROM manifest GROUP BY run_id"
 )
 def run_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.run_counters(inp.manifest(spark, sf_dir)).select(
