@@ -8,16 +8,15 @@ Patterns are in Java syntax. Flags: ``i`` ignore case, ``u`` Unicode case foldin
 ``.`` runs over U+0085 and U+2028).
 """
 
-# --- message header patterns (groups are listed after each) -------------------
-# date, hour, minute, period, rest
+# --- message header patterns --------------------------------------------------
+# Groups: date and time as one, date, time, rest of the line. The time of the first has the part
+# of the day in it.
 PT_HEADER = (
-    r"(?diuU)^(\d{2}/\d{2}/\d{2}),\s+(\d{1,2}):(\d{2})\s+da\s+"
-    r"(madrugada|manhã|tarde|noite)\s+-\s+(.*)$"
+    r"(?diuU)^((\d{2}/\d{2}/\d{2}),\s+(\d{1,2}:\d{2}\s+da\s+(?:madrugada|manhã|tarde|noite)))\s+-\s+(.*)$"
 )
-# date, time, rest
-ANDROID_HEADER = r"(?diuU)^\x{200e}?(\d{1,2}/\d{1,2}/\d{2,4}),\s+([^-]+?)\s+-\s+(.*)$"
-# date, time, rest
-IOS_HEADER = r"(?diuU)^\x{200e}?\[(\d{1,2}/\d{1,2}/\d{2,4}),\s+([^\]]+)\]\s+(.*)$"
+ANDROID_HEADER = r"(?diuU)^\x{200e}?((\d{1,2}/\d{1,2}/\d{2,4}),\s+([^-]+?))\s+-\s+(.*)$"
+IOS_HEADER = r"(?diuU)^\x{200e}?\[((\d{1,2}/\d{1,2}/\d{2,4}),\s+([^\]]+))\]\s+(.*)$"
+HEADER_STAMP, HEADER_DATE, HEADER_TIME, HEADER_REST = 1, 2, 3, 4
 
 # --- message body patterns ----------------------------------------------------
 # sender, body
@@ -30,6 +29,12 @@ ATTACHED_SUFFIX = (
 # file
 ATTACHED_TAG = r"(?diuU)^<\s*attached:\s*([^>]+?)\s*>$"
 
+# Characters that count as space at the ends of a text.
+SPACES = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
+    "\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
 # --- time patterns ------------------------------------------------------------
 # hour, minute, am or pm
 TIME_12H = r"(?iU)^(\d{1,2}):(\d{2})(?::\d{2})?(am|pm)$"

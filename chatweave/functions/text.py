@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from chatweave.functions import fixed_values as fv
+
 
 def strip(col: Column) -> Column:
-    """Trim every Unicode space at both ends (``trim`` only knows U+0020)."""
-    return F.regexp_replace(col, r"(?U)^\s+|\s+$", "")
+    """Trim every Unicode space at both ends (plain ``trim`` only knows U+0020)."""
+    return F.btrim(col, F.lit(fv.SPACES))
 
 
 def clip(col: Column, max_chars: int) -> Column:

@@ -26,45 +26,31 @@ def int_or_null(col: Column) -> Column:
     return col.try_cast("int")
 
 
-def with_timestamp(df: DataFrame, style: str, date_order: str, header: str, out: str) -> DataFrame:
-    """Add TIMESTAMP_NTZ ``out`` of a header line, to the minute; null when the date or time is not
-    real. Each part is a column of its own, so that no pattern runs twice on a header.
+def with_timestamp(df: DataFrame, stamp: str, style: str, date_order: str, out: str) -> DataFrame:
+    """Add TIMESTAMP_NTZ ``out`` of a header's date and time, to the minute; null when they are not
+    real. Patterns only check the clock, the parts are cut out by position.
 
     Portuguese times name the part of the day: morning words turn 12 into 0, afternoon and night
     words add 12 to hours below 12, so '12:30 da noite' stays at 12.
     """
-    pt, ios, line = F.col(style) == "pt", F.col(style) == "ios", F.col(header)
-    date = (
-        F.when(pt, F.regexp_extract(line, fv.PT_HEADER, 1))
-        .when(ios, F.regexp_extract(line, fv.IOS_HEADER, 1))
-        .otherwise(F.regexp_extract(line, fv.ANDROID_HEADER, 1))
-    )
-    clock = F.when(ios, F.regexp_extract(line, fv.IOS_HEADER, 2)).when(
-        ~pt, F.regexp_extract(line, fv.ANDROID_HEADER, 2)
-    )
-    # For pt: 'hour:minute' and the first three letters of the part of the day.
-    pt_clock = F.when(pt, F.regexp_replace(line, fv.PT_HEADER, "$2:$3"))
-    period = F.when(pt, F.lower(F.left(F.regexp_extract(line, fv.PT_HEADER, 4), F.lit(3))))
-    packed = F.regexp_replace("_clock", r"(?U)[\s.]", "")
-    half = F.lower(F.right("_packed", F.lit(2)))
+    pt = F.col(style) == "pt"
+    clock = F.expr(f"substring(`{stamp}`, instr(`{stamp}`, ',') + 1)")
     df = (
-        df.withColumns({"_date": F.split(date, "/"), "_clock": strip(clock), "_pt": F.split(pt_clock, ":"), "_period": period})
-        .withColumn("_packed", packed)
-        .withColumn("_12h", F.col("_packed").rlike(fv.TIME_12H))
-        .withColumn("_period", F.when(F.col("_12h"), half).otherwise(F.col("_period")))
-        .withColumn(
-            "_hm",
-            F.when(pt, F.col("_pt"))
-            .when(F.col("_12h"), F.split(F.regexp_replace("_packed", fv.TIME_12H, "$1:$2"), ":"))
-            .when(F.col("_clock").rlike(fv.TIME_24H), F.split("_clock", ":")),
-        )
+        df.withColumns({"_date": F.split(F.substring_index(stamp, ",", 1), "/"), "_clock": strip(clock)})
+        # '9:05 p. m.' is 9:05pm; '9:41 da manhã' is 9:41damanhã.
+        .withColumn("_packed", F.lower(F.translate("_clock", fv.SPACES + ".", "")))
+        .withColumn("_12h", ~pt & F.endswith("_packed", F.lit("m")) & F.col("_packed").rlike(fv.TIME_12H))
+        .withColumn("_known", pt | F.col("_12h") | F.col("_clock").rlike(fv.TIME_24H))
+        .withColumn("_hm", F.when(F.col("_known"), F.split("_packed", ":")))
+        .withColumn("_mm", F.get("_hm", F.lit(1)))
         .withColumns(
             {
                 "_a": int_or_null(F.get("_date", F.lit(0))),
                 "_b": int_or_null(F.get("_date", F.lit(1))),
                 "_year": int_or_null(F.get("_date", F.lit(2))),
                 "_hour": int_or_null(F.get("_hm", F.lit(0))),
-                "_minute": int_or_null(F.get("_hm", F.lit(1))),
+                "_minute": int_or_null(F.left("_mm", F.lit(2))),
+                "_period": F.when(pt, F.substring("_mm", 5, 3)).when(F.col("_12h"), F.right("_mm", F.lit(2))),
             }
         )
     )
@@ -83,7 +69,7 @@ def with_timestamp(df: DataFrame, style: str, date_order: str, header: str, out:
         F.lit(0).cast("decimal(16,6)"),
     )
     return df.withColumn(out, made).drop(
-        "_date", "_clock", "_pt", "_period", "_packed", "_12h", "_hm", "_a", "_b", "_year", "_hour", "_minute"
+        "_date", "_clock", "_packed", "_12h", "_known", "_hm", "_mm", "_a", "_b", "_year", "_hour", "_minute", "_period"
     )
 
 
@@ -91,10 +77,5 @@ def iso_text(ts_local: Column, offset: str) -> Column:
     return F.concat(F.date_format(ts_local, "yyyy-MM-dd'T'HH:mm:ss"), F.lit(offset))
 
 
-def month_key(ts_local: Column) -> Column:
-    """'YYYY-MM' on the chat's own clock, or 'unknown'."""
-    return F.coalesce(F.date_format(ts_local, "yyyy-MM"), F.lit(fv.UNKNOWN_MONTH))
-
-
 def display_time(ts_local: Column, ts: Column) -> Column:
     return F.coalesce(F.date_format(ts_local, "yyyy-MM-dd HH:mm"), ts)

@@ -48,9 +48,9 @@ def header_evidence(
     for style in ("android", "ios"):
         # Only sampled headers reach the two extractions.
         voter = F.when(F.col(f"_{style}") & sampled, F.col("line"))
-        numbers = F.split(F.regexp_extract(voter, _HEADERS[style], 1), "/")
+        numbers = F.split(F.regexp_extract(voter, _HEADERS[style], fv.HEADER_DATE), "/")
         a, b = (int_or_null(F.get(numbers, F.lit(i))) for i in (0, 1))
-        packed = F.lower(F.regexp_replace(F.regexp_extract(voter, _HEADERS[style], 2), r"(?U)[\s.]", ""))
+        packed = F.lower(F.regexp_replace(F.regexp_extract(voter, _HEADERS[style], fv.HEADER_TIME), r"(?U)[\s.]", ""))
         aggs += [
             F.count_if((a > 12) & (b <= 12)).alias(f"dmy_{style}"),
             F.count_if((b > 12) & (a <= 12)).alias(f"mdy_{style}"),

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from chatweave.functions import fixed_values as fv
 from chatweave.functions.naming import guess_kind
 from chatweave.functions.text import sender_to_id, strip
-from chatweave.functions.times import iso_text, month_key, resolve_offset, with_timestamp
+from chatweave.functions.times import iso_text, resolve_offset, with_timestamp
 from chatweave.operators.blocks import BLOCK, BLOCK_ROWS, with_block
 from chatweave.operators.dialect import block_formats, is_header
 
@@ -102,30 +102,34 @@ def _in_order(line: Column) -> Column:
 
 def attachment_file(body: Column) -> Column:
     """File named by an attachment body, or null."""
-    # The file group cannot be empty, so an empty extract means no match.
-    suffix = F.regexp_extract(body, fv.ATTACHED_SUFFIX, 1)
-    tag = F.regexp_extract(body, fv.ATTACHED_TAG, 1)
+    # Few bodies end or start like an attachment; only those are matched. The file group cannot
+    # match nothing, so an empty extract means no match.
+    suffix = F.when(F.endswith(body, F.lit(")")), F.regexp_extract(body, fv.ATTACHED_SUFFIX, 1))
+    tag = F.when(F.startswith(body, F.lit("<")), F.regexp_extract(body, fv.ATTACHED_TAG, 1))
     return strip(F.coalesce(F.nullif(suffix, F.lit("")), F.nullif(tag, F.lit(""))))
 
 
 def type_messages(assembled: DataFrame, offset: str) -> DataFrame:
     """Split headers into their parts and give every message its type, text and media."""
     style, header = F.col("style"), F.col("source_line")
-    rest = (
-        F.when(style == "pt", F.regexp_extract(header, fv.PT_HEADER, 5))
-        .when(style == "ios", F.regexp_extract(header, fv.IOS_HEADER, 3))
-        .otherwise(F.regexp_extract(header, fv.ANDROID_HEADER, 3))
-    )
-    has_sender = F.col("_has_sender")
+
+    def part(group: int) -> Column:
+        return (
+            F.when(style == "pt", F.regexp_extract(header, fv.PT_HEADER, group))
+            .when(style == "ios", F.regexp_extract(header, fv.IOS_HEADER, group))
+            .otherwise(F.regexp_extract(header, fv.ANDROID_HEADER, group))
+        )
+
+    has_sender = F.col("_name") != ""  # the sender group cannot match nothing
     df = (
-        assembled.withColumn("_rest", rest)
-        .withColumn("_has_sender", F.col("_rest").rlike(fv.SENDER))
-        .withColumn("sender", F.when(has_sender, strip(F.regexp_extract("_rest", fv.SENDER, 1))))
+        assembled.withColumns({"_stamp": part(fv.HEADER_STAMP), "_rest": part(fv.HEADER_REST)})
+        .withColumn("_name", F.regexp_extract("_rest", fv.SENDER, 1))
+        .withColumn("sender", F.when(has_sender, strip(F.col("_name"))))
         .withColumn("_body", F.when(has_sender, F.regexp_extract("_rest", fv.SENDER, 2)).otherwise(F.col("_rest")))
         .withColumn("_file", attachment_file(F.col("_body")))
         .withColumn("_kind", F.when(F.col("_file").isNotNull(), guess_kind(F.col("_file"))))
     )
-    df = with_timestamp(df, "style", "date_order", "source_line", "ts_local")
+    df = with_timestamp(df, "_stamp", "style", "date_order", "ts_local")
     own_text = F.when(F.col("_file").isNull(), F.col("_body"))
     text = F.when(own_text.isNull() & F.col("tail").isNull(), F.lit(None).cast("string")).otherwise(
         F.concat_ws("\n", own_text, F.col("tail"))
@@ -144,7 +148,7 @@ def type_messages(assembled: DataFrame, offset: str) -> DataFrame:
     return (
         df.withColumn("ts", iso_text(F.col("ts_local"), offset))
         .withColumn("ts_utc", F.col("ts").cast("timestamp"))
-        .withColumn("month", month_key(F.col("ts_local")))
+        .withColumn("month", F.coalesce(F.left("ts", F.lit(7)), F.lit(fv.UNKNOWN_MONTH)))
         .withColumn(
             "type",
             F.coalesce("_kind", F.when(has_sender, F.lit("text")).otherwise(F.lit("system"))),
