@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from chatweave.functions import fixed_values as fv
 from chatweave.functions.naming import guess_kind
-from chatweave.functions.text import sender_to_id, strip
+from chatweave.functions.text import bind, sender_to_id, strip
 from chatweave.functions.times import iso_text, resolve_offset, with_timestamp
 from chatweave.operators.blocks import BLOCK, BLOCK_ROWS, with_block
 from chatweave.operators.dialect import block_formats, is_header
@@ -127,7 +127,9 @@ def type_messages(assembled: DataFrame, offset: str) -> DataFrame:
         .withColumn("sender", F.when(has_sender, strip(F.col("_name"))))
         .withColumn("_body", F.when(has_sender, F.regexp_extract("_rest", fv.SENDER, 2)).otherwise(F.col("_rest")))
         .withColumn("_file", attachment_file(F.col("_body")))
-        .withColumn("_kind", F.when(F.col("_file").isNotNull(), guess_kind(F.col("_file"))))
+        # Few messages have a file. Bound, its kind stays out of the compiled row loop, which must
+        # not outgrow 8000 bytes of code, or the JVM interprets it.
+        .withColumn("_kind", F.when(F.col("_file").isNotNull(), bind(F.col("_file"), guess_kind)))
     )
     df = with_timestamp(df, "_stamp", "style", "date_order", "ts_local")
     own_text = F.when(F.col("_file").isNull(), F.col("_body"))

@@ -6,13 +6,11 @@ the measures share it.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatweave.functions import fixed_values as fv
-from chatweave.functions.text import strip
+from chatweave.functions.text import bind, strip
 
 # '\r' becomes '\n'; the others go: byte-order mark, zero-width space, and controls but \t, \n.
 _DROPPED = "\ufeff\u200b" + "".join(chr(c) for c in range(32) if chr(c) not in "\t\n\r")
@@ -31,16 +29,6 @@ def tokens(col: Column) -> Column:
     return F.array_remove(F.split(F.lower(joined), " "), "")
 
 
-def bind(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with ``value`` computed once per row.
-
-    A lambda reads its outer expressions again for every element. Catalyst may also put the
-    definition of a column in place of its name, for example when it moves a filter down. As a
-    lambda variable the value stays computed once whatever the optimizer does.
-    """
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def longest_run(items: Column) -> Column:
     """Length of the longest stretch of equal neighbours in an array; 0 when empty.
 
