@@ -23,7 +23,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     rounds = int(os.environ.get("BENCH_RUNS", "3"))
-    budget = float(os.environ.get("BENCH_BUDGET", "900"))
+    budget = float(os.environ.get("BENCH_BUDGET", "300"))
     only = set(filter(None, os.environ.get("BENCH_ONLY", "").split(",")))
     spark = local_session(cpus, "bench")
     names = [n for n in REGISTRY if not only or n in only]
