@@ -52,7 +52,18 @@ def store(df: DataFrame) -> DataFrame:
     """
     path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/chatweave-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    stored._chatweave_path = path
+    return stored
+
+
+def release(df: DataFrame) -> None:
+    """Delete the files of a table that ``store`` wrote, once no later step reads it."""
+    path = getattr(df, "_chatweave_path", None)
+    if path:
+        jvm = df.sparkSession._jvm
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def ship_package(spark: SparkSession) -> None:
