@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatweave.llm import chat_format, media
+from chatweave.llm import chat_format, media, packing
 from chatweave.llm.common import store, table, texts_of
 from chatweave.plans.queries import Query
 
@@ -43,3 +43,15 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = store(media.texts_to_media(texts_of(table(spark, sf_dir, "documents"))))
     return media.feature_digest(media.media_features(stored))
+
+
+def tokenizer_path() -> str:
+    """The public byte-level vocabulary, as installed beside its Python package."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query()
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(texts_of(table(spark, sf_dir, "documents")), tokenizer_path())
