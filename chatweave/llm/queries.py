@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatweave.llm import chat_format, media, packing
+from chatweave.llm import chat_format, media, mixing, packing, quality_model, toxicity
 from chatweave.llm.common import store, table, texts_of
 from chatweave.plans.queries import Query
 
@@ -55,3 +55,18 @@ def tokenizer_path() -> str:
 @query()
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(texts_of(table(spark, sf_dir, "documents")), tokenizer_path())
+
+
+@query()
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(texts_of(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
+
+
+@query(mixing.mix_sql())
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.quality(texts_of(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
