@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatweave.llm import chat_format, media, mixing, packing, quality_model, toxicity
+from chatweave.llm import chat_format, line_dedup, media, minhash, mixing, packing, quality_model, toxicity
 from chatweave.llm.common import store, table, texts_of
 from chatweave.plans.queries import Query
 
@@ -70,3 +70,14 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.quality(texts_of(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
+
+
+@query(line_dedup.line_dedup_sql())
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.without_copies(docs).select("doc_id", "n_lines", "n_deleted", "text")
+
+
+@query(minhash.near_duplicates_sql())
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
