@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from chatweave.plans.session import release, ship_package, store
 
-__all__ = ["components", "fold", "mix", "release", "ship_package", "shingles", "store", "table", "texts_of", "word_hashes"]
+__all__ = ["components", "fold", "hash_block", "mix", "release", "ship_package", "shingles", "store", "table", "texts_of", "word_hashes"]
 
 #: Multiplier of the polynomial hash over the bytes of a word: any odd number will do.
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -62,7 +62,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"][:n], _POWERS["down"][:n]
 
 
-def _hash_block(block: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def hash_block(block: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index of the text, 64-bit hash, last two bytes as one number) of every word of some texts."""
     data = np.frombuffer(b"\n".join(block) + b"\n", np.uint8)
     space = _SPACE[data]
     word = ~space
@@ -74,7 +75,8 @@ def _hash_block(block: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up, out=sums[1:])
     hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
     limits = np.cumsum([len(b) + 1 for b in block])
-    return np.searchsorted(limits, starts, side="right"), hashes
+    last = data[ends - 1].astype(np.int64) * 256 + np.where(ends - starts > 1, data[ends - 2], 0)
+    return np.searchsorted(limits, starts, side="right"), hashes, last
 
 
 def word_hashes(texts: list[bytes]) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -88,7 +90,7 @@ def word_hashes(texts: list[bytes]) -> Iterator[tuple[int, list[np.ndarray]]]:
         while to < len(texts) and (to == at or size + len(texts[to]) < _CHUNK):
             size += len(texts[to]) + 1
             to += 1
-        owner, hashes = _hash_block(texts[at:to])
+        owner, hashes, _ = hash_block(texts[at:to])
         yield at, np.split(hashes, np.searchsorted(owner, np.arange(1, to - at)))
         at = to
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatweave.llm import cap_filters, chat_format, line_dedup, media, minhash, mixing, packing, quality_model, toxicity
+from chatweave.llm import cap_filters, chat_format, line_dedup, lm, media, minhash, mixing, packing, quality_model, toxicity
 from chatweave.llm.common import store, table, texts_of
 from chatweave.plans.queries import Query
 
@@ -86,3 +86,8 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(cap_filters.linked_sql())
 def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cap_filters.linked(table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(texts_of(table(spark, sf_dir, "documents")))

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatweave.llm.common import fold, release, ship_package, store, word_hashes
@@ -124,20 +124,25 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
     return Model(words, weights, bias)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score) for every row of ``docs`` (doc_id, text), whole texts; null text is empty."""
-    ship_package(docs.sparkSession)
+def score_column(text: Column, model: Model) -> Column:
+    """The score of whole texts; null text is empty."""
+
+    @F.pandas_udf("double")
+    def scored(texts: pd.Series) -> pd.Series:
+        return pd.Series([model.score(w) for w in words_of(list(texts))], dtype=float)
+
+    return scored(text)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            scores = [model.score(w) for w in words_of(list(batch["text"]))]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "score": scores})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, score double")
+def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of ``docs`` (doc_id, text, any more columns) that score below the threshold; nothing is shuffled."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return docs.where(score_column(F.col("text"), train(texts, labels)) < THRESHOLD)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of ``docs`` (doc_id, text)."""
-    return score(docs, train(docs, labels)).select(
+    scored = docs.select("doc_id", score_column(F.col("text"), train(docs, labels)).alias("score"))
+    return scored.select(
         "doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
     )
