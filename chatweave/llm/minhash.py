@@ -18,14 +18,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatweave.llm.common import components, mix, release, shingles, ship_package, store, word_hashes
+from chatweave.llm.common import components, mix, shingles, ship_package, store, word_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 20
 ROWS = 5
-#: Buckets of up to so many texts compare all their pairs; larger ones go by a pivot, with the same links.
-SMALL_BUCKET = 12
+#: Texts of one bucket that one task compares at once.
+BLOCK = 2048
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _UNIT = 2.0**-53
@@ -104,11 +104,11 @@ def _prepared(text: str | None) -> bytes:
     return (text or "").lower().encode()
 
 
-SIGNATURE_SCHEMA = "doc_id long, h1 long, h2 long, bands array<long>"
+SIGNATURE_SCHEMA = "doc_id long, h1 long, h2 long, bands array<long>, sketch binary"
 
 
 def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, k: int = SHINGLE) -> DataFrame:
-    """``SIGNATURE_SCHEMA``: hash of a text's words (128 bits) and of each band; null hashes for texts without words."""
+    """``SIGNATURE_SCHEMA``: hash of a text's words (128 bits) and of each band, and a byte of every value; nulls for texts without words."""
     ship_package(docs.sparkSession)
     number = np.arange(1, bands + 1, dtype=np.uint64) * _STEP
 
@@ -119,7 +119,7 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, k: int = S
             for start, blocks in word_hashes(texts):
                 for i, words in enumerate(blocks, start):
                     if not len(words):
-                        out.append((ids[i], None, None, []))
+                        out.append((ids[i], None, None, [], None))
                         continue
                     digest = hashlib.blake2b(b" ".join(texts[i].split()), digest_size=16).digest()
                     value = bag_minhash(*bag(words, k), bands * rows).reshape(bands, rows)
@@ -127,8 +127,8 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, k: int = S
                     for r in range(rows):
                         key = mix(key * _STEP + value[:, r])
                     h1, h2 = np.frombuffer(digest, np.int64)
-                    out.append((ids[i], h1, h2, key.view(np.int64)))
-            frame = pd.DataFrame(out, columns=["doc_id", "h1", "h2", "bands"])
+                    out.append((ids[i], h1, h2, key.view(np.int64), (value & np.uint64(255)).astype(np.uint8).tobytes()))
+            frame = pd.DataFrame(out, columns=["doc_id", "h1", "h2", "bands", "sketch"])
             yield frame.astype({"h1": "Int64", "h2": "Int64"})
 
     return docs.select("doc_id", "text").mapInPandas(run, SIGNATURE_SCHEMA)
@@ -158,49 +158,79 @@ def _bag_of(text: str, k: int) -> tuple[np.ndarray, np.ndarray]:
     return bag(words, k)
 
 
-def links(buckets: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def agreeing(buckets: DataFrame, groups: DataFrame, agree: int) -> DataFrame:
+    """(a, b): pairs of ``buckets`` (key, doc_id) in different ``groups`` (doc_id, component, sketch) whose
+    sketches agree in ``agree`` places or more.
+
+    Buckets of more than ``BLOCK`` texts are dealt into blocks and compared as pairs of blocks.
+    """
+    rows = buckets.join(groups, "doc_id")
+    sizes = rows.groupBy("key").agg(
+        F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")
+    ).where("low <> high")
+    parts = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
+    met = rows.join(sizes.select("key", parts.alias("parts")), "key")
+    met = met.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    keys = ["key", "lo", "hi"]
+    dealt = met.select(
+        "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "doc_id", "component", "sketch"
+    )
+
+    def compare(ids: np.ndarray, comp: np.ndarray, own: np.ndarray, lo: int, hi: int, sketch: list[bytes]) -> np.ndarray:
+        x, y = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
+        table = np.frombuffer(b"".join(sketch), np.uint8).reshape(len(ids), -1)
+        same = np.zeros((len(x), len(y)), np.int16)
+        for k in range(table.shape[1]):
+            same += table[x, k][:, None] == table[y, k][None, :]
+        i, j = np.nonzero((same >= agree) & (comp[x][:, None] != comp[y][None, :]))
+        pair = np.sort(np.column_stack([ids[x[i]], ids[y[j]]]), axis=1)
+        return np.unique(pair, axis=0)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def emit(rows: pd.DataFrame, ends: np.ndarray) -> pd.DataFrame:
+            ids, comp, own = (rows[c].to_numpy() for c in ("doc_id", "component", "own"))
+            lo, hi, sketch = rows["lo"].to_numpy(), rows["hi"].to_numpy(), rows["sketch"].tolist()
+            found = [np.zeros((0, 2), np.int64)]
+            for s, e in zip(np.append(0, ends[:-1]), ends, strict=True):
+                if e - s > 1:
+                    found.append(compare(ids[s:e], comp[s:e], own[s:e], lo[s], hi[s], sketch[s:e]))
+            return pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["a", "b"])
+
+        left = None
+        for batch in batches:
+            rows = batch if left is None else pd.concat([left, batch], ignore_index=True)
+            key = rows[keys].to_numpy()
+            ends = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
+            if len(ends):
+                yield emit(rows, ends)
+                rows = rows.iloc[ends[-1] :].reset_index(drop=True)
+            left = rows
+        if left is not None and len(left):
+            yield emit(left, np.array([len(left)]))
+
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, "a long, b long").distinct()
+
+
+def links(buckets: DataFrame, sketches: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Verified pairs (a, b) that connect all texts which meet in a bucket and are similar.
 
-    ``buckets`` holds (key, doc_id). Small buckets compare all pairs. In a large one every text is
-    compared with the first, the pivot. Texts similar to it are connected through it. The
-    distance 1 - similarity obeys the triangle inequality, so a text too far from the pivot can
-    be similar only to texts whose distance to the pivot is lower by at most 1 - similarity:
-    those are compared, and the far texts form a bucket of their own for the next round.
+    First every text is compared with the first of its bucket: that connects groups of copies in
+    as many comparisons as they have members. Texts of a bucket that are still apart are compared
+    by their sketches, all with all, in blocks; those that agree enough are verified. A pair of the
+    wanted similarity agrees in ``size * similarity`` places of a sketch on average; pairs are let
+    through from four standard deviations below.
     """
-    reach = 1 - similarity
-    done, todo = None, buckets
-    while True:
-        sizes = todo.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("pivot")).where("n > 1")
-        members = store(todo.join(sizes, "key"))
-        small = members.where(F.col("n") <= SMALL_BUCKET).select("key", "doc_id")
-        other = small.select("key", F.col("doc_id").alias("b"))
-        within = small.withColumnRenamed("doc_id", "a").join(other, "key").where("a < b").select("a", "b")
-        large = members.where(F.col("n") > SMALL_BUCKET)
-        with_pivot = large.where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b"))
-        checked = store(verified(within.unionByName(with_pivot).distinct(), texts))
-        similar = checked.where(F.col("similarity") >= similarity).select("a", "b")
-        done = similar if done is None else done.unionByName(similar)
-        far = store(
-            large.where("doc_id <> pivot")
-            .join(checked, (F.col("pivot") == F.col("a")) & (F.col("doc_id") == F.col("b")))
-            .select("key", "doc_id", (1 - F.col("similarity")).alias("distance"))
-        )
-        outside = far.where(F.col("distance") > reach + 1e-9)
-        if not outside.limit(1).count():
-            return done
-        near = far.where(F.col("distance") <= reach + 1e-9)
-        least = outside.groupBy("key").agg(F.min("distance").alias("least"))
-        near = near.join(least, "key").where(F.col("distance") >= F.col("least") - reach - 1e-9).drop("least")
-        across = (
-            near.select("key", F.col("doc_id").alias("x"), F.col("distance").alias("near"))
-            .join(outside.select("key", F.col("doc_id").alias("y"), "distance"), "key")
-            .where(F.col("near") >= F.col("distance") - reach - 1e-9)
-            .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-            .distinct()
-        )
-        done = done.unionByName(store(verified(across, texts)).where(F.col("similarity") >= similarity).select("a", "b"))
-        release(members)
-        todo = outside.select("key", "doc_id")
+    firsts = buckets.groupBy("key").agg(F.min("doc_id").alias("a"))
+    star = buckets.join(firsts, "key").where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
+    near = store(verified(star, texts).where(F.col("similarity") >= similarity).select("a", "b"))
+    grouped = components(near).select(F.col("node").alias("doc_id"), "component")
+    groups = sketches.join(grouped, "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"), "sketch")
+    size = BANDS * ROWS
+    agree = int(size * similarity - 4 * np.sqrt(size * similarity * (1 - similarity)))
+    across = store(agreeing(buckets, groups, agree))
+    more = verified(across, texts).where(F.col("similarity") >= similarity).select("a", "b")
+    return near.unionByName(store(more))
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -214,16 +244,19 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     raw = signatures(texts.where("doc_id IS NOT NULL"))
-    once = store(raw.groupBy("doc_id").agg(F.min(F.struct("h1", "h2", "bands")).alias("s")).select("doc_id", "s.*"))
+    once = store(raw.groupBy("doc_id").agg(F.min(F.struct("h1", "h2", "bands", "sketch")).alias("s")).select("doc_id", "s.*"))
     known = once.where("h1 IS NOT NULL")
-    classes = known.groupBy("h1", "h2").agg(F.min("doc_id").alias("class_id"), F.first("bands").alias("bands"))
-    classes = store(classes)
+    classes = store(
+        known.groupBy("h1", "h2")
+        .agg(F.min("doc_id").alias("class_id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    )
     buckets = classes.select(F.explode("bands").alias("key"), F.col("class_id").alias("doc_id"))
     shared = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     buckets = store(buckets.join(shared, "key"))
     wanted = buckets.select("doc_id").distinct()
     some = store(texts.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).repartition("doc_id"))
-    grouped = components(links(buckets, some, similarity))
+    sketches = classes.select(F.col("class_id").alias("doc_id"), "sketch").join(wanted, "doc_id", "left_semi")
+    grouped = components(links(buckets, sketches, some, similarity))
     member = classes.join(grouped, F.col("class_id") == F.col("node"), "left").select(
         "h1", "h2", "class_id", F.coalesce("component", "class_id").alias("component_id")
     )
