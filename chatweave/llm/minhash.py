@@ -25,7 +25,7 @@ SIMILARITY = 0.8
 BANDS = 20
 ROWS = 5
 #: Texts of one bucket that one task compares at once.
-BLOCK = 2048
+BLOCK = 1024
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _UNIT = 2.0**-53
@@ -158,44 +158,57 @@ def _bag_of(text: str, k: int) -> tuple[np.ndarray, np.ndarray]:
     return bag(words, k)
 
 
-def agreeing(buckets: DataFrame, groups: DataFrame, agree: int) -> DataFrame:
-    """(a, b): pairs of ``buckets`` (key, doc_id) in different ``groups`` (doc_id, component, sketch) whose
-    sketches agree in ``agree`` places or more.
+def links_across(
+    buckets: DataFrame, groups: DataFrame, texts: DataFrame, agree: int, similarity: float, k: int = SHINGLE
+) -> DataFrame:
+    """(a, b): similar pairs of ``buckets`` (key, doc_id) in different ``groups`` (doc_id, component, bands, sketch).
 
-    Buckets of more than ``BLOCK`` texts are dealt into blocks and compared as pairs of blocks.
+    Pairs whose sketches agree in ``agree`` places are verified where they meet, each in the first
+    band they share. Buckets of more than ``BLOCK`` texts are dealt into blocks and compared
+    as pairs of blocks, so a task holds two blocks at most.
     """
     rows = buckets.join(groups, "doc_id")
     sizes = rows.groupBy("key").agg(
         F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")
     ).where("low <> high")
     parts = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
-    met = rows.join(sizes.select("key", parts.alias("parts")), "key")
+    met = rows.join(sizes.select("key", parts.alias("parts")), "key").join(texts, "doc_id")
     met = met.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     keys = ["key", "lo", "hi"]
     dealt = met.select(
-        "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "doc_id", "component", "sketch"
+        "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "doc_id", "component", "bands", "sketch", "text"
     )
 
-    def compare(ids: np.ndarray, comp: np.ndarray, own: np.ndarray, lo: int, hi: int, sketch: list[bytes]) -> np.ndarray:
+    def compare(rows: pd.DataFrame) -> list[tuple[int, int]]:
+        ids, comp, own = (rows[c].to_numpy() for c in ("doc_id", "component", "own"))
+        key, lo, hi = (rows[c].iloc[0] for c in keys)
         x, y = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
-        table = np.frombuffer(b"".join(sketch), np.uint8).reshape(len(ids), -1)
+        table = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(len(ids), -1)
         same = np.zeros((len(x), len(y)), np.int16)
-        for k in range(table.shape[1]):
-            same += table[x, k][:, None] == table[y, k][None, :]
-        i, j = np.nonzero((same >= agree) & (comp[x][:, None] != comp[y][None, :]))
-        pair = np.sort(np.column_stack([ids[x[i]], ids[y[j]]]), axis=1)
-        return np.unique(pair, axis=0)
+        for i in range(table.shape[1]):
+            same += table[x, i][:, None] == table[y, i][None, :]
+        wanted = (same >= agree) & (comp[x][:, None] != comp[y][None, :])
+        if lo == hi:
+            wanted = np.triu(wanted, 1)
+        bands = np.stack(rows["bands"].to_numpy())
+        for i in range(int(np.flatnonzero(bands[0] == key)[0])):
+            wanted &= bands[x, i][:, None] != bands[y, i][None, :]
+        bags: dict[int, tuple] = {}
+        out = []
+        for i, j in zip(*np.nonzero(wanted), strict=True):
+            pair = (int(x[i]), int(y[j]))
+            for r in pair:
+                if r not in bags:
+                    bags[r] = _bag_of(rows["text"].iloc[r], k)
+            if weighted_jaccard(bags[pair[0]], bags[pair[1]]) >= similarity:
+                out.append((min(ids[pair[0]], ids[pair[1]]), max(ids[pair[0]], ids[pair[1]])))
+        return out
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def emit(rows: pd.DataFrame, ends: np.ndarray) -> pd.DataFrame:
-            ids, comp, own = (rows[c].to_numpy() for c in ("doc_id", "component", "own"))
-            lo, hi, sketch = rows["lo"].to_numpy(), rows["hi"].to_numpy(), rows["sketch"].tolist()
-            found = [np.zeros((0, 2), np.int64)]
-            for s, e in zip(np.append(0, ends[:-1]), ends, strict=True):
-                if e - s > 1:
-                    found.append(compare(ids[s:e], comp[s:e], own[s:e], lo[s], hi[s], sketch[s:e]))
-            return pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["a", "b"])
+            found = [p for s, e in zip(np.append(0, ends[:-1]), ends, strict=True) if e - s > 1 for p in compare(rows.iloc[s:e])]
+            return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
 
         left = None
         for batch in batches:
@@ -209,28 +222,27 @@ def agreeing(buckets: DataFrame, groups: DataFrame, agree: int) -> DataFrame:
         if left is not None and len(left):
             yield emit(left, np.array([len(left)]))
 
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, "a long, b long").distinct()
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, "a long, b long")
 
 
 def links(buckets: DataFrame, sketches: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Verified pairs (a, b) that connect all texts which meet in a bucket and are similar.
 
-    First every text is compared with the first of its bucket: that connects groups of copies in
-    as many comparisons as they have members. Texts of a bucket that are still apart are compared
+    First every text is compared with one text of each of its buckets, chosen by a hash of both: that
+    connects groups of copies in a few comparisons for each member. Texts of a bucket that are still apart are compared
     by their sketches, all with all, in blocks; those that agree enough are verified. A pair of the
     wanted similarity agrees in ``size * similarity`` places of a sketch on average; pairs are let
     through from four standard deviations below.
     """
-    firsts = buckets.groupBy("key").agg(F.min("doc_id").alias("a"))
-    star = buckets.join(firsts, "key").where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
+    pivots = buckets.groupBy("key").agg(F.min_by("doc_id", F.xxhash64("key", "doc_id")).alias("pivot"))
+    a, b = F.least("pivot", "doc_id").alias("a"), F.greatest("pivot", "doc_id").alias("b")
+    star = buckets.join(pivots, "key").where("doc_id <> pivot").select(a, b).distinct()
     near = store(verified(star, texts).where(F.col("similarity") >= similarity).select("a", "b"))
     grouped = components(near).select(F.col("node").alias("doc_id"), "component")
-    groups = sketches.join(grouped, "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"), "sketch")
+    groups = sketches.join(grouped, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     size = BANDS * ROWS
     agree = int(size * similarity - 4 * np.sqrt(size * similarity * (1 - similarity)))
-    across = store(agreeing(buckets, groups, agree))
-    more = verified(across, texts).where(F.col("similarity") >= similarity).select("a", "b")
-    return near.unionByName(store(more))
+    return near.unionByName(store(links_across(buckets, groups, texts, agree, similarity)))
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -255,7 +267,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     buckets = store(buckets.join(shared, "key"))
     wanted = buckets.select("doc_id").distinct()
     some = store(texts.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).repartition("doc_id"))
-    sketches = classes.select(F.col("class_id").alias("doc_id"), "sketch").join(wanted, "doc_id", "left_semi")
+    sketches = classes.select(F.col("class_id").alias("doc_id"), "bands", "sketch").join(wanted, "doc_id", "left_semi")
     grouped = components(links(buckets, sketches, some, similarity))
     member = classes.join(grouped, F.col("class_id") == F.col("node"), "left").select(
         "h1", "h2", "class_id", F.coalesce("component", "class_id").alias("component_id")
