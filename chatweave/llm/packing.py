@@ -26,11 +26,11 @@ from chatweave.llm.common import ship_package, store
 
 CAPACITY = 2048
 END_ID = 0
-ROUNDS = 500
+ROUNDS = 400
 #: Rounds that a length takes to be served wholly, at least.
-STEPS = 2
+STEPS = 4
 #: How far a length's price can rise above its share of a sequence while it lags behind.
-WEIGHT = 0.1
+WEIGHT = 0.5
 #: Pieces numbered by one task; more pieces of one length are numbered by more tasks.
 NUMBERED_AT_ONCE = 200_000
 
@@ -141,7 +141,8 @@ def fractional_patterns(
     Multiplicative weights for the covering program: the price of a length falls exponentially
     with the share of its need that is met. Each round buys the dearest pattern, one step (a share
     of 1/steps) of the need of the length it serves best. A length that is wholly met is not sold
-    any more, so nothing is served too often.
+    any more, so nothing is served too often. Buying ends when even the dearest pattern leaves
+    room: what is left then packs better one by one.
     """
     left = need.astype(float)
     rate = 2.0 * np.log(len(lengths) + 2)
@@ -156,6 +157,8 @@ def fractional_patterns(
         counts = dearest_pattern(lengths[open_], prices, capacity)
         used = counts > 0
         at, times = open_[used], counts[used]
+        if lengths[at] @ times < capacity:
+            break
         amount = min((need[at] / times).min() / steps, (left[at] / times).min())
         amount = max(amount, min(1.0, (left[at] / times).min()))
         left[at] -= amount * times
