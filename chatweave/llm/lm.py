@@ -42,7 +42,7 @@ LANES = 64
 SPANS_PER_TRAINER = 4000
 ROUNDS = 2
 #: Tokens and documents scored side by side.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 3 << 20
 SCORED_LANES = 256
 SCORED_WINDOW = 64
 LN10 = np.log(10)
