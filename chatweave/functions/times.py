@@ -50,7 +50,7 @@ def with_timestamp(df: DataFrame, stamp: str, style: str, date_order: str, out:
                 "_year": int_or_null(F.get("_date", F.lit(2))),
                 "_hour": int_or_null(F.get("_hm", F.lit(0))),
                 "_minute": int_or_null(F.left("_mm", F.lit(2))),
-                "_period": F.when(pt, F.substring("_mm", 5, 3)).when(F.col("_12h"), F.right("_mm", F.lit(2))),
+                "_period": F.when(pt, F.substring("_mm", 5, 3)).when(F.col("_12h"), F.right("_packed", F.lit(2))),
             }
         )
     )

@@ -6,7 +6,6 @@ function ``(row: dict) -> str`` or ``(row: dict, quality_retry: bool) -> str``.
 
 from __future__ import annotations
 
-import inspect
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -20,25 +19,19 @@ from chatweave.plans.session import ship_package, store
 MakeModel = Callable[[], Callable[..., str]]
 
 
-def _takes_retry(model: Callable[..., str]) -> bool:
-    try:
-        params = inspect.signature(model).parameters
-    except (TypeError, ValueError):
-        return True
-    return "quality_retry" in params or any(p.kind is p.VAR_KEYWORD for p in params.values())
-
-
 def apply_model(
     items: DataFrame,
     make_model: MakeModel,
     keys: Sequence[str],
     quality_retry: bool = False,
     tasks: int | None = None,
+    supports_retry: bool = False,
 ) -> DataFrame:
     """(keys, text, error): what the model says about each row.
 
     A row on which the model raises gives an ``error`` instead of a text and the job goes on.
     ``tasks`` sets how many model copies run; rows are dealt out evenly, whatever their keys.
+    A model that can try harder takes ``quality_retry``; the caller says so by ``supports_retry``.
     """
     keys = list(keys)
     ship_package(items.sparkSession)
@@ -50,7 +43,7 @@ def apply_model(
         for batch in batches:
             if model is None:
                 model = make_model()
-                options = {"quality_retry": quality_retry} if _takes_retry(model) else {}
+                options = {"quality_retry": quality_retry} if supports_retry else {}
             texts, errors = [], []
             for row in batch.to_dict("records"):
                 try:
@@ -71,6 +64,7 @@ def transcribe(
     keys: Sequence[str],
     existing: DataFrame | None = None,
     tasks: int | None = None,
+    supports_retry: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """Run a model over ``items``, check the results, retry the flagged ones once.
 
@@ -82,7 +76,7 @@ def transcribe(
     executor must not make the retry decision differ from the text that is kept.
     """
     keys = list(keys)
-    first = store(apply_model(items, make_model, keys, tasks=tasks))
+    first = store(apply_model(items, make_model, keys, tasks=tasks, supports_retry=supports_retry))
     made = first.where(F.col("error").isNull()).select(*keys, normalize_text(F.col("text")).alias("text"))
     checked = assess_quality(made).withColumn("source", F.lit("new"))
     if existing is not None:
@@ -91,7 +85,7 @@ def transcribe(
     flagged = store(retry_candidates(checked, keys, "source"))
     inputs = items if existing is None else items.unionByName(existing.drop("text"))
     again = apply_model(
-        inputs.join(flagged.select(*keys), keys, "left_semi"), make_model, keys, quality_retry=True, tasks=tasks
+        inputs.join(flagged.select(*keys), keys, "left_semi"), make_model, keys, quality_retry=True, tasks=tasks, supports_retry=supports_retry
     )
     retried = store(
         assess_quality(again.select(*keys, normalize_text(F.col("text")).alias("retry_text"), "error"), "retry_text")

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HOT_ROWS = 200_000
-HOT_KEYS = 512
-SALTS = 64
+#: Tasks for rows without a key: they match nothing, so this only spreads them.
+NULL_SALTS = 256
 
 
 def salted_left_join(
@@ -19,39 +19,29 @@ def salted_left_join(
     row_id: Column,
     key_counts: DataFrame | None = None,
     hot_rows: int = HOT_ROWS,
-    salts: int = SALTS,
+    salts: int | None = None,
 ) -> DataFrame:
     """``left`` join ``right`` (unique on ``keys``), result exact for every key.
 
-    Keys with ``hot_rows`` left rows or more are spread over ``salts`` tasks and their one
-    right row is repeated as often. At most ``HOT_KEYS`` keys, the largest ones, are treated so:
-    that bounds the broadcast list, and any other key holds less than 1/HOT_KEYS of the rows.
-    Rows with a null key match nothing and are spread as well, so they do not meet in one task.
+    A key with ``hot_rows`` left rows or more is spread over as many tasks as it has times that
+    many rows (or over ``salts``), and its one right row is repeated as often. All such keys are
+    treated so; there are at most rows / hot_rows of them, and Spark decides by their size how
+    to join them. Rows with a null key match nothing and are spread as well, so they do
+    not meet in one task.
 
     ``key_counts`` (keys, n) saves a pass over ``left`` if the caller has it already.
     """
     keys = list(keys)
     if key_counts is None:
         key_counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    hot = F.broadcast(
-        key_counts.where(F.col("n") >= hot_rows)
-        .orderBy(F.desc("n"), *keys)
-        .limit(HOT_KEYS)
-        .select(*keys, F.lit(True).alias("_hot"))
-    )
+    parts = F.lit(salts) if salts else F.ceil(F.col("n") / F.lit(hot_rows)) + 1
+    hot = key_counts.where(F.col("n") >= hot_rows).select(*keys, parts.cast("int").alias("_parts"))
     no_key = F.lit(False)
     for k in keys:
         no_key = no_key | F.col(k).isNull()
-    spread = F.pmod(F.xxhash64(row_id), F.lit(salts)).cast("int")
-    salted_left = (
-        left.join(hot, keys, "left")
-        .withColumn("_salt", F.when(F.col("_hot") | no_key, spread).otherwise(F.lit(0)))
-        .drop("_hot")
-    )
-    all_salts = F.array(*[F.lit(i) for i in range(salts)])
-    salted_right = (
-        right.join(hot, keys, "left")
-        .withColumn("_salt", F.explode(F.when(F.col("_hot"), all_salts).otherwise(F.array(F.lit(0)))))
-        .drop("_hot")
-    )
+    no_key_parts = F.lit(salts or NULL_SALTS)
+    salt = F.pmod(F.xxhash64(row_id), F.coalesce("_parts", F.when(no_key, no_key_parts), F.lit(1))).cast("int")
+    salted_left = left.join(hot, keys, "left").withColumn("_salt", salt).drop("_parts")
+    every = F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)
+    salted_right = right.join(hot, keys, "left").withColumn("_salt", F.explode(every)).drop("_parts")
     return salted_left.join(salted_right, [*keys, "_salt"], "left").drop("_salt")

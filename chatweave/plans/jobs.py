@@ -89,7 +89,7 @@ def publish(
     stored = messages.sparkSession.read.schema(messages.schema).parquet(stored_at)
     write_conversations(stored, f"{out_dir}/conversation")
     write_transcripts(stored, f"{out_dir}/transcript", options.markdown_chars)
-    events = append_months(stored, out_dir, batch)
+    events = append_months(stored, out_dir, batch, options.markdown_chars)
     report = chat_report(stored)
     texts = report_text(
         report,

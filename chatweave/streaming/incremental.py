@@ -24,9 +24,9 @@ MARKER_SCHEMA = "chat_id string, batch bigint, msg_idx bigint, ts string, source
 
 
 def last_markers(written: DataFrame) -> DataFrame:
-    """(chat_id, month, ts, source_line) of the last row written, by (batch, msg_idx)."""
+    """(chat_id, month, ts, source_line) of the last row written, by (batch, msg_idx); torn lines name no chat and do not count."""
     return (
-        written.groupBy("chat_id", "month")
+        written.where("chat_id IS NOT NULL").groupBy("chat_id", "month")
         .agg(F.max_by(F.struct("ts", "source_line"), F.struct("batch", "msg_idx")).alias("m"))
         .select("chat_id", "month", "m.ts", "m.source_line")
     )
@@ -74,7 +74,9 @@ def _read(spark: SparkSession, folder: str) -> DataFrame | None:
         raise
 
 
-def append_months(messages: DataFrame, out_dir: str, batch: int) -> DataFrame | None:
+def append_months(
+    messages: DataFrame, out_dir: str, batch: int, markdown_chars: int = fv.MARKDOWN_CLIP_CHARS
+) -> DataFrame | None:
     """Append new messages to ``out_dir/by-month/month=YYYY-MM``; returns missing-marker events.
 
     ``batch`` must grow from run to run. Rows are laid out by (month, chat, message) ranges, which
@@ -91,7 +93,7 @@ def append_months(messages: DataFrame, out_dir: str, batch: int) -> DataFrame |
         events = missing_marker_events(located)
     (
         new.withColumn("batch", F.lit(batch).cast("long"))
-        .withColumn("md", bullet())
+        .withColumn("md", bullet(markdown_chars))
         .select(
             "month", "chat_id", "batch", "msg_idx", "ts", "sender", "type", "text", "media", "enrichment",
             "source_line", "sender_id", "md",

@@ -184,3 +184,13 @@ def test_count_messages(lines_of, parsed):
     counts = {r.chat_id: r.n_messages for r in count_messages(lines_of(CHATS)).collect()}
     assert {k: v for k, v in counts.items() if v} == {k: len(v) for k, v in parsed.items()}
     assert counts["none"] == 0
+
+
+@pytest.mark.parametrize(
+    ("clock", "time"),
+    [("9:41:30 PM", "21:41"), ("12:05:09 AM", "00:05"), ("9:05:10 p. m.", "21:05"), ("12:30:00 PM", "12:30"), ("21:41:30", "21:41")],
+)
+@pytest.mark.parametrize("line", ["[4/17/2024, {}] Mara: note", "4/17/2024, {} - Mara: note"])
+def test_clock_with_seconds(lines_of, line, clock, time):
+    text = "\n".join([line.format(clock), line.format(clock)])
+    assert [m.ts[11:16] for m in parse_messages(lines_of({"c": text}), tz_offset="+00:00").collect()] == [time, time]
