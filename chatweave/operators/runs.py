@@ -46,21 +46,20 @@ def stage_seconds(manifest: DataFrame) -> DataFrame:
 
 
 def open_runs(manifest: DataFrame) -> DataFrame:
-    """(run_id, last_start, last_end) of logs whose last start has no end after it."""
+    """(run_id, last_start, last_end, last_seq) of logs whose last start has no end after it."""
 
     def last(kind: str) -> Column:
         return F.coalesce(F.max(F.when(F.col("type") == kind, F.col("seq"))), F.lit(-1))
 
     return (
-        manifest.where(F.col("type").isin("run_start", "run_end"))
-        .groupBy("run_id")
-        .agg(last("run_start").alias("last_start"), last("run_end").alias("last_end"))
+        manifest.groupBy("run_id")
+        .agg(last("run_start").alias("last_start"), last("run_end").alias("last_end"), F.max("seq").alias("last_seq"))
         .where(F.col("last_start") > F.col("last_end"))
     )
 
 
 def closing_events(manifest: DataFrame, reason: str) -> DataFrame:
-    """The two rows that close each open run."""
+    """The two rows that close each open run, numbered on from its last event: ready for ``append_events``."""
     empty = F.lit(None).cast("string")
     stopped = F.struct(
         F.lit("run_stopped").alias("type"), F.lit(reason).alias("reason"), empty.alias("status"),
@@ -70,7 +69,8 @@ def closing_events(manifest: DataFrame, reason: str) -> DataFrame:
         F.lit("run_end").alias("type"), empty.alias("reason"), F.lit("stopped").alias("status"),
         F.lit(0.0).alias("elapsed_seconds"),
     )
-    return open_runs(manifest).select("run_id", F.inline(F.array(stopped, ended)))
+    closing = open_runs(manifest).select("run_id", "last_seq", F.posexplode(F.array(stopped, ended)).alias("_pos", "_event"))
+    return closing.select("run_id", (F.col("last_seq") + 1 + F.col("_pos")).alias("seq"), "_event.*")
 
 
 def effective_progress(total: Column, media_done: Column, remaining: Column) -> tuple[Column, Column]:

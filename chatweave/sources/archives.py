@@ -15,7 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatweave.plans.session import ship_package
+from chatweave.plans.session import ship_package, store
+from chatweave.sources.lines import spread
 
 CHUNK_BYTES = 8 << 20
 LINE_BATCH = 20_000
@@ -52,7 +53,8 @@ def list_archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def list_entries(archives: DataFrame) -> DataFrame:
-    """(archive, entry, path, length, problem): files in each archive, from its directory only.
+    """(archive, entry, path, length, problem): files in each archive, from its directory only. Of entries
+    that unpack to one path, the last one counts.
 
     ``problem`` is set on a row for an archive that cannot be read, and on unsafe entries.
     """
@@ -69,14 +71,10 @@ def list_entries(archives: DataFrame) -> DataFrame:
                         columns=["archive", "entry", "path", "length", "problem"],
                     )
                     continue
-                rows = [
-                    (
-                        uri, i.filename, entry_path(i.filename), i.file_size,
-                        f"unsafe entry path: {i.filename}" if leaves_root(i.filename) else None,
-                    )
-                    for i in infos
-                    if not i.is_dir() or leaves_root(i.filename)
-                ]
+                unsafe = [i for i in infos if leaves_root(i.filename)]
+                last = {entry_path(i.filename): i for i in infos if not i.is_dir() and not leaves_root(i.filename)}
+                rows = [(uri, i.filename, entry_path(i.filename), i.file_size, f"unsafe entry path: {i.filename}") for i in unsafe]
+                rows += [(uri, i.filename, path, i.file_size, None) for path, i in last.items()]
                 yield pd.DataFrame(rows, columns=["archive", "entry", "path", "length", "problem"]).astype(
                     {"length": "Int64"}
                 )
@@ -97,8 +95,35 @@ def split_entries(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     return entries.join(rejects, "archive", "left_anti").drop("problem"), rejects
 
 
+def sound_entries(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entries of archives in which every given entry can be unpacked, one reject row per other archive).
+
+    Every given entry is read to its end once, which checks its sum; nothing of it is kept.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            problems = [_entry_problem(row.archive, row.entry) for row in batch.itertuples()]
+            yield batch.assign(problem=problems).dropna(subset=["problem"])[["archive", "problem"]]
+
+    broken = spread(entries.select("archive", "entry"), "archive", "entry").mapInPandas(run, "archive string, problem string")
+    rejects = store(broken.groupBy("archive").agg(F.min("problem").alias("reason")))
+    return entries.join(rejects, "archive", "left_anti"), rejects
+
+
+def _entry_problem(archive: str, entry: str) -> str | None:
+    try:
+        with _open_zip(archive) as z, z.open(entry) as f:
+            while f.read(CHUNK_BYTES):
+                pass
+    except Exception as e:  # a bad sum, bad compressed data, a password
+        return f"unreadable entry: {entry}: {e}"
+    return None
+
+
 def extract(entries: DataFrame, tasks: int | None = None) -> DataFrame:
-    """(archive, path, chunk_no, content): entries unpacked, in pieces of CHUNK_BYTES."""
+    """(archive, path, chunk_no, content): entries unpacked, in pieces of CHUNK_BYTES. Bad entries end the job:
+    give it ``sound_entries``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -111,8 +136,8 @@ def extract(entries: DataFrame, tasks: int | None = None) -> DataFrame:
                         )
                         n += 1
 
-    spread = entries.repartition(tasks) if tasks else entries.repartition("archive", "entry")
-    return spread.select("archive", "entry", "path").mapInPandas(
+    dealt = entries.repartition(tasks) if tasks else spread(entries, "archive", "entry")
+    return dealt.select("archive", "entry", "path").mapInPandas(
         run, "archive string, path string, chunk_no bigint, content binary"
     )
 
@@ -134,10 +159,8 @@ def entry_lines(entries: DataFrame) -> DataFrame:
                     if held:
                         yield _line_frame(row, start, held)
 
-    return (
-        entries.select("archive", "entry", "path")
-        .repartition("archive", "entry")
-        .mapInPandas(run, "archive string, path string, line_no bigint, line string")
+    return spread(entries.select("archive", "entry", "path"), "archive", "entry").mapInPandas(
+        run, "archive string, path string, line_no bigint, line string"
     )
 
 
@@ -148,10 +171,12 @@ def _line_frame(row, start: int, lines: list[str]) -> pd.DataFrame:
 
 
 def read_archive_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(chat_lines, rejects) of all .zip exports below a folder; chat_id is the archive location."""
+    """(chat_lines, rejects) of all .zip exports below a folder; chat_id is the archive location.
+
+    An archive whose chat cannot be unpacked is a reject, the others are read."""
     from chatweave.sources.exports import chat_files, export_roots
 
-    entries, rejects = split_entries(list_entries(list_archives(spark, path)))
+    entries, rejects = split_entries(store(list_entries(list_archives(spark, path))))
     files = entries.select(F.col("archive").alias("export"), "path", "length")
     chosen = chat_files(files, export_roots(files))
     none = chosen.where(F.col("chat_path").isNull()).select(
@@ -160,8 +185,9 @@ def read_archive_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataF
     wanted = chosen.where(F.col("chat_path").isNotNull()).select(
         F.col("export").alias("archive"), F.col("chat_path").alias("path")
     )
-    lines = entry_lines(entries.join(wanted, ["archive", "path"], "left_semi"))
+    chats, broken = sound_entries(store(entries.join(wanted, ["archive", "path"], "left_semi")))
+    lines = entry_lines(chats)
     return (
         lines.select(F.col("archive").alias("chat_id"), "path", "line_no", "line"),
-        rejects.unionByName(none),
+        rejects.unionByName(none).unionByName(broken),
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chatweave.functions.naming import relative_path
 from chatweave.operators.runs import stamp
-from chatweave.sources.lines import read_lines
+from chatweave.sources.lines import plain_folder, read_lines
 
 
 def parse_manifest(lines: DataFrame) -> DataFrame:
@@ -35,11 +35,28 @@ def parse_manifest(lines: DataFrame) -> DataFrame:
 
 
 def read_manifest(spark: SparkSession, folder: str, glob: str = "*.jsonl") -> DataFrame:
-    """All logs below a folder; ``run_id`` is a log's path below it and ``seq`` its line number."""
+    """All log files below a folder; ``run_id`` is a log's path below it and ``seq`` its line number."""
     lines = read_lines(spark, folder, glob)
-    return parse_manifest(lines.withColumn("run_id", relative_path(F.col("path"), folder)))
+    return parse_manifest(lines.withColumn("run_id", relative_path(F.col("path"), plain_folder(folder))))
 
 
 def append_events(events: DataFrame, folder: str) -> None:
-    """Append events as JSON lines, one folder per run; events get a time if they have none."""
-    stamp(events).write.mode("append").partitionBy("run_id").json(folder)
+    """Append events (run_id, seq, type, any more columns) as JSON lines; those without a time get one.
+
+    A line holds its run and its place in the run, so it does not matter how many files and
+    appends a run is spread over.
+    """
+    missing = {"run_id", "seq", "type"} - set(events.columns)
+    if missing:
+        raise ValueError(f"events without {sorted(missing)}")
+    stamp(events).write.mode("append").json(folder)
+
+
+def read_events(spark: SparkSession, folder: str) -> DataFrame:
+    """The log that ``append_events`` wrote, with the columns of ``parse_manifest``."""
+    lines = spark.read.text(folder).select(
+        F.get_json_object("value", "$.run_id").alias("run_id"),
+        F.get_json_object("value", "$.seq").cast("long").alias("line_no"),
+        F.col("value").alias("line"),
+    )
+    return parse_manifest(lines)

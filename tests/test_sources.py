@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from chatweave.operators.parse import parse_messages
 from chatweave.sources import archives, artifacts, exports
 from chatweave.sources.chats import choose_chats, list_exports, read_chat_lines
-from chatweave.sources.lines import read_lines
-from chatweave.sources.manifest import append_events, parse_manifest, read_manifest
+from chatweave.operators import runs
+from chatweave.sources.lines import read_lines, split_lines
+from chatweave.sources.manifest import append_events, parse_manifest, read_events, read_manifest
 
 
 def put(root, path, content=b""):
@@ -37,13 +38,13 @@ def python_lines(content: bytes) -> list[str]:
     return parts[:-1] if parts[-1] == "" else parts
 
 
-@pytest.mark.parametrize("whole_file_bytes", [1 << 20, -1])
-def test_lines(spark, tmp_path, whole_file_bytes):
-    """Both readers number and decode lines alike; -1 sends every file to the split reader."""
+@pytest.mark.parametrize("split_bytes", [1 << 20, 1, 2, 3, 5])
+def test_lines(spark, tmp_path, split_bytes):
+    """Lines are numbered and decoded alike wherever files are cut."""
     for name, content in CASES.items():
         put(tmp_path, f"d/{name}", content)
     got: dict[str, list] = {}
-    for r in read_lines(spark, str(tmp_path), "*.txt", whole_file_bytes).collect():
+    for r in read_lines(spark, str(tmp_path), "*.txt", split_bytes).collect():
         got.setdefault(os.path.basename(r.path), []).append((r.line_no, r.line))
     want = {n: list(enumerate(python_lines(c))) for n, c in CASES.items() if python_lines(c)}
     assert {n: sorted(v) for n, v in got.items()} == want
@@ -52,22 +53,48 @@ def test_lines(spark, tmp_path, whole_file_bytes):
 def test_large_file_in_many_splits(spark, tmp_path):
     lines = [f"{i} " + "x" * (i % 50) for i in range(20_000)]
     put(tmp_path, "big.txt", "\n".join(lines))
-    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "40000")
-    try:
-        df = read_lines(spark, str(tmp_path), "*.txt", 1000)
-        assert [r.line for r in df.orderBy("line_no").collect()] == lines
-        assert df.agg(F.max("line_no")).first()[0] == 19_999
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    df = read_lines(spark, str(tmp_path), "*.txt", 40_000)
+    assert [r.line for r in df.orderBy("line_no").collect()] == lines
+    assert df.agg(F.max("line_no")).first()[0] == 19_999
 
 
-def test_byte_order_mark_is_kept(spark, tmp_path):
+@pytest.mark.parametrize("content", [b"a\r\nb\rc\n\r\n\r\rd", b"\r\n" * 4, b"\r" * 5 + b"x", b"x" * 9 + b"\r\n", b""])
+def test_split_lines_anywhere(tmp_path, content):
+    put(tmp_path, "f", content)
+    whole = [x.decode() for x in split_lines(str(tmp_path / "f"), 0, 1 << 30)]
+    assert whole == (python_lines(content) if content else [])
+    for size in range(1, len(content) + 1):
+        cuts = range(0, len(content), size)
+        assert [x.decode() for s in cuts for x in split_lines(str(tmp_path / "f"), s, s + size)] == whole
+
+
+@pytest.mark.parametrize("split_bytes", [1 << 20, 16])
+def test_byte_order_mark_is_kept(spark, tmp_path, split_bytes):
     put(tmp_path, "a.txt", "\ufeff[20/09/2025, 21:41] A: lost\n[20/09/2025, 21:42] A: kept".encode())
-    lines = read_lines(spark, str(tmp_path)).withColumnRenamed("path", "chat_id")
+    lines = read_lines(spark, str(tmp_path), split_bytes=split_bytes).withColumnRenamed("path", "chat_id")
     assert [m.text for m in parse_messages(lines, tz_offset="+00:00").collect()] == ["kept"]
 
 
+def test_hidden_names(spark, tmp_path):
+    """Names that start with '_' or '.' are files like others."""
+    put(tmp_path, "in/ana/_chat.txt", "[17/04/2024, 7:41:30 PM] Mara: note\n[17/04/2024, 7:42:30 PM] Mara: more\n")
+    put(tmp_path, "in/ana/.pier.jpg", b"1")
+    put(tmp_path, "in/_bo/deep/chat.txt", "[17/04/2024, 7:41:30 AM] Bo: x")
+    got = {(r.chat_id, r.text, r.ts[11:16]) for r in parse_messages(read_chat_lines(spark, str(tmp_path / "in")), tz_offset="+00:00").collect()}
+    assert got == {("ana", "note", "19:41"), ("ana", "more", "19:42"), ("_bo", "x", "07:41")}
+    roots = exports.export_roots(list_exports(spark, str(tmp_path / "in")))
+    assert ("ana", ".pier.jpg") in {(r.chat_id, r.file) for r in artifacts.media_listing(spark, str(tmp_path / "in"), roots).collect()}
+    put(tmp_path, "out/ana/ocr/_pier.txt", b"a\r\nb\n")
+    assert [(r.stem, r.text) for r in artifacts.read_text_artifacts(spark, str(tmp_path / "out")).collect()] == [("_pier", "a\nb")]
+    assert {os.path.basename(r.path) for r in artifacts.media_meta(spark, str(tmp_path / "out"), with_hash=True).collect()} == {"_pier.txt"}
+
+
+def test_no_text_is_shuffled(spark, export_folder):
+    plan = read_chat_lines(spark, export_folder)._jdf.queryExecution().executedPlan().toString()
+    exchanges = [x for x in plan.splitlines() if "Exchange" in x]
+    assert exchanges and not any("line" in x.replace("line_no", "") for x in exchanges)
+
+
 def files(spark, rows):
     return spark.createDataFrame(rows, "export string, path string, length bigint")
 
@@ -205,13 +232,45 @@ def test_manifest(spark, tmp_path):
     assert min(r.event_ts for r in stored).year in (2019, 2020)
 
 
+def test_appended_events_are_one_run(spark, tmp_path):
+    folder = str(tmp_path / "log")
+    for rows in ([("a", 0, "run_start"), ("b", 0, "run_start")], [("a", 1, "run_end")]):
+        append_events(spark.createDataFrame(rows, "run_id string, seq bigint, type string"), folder)
+    log = read_events(spark, folder)
+    assert [(r.run_id, r.last_start, r.last_end, r.last_seq) for r in runs.open_runs(log).collect()] == [("b", 0, -1, 0)]
+    append_events(spark.createDataFrame(runs.closing_events(log, "stopped").collect()), folder)
+    log = read_events(spark, folder)
+    assert sorted((r.run_id, r.seq, r.type) for r in log.collect())[2:] == [("b", 0, "run_start"), ("b", 1, "run_stopped"), ("b", 2, "run_end")]
+    assert runs.open_runs(log).count() == 0
+    with pytest.raises(ValueError, match="seq"):
+        append_events(log.drop("seq"), folder)
+
+
+def test_double_and_corrupt_entries(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "double.zip", "w") as z:
+        with pytest.warns(UserWarning):
+            z.writestr("chat.txt", "[17/04/2024, 19:26] Mara: old")
+            z.writestr("chat.txt", "[17/04/2024, 19:26] Mara: new")
+    make_zip(tmp_path / "sound.zip", {"chat.txt": "one"})
+    with zipfile.ZipFile(tmp_path / "corrupt.zip", "w") as z:
+        z.writestr("chat.txt", "here is a chat")
+    data = (tmp_path / "corrupt.zip").read_bytes()
+    (tmp_path / "corrupt.zip").write_bytes(data.replace(b"here is", b"hero is", 1))
+    lines, rejects = archives.read_archive_lines(spark, str(tmp_path))
+    assert {(os.path.basename(r.chat_id), r.line_no, r.line) for r in lines.collect()} == {
+        ("double.zip", 0, "[17/04/2024, 19:26] Mara: new"), ("sound.zip", 0, "one"),
+    }
+    (r,) = rejects.collect()
+    assert r.archive.endswith("corrupt.zip") and "chat.txt" in r.reason
+
+
 def test_parse_manifest_keeps_free_keys(spark):
     df = spark.createDataFrame([("r", 0, '{"type": 5, "file": null}')], "run_id string, line_no bigint, line string")
     (r,) = parse_manifest(df).collect()
     assert (r.type, r.file) == ("5", None)
 
 
-@pytest.mark.parametrize("whole_file_bytes", [1 << 20, 0])
-def test_both_readers_choose_chats(spark, export_folder, whole_file_bytes):
-    lines = read_chat_lines(spark, export_folder, whole_file_bytes)
+@pytest.mark.parametrize("split_bytes", [1 << 20, 7])
+def test_chats_are_chosen_before_reading(spark, export_folder, split_bytes):
+    lines = read_chat_lines(spark, export_folder, split_bytes)
     assert {r.chat_id: r.n for r in lines.groupBy("chat_id").agg(F.count("*").alias("n")).collect()} == {"ana": 3, "bob": 1}
