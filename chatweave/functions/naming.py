@@ -27,7 +27,7 @@ def file_stem(path: Column) -> Column:
 
 
 def guess_kind(file: Column) -> Column:
-    ext = F.lower(F.substring(file_suffix(file), 2, 1 << 20))
+    ext = F.lower(F.ltrim(file_suffix(file), F.lit(".")))
     return (
         F.when(ext.isin(*fv.AUDIO_EXTENSIONS), "audio")
         .when(ext.isin(*fv.IMAGE_EXTENSIONS), "image")

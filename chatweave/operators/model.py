@@ -18,6 +18,9 @@ from chatweave.plans.session import ship_package, store
 
 MakeModel = Callable[[], Callable[..., str]]
 
+#: Start of the error of rows whose model could not be made.
+UNAVAILABLE = "model unavailable: "
+
 
 def apply_model(
     items: DataFrame,
@@ -29,7 +32,8 @@ def apply_model(
 ) -> DataFrame:
     """(keys, text, error): what the model says about each row.
 
-    A row on which the model raises gives an ``error`` instead of a text and the job goes on.
+    A row on which the model raises gives an ``error`` instead of a text and the job goes on; so do all
+    rows of a task that cannot make its model (``UNAVAILABLE``).
     ``tasks`` sets how many model copies run; rows are dealt out evenly, whatever their keys.
     A model that can try harder takes ``quality_retry``; the caller says so by ``supports_retry``.
     """
@@ -42,7 +46,7 @@ def apply_model(
         model = None
         for batch in batches:
             if model is None:
-                model = make_model()
+                model = _started(make_model)
                 options = {"quality_retry": quality_retry} if supports_retry else {}
             texts, errors = [], []
             for row in batch.to_dict("records"):
@@ -58,6 +62,18 @@ def apply_model(
     return items.mapInPandas(run, f"{key_types}, text string, error string")
 
 
+def _started(make_model: MakeModel) -> Callable[..., str]:
+    try:
+        return make_model()
+    except Exception as e:
+        reason = f"{UNAVAILABLE}{e}"
+
+    def unavailable(*_, **__):
+        raise RuntimeError(reason)
+
+    return unavailable
+
+
 def transcribe(
     items: DataFrame,
     make_model: MakeModel,
@@ -104,9 +120,11 @@ def transcribe(
         )
 
     after = F.col("quality")
+    unavailable = F.coalesce(F.startswith("error", F.lit(UNAVAILABLE)), F.lit(False))
     events = [
         event(made, "audio_transcript_created"),
-        event(first.where(F.col("error").isNotNull()), "audio_transcript_failed", F.col("error")),
+        event(first.where(F.col("error").isNotNull() & ~unavailable), "audio_transcript_failed", F.col("error")),
+        event(first.where(unavailable), "transcriber_unavailable", F.col("error")),
         event(flagged, "audio_transcript_quality_flagged", None, F.col("before_issues"), F.col("before_tokens")),
         event(decided.where("replaced"), "audio_transcript_retried", None, after["issues"], after["metrics"]["token_count"]),
         event(decided.where("not replaced"), "audio_transcript_retry_failed", F.col("reason")),

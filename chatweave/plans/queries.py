@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -11,9 +12,9 @@ from pyspark.sql import functions as F
 from chatweave.functions import naming, text
 from chatweave.operators import audio, dialect, enrich, markdown, media, model, quality, report, retry, runs
 from chatweave.plans import inputs as inp
-from chatweave.plans.session import store
+from chatweave.plans.session import ensure_checkpoint_dir, store
 from chatweave.sources import exports
-from chatweave.sources.manifest import parse_manifest
+from chatweave.sources.manifest import append_events, parse_manifest, read_events
 from chatweave.streaming import incremental
 
 
@@ -327,9 +328,9 @@ def chunk_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """
     SELECT l_orderkey, l_linenumber,
-           CASE WHEN l_linenumber > 5 THEN 'not mono' WHEN l_shipmode = 'AIR' THEN 'wrong sample rate'
+           CASE WHEN l_linenumber > 5 THEN 'not mono' WHEN l_linestatus = 'O' THEN 'wrong sample rate'
                 WHEN l_returnflag = 'R' THEN 'not 16-bit' END AS reject_reason
-    FROM (SELECT l_orderkey, l_linenumber, l_returnflag, l_linestatus AS l_shipmode FROM lineitem)
+    FROM lineitem
     """
 )
 def audio_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -337,7 +338,7 @@ def audio_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_orderkey",
         "l_linenumber",
         F.when(F.col("l_linenumber") > 5, 2).otherwise(1).alias("channels"),
-        F.when(F.col("l_linestatus") == "AIR", 8000).otherwise(16000).alias("rate"),
+        F.when(F.col("l_linestatus") == "O", 8000).otherwise(16000).alias("rate"),
         F.when(F.col("l_returnflag") == "R", 1).otherwise(2).alias("sampwidth"),
     )
     return audio.check_audio(clips).select("l_orderkey", "l_linenumber", "reject_reason")
@@ -704,8 +705,7 @@ def _better_second_time() -> Callable[..., str]:
 )
 def transcribe_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A model whose first try has the odd tails and whose retry does not; its log, counted."""
-    plain = inp.table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("plain"))
-    items = inp.transcripts(spark, sf_dir).select("doc_id", "text").join(plain, "doc_id")
+    items = inp.transcripts(spark, sf_dir).select("doc_id", "text", "plain")
     _, log = model.transcribe(inp.spread(items), _better_second_time, ["doc_id"])
     return log.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
 
@@ -753,7 +753,30 @@ def stage_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 )
 def open_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return runs.closing_events(inp.manifest(spark, sf_dir), "killed")
+    closing = runs.closing_events(inp.manifest(spark, sf_dir), "killed")
+    return closing.select("run_id", "type", "reason", "status", "elapsed_seconds")
+
+
+@query(
+    f"""
+    WITH {inp.MANIFEST_SQL},
+    closed AS (
+      SELECT run_id, max(seq) AS last_seq FROM manifest GROUP BY run_id
+      HAVING coalesce(max(seq) FILTER (type = 'run_start'), -1) > coalesce(max(seq) FILTER (type = 'run_end'), -1)
+    )
+    SELECT run_id, seq, type, elapsed_seconds FROM manifest
+    UNION ALL SELECT run_id, last_seq + 1, 'run_stopped', NULL FROM closed
+    UNION ALL SELECT run_id, last_seq + 2, 'run_end', 0.0 FROM closed
+    """
+)
+def manifest_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log written in two appends and read back, then a third append that closes its open runs."""
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/chatweave-log-{uuid.uuid4().hex}"
+    log = inp.manifest(spark, sf_dir).select("run_id", "seq", "type", "stage", "elapsed_seconds")
+    append_events(log.where("seq % 2 = 0"), folder)
+    append_events(log.where("seq % 2 = 1"), folder)
+    append_events(store(runs.closing_events(read_events(spark, folder), "killed")), folder)
+    return read_events(spark, folder).select("run_id", "seq", "type", "elapsed_seconds")
 
 
 @query(

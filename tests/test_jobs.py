@@ -15,14 +15,14 @@ from chatweave.plans.session import ensure_checkpoint_dir
 from chatweave.streaming.incremental import append_months, month_markdown
 
 GOOD = "This is a good text with more than eight words in it, all of them different."
-LOOP = "Nao e? " * 220
+LOOP = "Ja vem? " * 220
 
 
 def chat(lines_of, text, **options):
     return parse_messages(lines_of({"c": text}), tz_offset="+00:00", **options)
 
 
-THREE = "[05/01/2025, 10:00] A: hello\n[06/01/2025, 10:00] B: world\n[01/02/2025, 10:00] A: next"
+THREE = "[11/03/2024, 08:15] A: bread\n[12/03/2024, 08:20] B: salt\n[02/04/2024, 19:30] A: plums"
 
 
 def month_rows(folder):
@@ -40,25 +40,25 @@ def test_append_twice_adds_nothing(lines_of, tmp_path, spark):
     assert append_months(messages, str(tmp_path), 1) is None
     events = append_months(messages, str(tmp_path), 2)
     got = month_rows(tmp_path)
-    assert {k: len(v) for k, v in got.items()} == {"2025-01": 2, "2025-02": 1}
+    assert {k: len(v) for k, v in got.items()} == {"2024-03": 2, "2024-04": 1}
     assert events.count() == 0
-    more = chat(lines_of, THREE + "\n[02/02/2025, 10:00] A: later\n[03/03/2025, 10:00] A: march")
+    more = chat(lines_of, THREE + "\n[03/04/2024, 10:00] A: later\n[03/05/2024, 10:00] A: may")
     append_months(more, str(tmp_path), 3)
     got = month_rows(tmp_path)
-    assert [r["text"] for r in got["2025-02"]] == ["next", "later"] and len(got["2025-03"]) == 1
-    assert got["2025-01"][0]["enrichment"] is None and "enrichment" in got["2025-01"][0]
-    md = [r.md for r in month_markdown(spark, str(tmp_path)).where("month = '2025-02'").orderBy("batch", "msg_idx").collect()]
-    assert md == ["# 2025-02\n\n- **2025-02-01 10:00** — **A**: next", "- **2025-02-02 10:00** — **A**: later"]
+    assert [r["text"] for r in got["2024-04"]] == ["plums", "later"] and len(got["2024-05"]) == 1
+    assert got["2024-03"][0]["enrichment"] is None and "enrichment" in got["2024-03"][0]
+    md = [r.md for r in month_markdown(spark, str(tmp_path)).where("month = '2024-04'").orderBy("batch", "msg_idx").collect()]
+    assert md == ["# 2024-04\n\n- **2024-04-02 19:30** — **A**: plums", "- **2024-04-03 10:00** — **A**: later"]
 
 
 def test_lost_marker_appends_the_month_again(lines_of, tmp_path):
     append_months(chat(lines_of, THREE), str(tmp_path), 1)
-    edited = chat(lines_of, THREE.replace("world", "World!"))
+    edited = chat(lines_of, THREE.replace("salt", "Salt!"))
     events = append_months(edited, str(tmp_path), 2)
-    assert [(r.type, r.month) for r in events.collect()] == [("by_month_marker_missing", "2025-01")]
+    assert [(r.type, r.month) for r in events.collect()] == [("by_month_marker_missing", "2024-03")]
     got = month_rows(tmp_path)
-    assert [r["text"] for r in got["2025-01"]] == ["hello", "world", "hello", "World!"]
-    assert len(got["2025-02"]) == 1
+    assert [r["text"] for r in got["2024-03"]] == ["bread", "salt", "bread", "Salt!"]
+    assert len(got["2024-04"]) == 1
 
 
 def test_equal_messages_and_unreadable_dates(lines_of, tmp_path):
@@ -103,12 +103,12 @@ def test_publish(lines_of, tmp_path, spark):
                 raw += f.read().splitlines()
     first = json.loads(raw[0])
     assert [json.loads(x)["chat_id"] for x in raw] == ["c", "c", "c", "d"]
-    assert first["ts"] == "2025-01-05T10:00:00+00:00" and first["media"] == [] and first["enrichment"] is None
+    assert first["ts"] == "2024-03-11T08:15:00+00:00" and first["media"] == [] and first["enrichment"] is None
     assert '"sender":"ç","type":"text","text":"ã\\nb"' in raw[3]
     parts = sorted(n for n in os.listdir(tmp_path / "transcript" / "chat_id=c") if n.startswith("part-"))
     text = "".join((tmp_path / "transcript" / "chat_id=c" / n).read_text() for n in parts)
-    assert text.startswith("# WhatsApp Transcript\n\n\n## 2025-01\n\n- **2025-01-05 10:00** — **A**: hello\n- **2025-01-06")
-    assert "\n\n## 2025-02\n\n- " in text
+    assert text.startswith("# WhatsApp Transcript\n\n\n## 2024-03\n\n- **2024-03-11 08:15** — **A**: bread\n- **2024-03-12")
+    assert "\n\n## 2024-04\n\n- " in text
     (report_file,) = [n for n in os.listdir(tmp_path / "report" / "chat_id=d") if n.startswith("part-")]
     lines = (tmp_path / "report" / "chat_id=d" / report_file).read_text().splitlines()
     assert "- Participants detected: ç" in lines and "- n_messages: 1" in lines
@@ -211,6 +211,16 @@ def test_transcribe(spark):
     }
 
 
+def test_model_that_cannot_start(spark):
+    def broken():
+        raise OSError("no weights")
+
+    items = spark.createDataFrame([("a",), ("b",)], "name string")
+    made, events = model.transcribe(items, broken, ["name"])
+    assert made.count() == 0
+    assert {(r.name, r.type, r.reason) for r in events.collect()} == {(n, "transcriber_unavailable", "model unavailable: no weights") for n in "ab"}
+
+
 def test_model_without_retry_argument(spark):
     items = spark.createDataFrame([("a",)], "name string")
     out = model.apply_model(items, lambda: lambda row: row["name"] * 2, ["name"], quality_retry=True)

@@ -8,12 +8,12 @@ from chatweave.operators.parse import parse_messages
 LRM, NNBSP = "\u200e", "\u202f"
 
 CHATS = {
-    "pt": "20/09/25, 9:41 da manhã - Joao: oi\n20/09/25, 9:42 da tarde - Joao: ola",
-    "android-mdy": "9/20/2025, 9:41 AM - John: hi",
-    "ios-dmy": "[20/09/2025, 21:41] John: hi",
-    "att-suffix": "9/20/2025, 9:41 AM - John: IMG-1.jpg (file attached)",
-    "att-tag": "9/20/2025, 9:41 AM - John: <attached: PTT-1.opus>",
-    "att-ios": "[20/09/2025, 21:41] John: <attached: IMG-1.jpg>",
+    "pt": "17/04/24, 7:08 da manhã - Rui: cedo\n17/04/24, 7:19 da tarde - Rui: tarde",
+    "android-mdy": "4/17/2024, 7:08 AM - Mara: note",
+    "ios-dmy": "[17/04/2024, 19:26] Mara: note",
+    "att-suffix": "4/17/2024, 7:08 AM - Mara: pier.jpg (file attached)",
+    "att-tag": "4/17/2024, 7:08 AM - Mara: <attached: tide.opus>",
+    "att-ios": "[17/04/2024, 19:26] Mara: <attached: pier.jpg>",
     "preamble": "noise\n\n03/04/2025, 09:00 - A: x\n\nmore\n  end  \n03/04/2025, 09:01 - B: ",
     "caption": "03/04/2025, 09:00 - A: v.mp4 (ficheiro anexado)\nfirst\nsecond",
     "system": "03/04/2025, 09:00 - You added: Bob\n03/04/2025, 09:00 - Name:\n03/04/2025, 09:00 - plain",
@@ -40,21 +40,21 @@ def parsed(lines_of):
 
 
 def test_dialects(parsed):
-    assert [m.ts for m in parsed["pt"]] == ["2025-09-20T09:41:00+00:00", "2025-09-20T21:42:00+00:00"]
-    assert [m.text for m in parsed["pt"]] == ["oi", "ola"]
-    assert parsed["android-mdy"][0].ts == "2025-09-20T09:41:00+00:00"
-    assert parsed["ios-dmy"][0].ts == "2025-09-20T21:41:00+00:00"
-    assert parsed["ios-dmy"][0].source_line == "[20/09/2025, 21:41] John: hi"
+    assert [m.ts for m in parsed["pt"]] == ["2024-04-17T07:08:00+00:00", "2024-04-17T19:19:00+00:00"]
+    assert [m.text for m in parsed["pt"]] == ["cedo", "tarde"]
+    assert parsed["android-mdy"][0].ts == "2024-04-17T07:08:00+00:00"
+    assert parsed["ios-dmy"][0].ts == "2024-04-17T19:26:00+00:00"
+    assert parsed["ios-dmy"][0].source_line == "[17/04/2024, 19:26] Mara: note"
     assert [m.msg_idx for m in parsed["pt"]] == [0, 1]
 
 
 @pytest.mark.parametrize(
     "chat, kind, file",
-    [("att-suffix", "image", "IMG-1.jpg"), ("att-tag", "audio", "PTT-1.opus"), ("att-ios", "image", "IMG-1.jpg")],
+    [("att-suffix", "image", "pier.jpg"), ("att-tag", "audio", "tide.opus"), ("att-ios", "image", "pier.jpg")],
 )
 def test_attachments(parsed, chat, kind, file):
     (m,) = parsed[chat]
-    assert (m.type, m.text, m.sender) == (kind, None, "John")
+    assert (m.type, m.text, m.sender) == (kind, None, "Mara")
     assert [(x.file, x.kind, x.converted_file, x.meta) for x in m.media] == [(file, kind, None, None)]
 
 
@@ -125,7 +125,7 @@ def test_formats(lines_of, spark):
         **{k: CHATS[k] for k in ("pt", "android-mdy", "ios-dmy", "none", "dots")},
         "late": late.replace("09:00", "9:00 AM"),
         "tie": "13/1/2025, 9:00 AM - A: x\n1/13/2025, 9:00 AM - A: x",
-        "pt-late": "\n".join(["[1/1/2025, 09:00] A: x"] * 5 + ["01/01/25, 9:41 da manhã - J: oi"]),
+        "pt-late": "\n".join(["[1/1/2025, 09:00] A: x"] * 5 + ["01/01/25, 6:30 da manhã - J: b"]),
         "ios-tie": "[13/1/2025, 09:00] A: x\n1/13/2025, 9:00 AM - A: x",
     }
     lines = lines_of(chats)
@@ -150,10 +150,10 @@ def test_formats(lines_of, spark):
 
 
 def test_order_override(lines_of):
-    lines = lines_of({"c": "03/04/2025, 09:00 - John: hi"})
+    lines = lines_of({"c": "05/06/2024, 09:00 - Mara: note"})
     dmy = parse_messages(lines, tz_offset="+00:00", style="android", date_order="dmy").first()
     mdy = parse_messages(lines, tz_offset="+00:00", style="android", date_order="mdy").first()
-    assert (dmy.ts[:10], mdy.ts[:10]) == ("2025-04-03", "2025-03-04")
+    assert (dmy.ts[:10], mdy.ts[:10]) == ("2024-06-05", "2024-05-06")
 
 
 @pytest.mark.parametrize("block_rows", [1, 2, 3, 7, 1 << 16])

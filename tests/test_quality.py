@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from chatweave.operators.quality import assess_quality, max_repeat, ngrams, normalize_text, sentences, tokens
 
-SYMBOLS = "§¤¶†‡•◊▲▼◆○●□■△▽☆"
+#: Arrows, as noise that is neither a letter nor usual punctuation.
+SYMBOLS = "".join(map(chr, range(0x2190, 0x21A2)))
 
 
 def assess(spark, texts):
@@ -22,7 +23,7 @@ def test_verdicts(spark):
     loop, normal, bad_tail, symbols, empty, blank, punct, letters, run = assess(
         spark,
         [
-            "Nao e? " * 220,
+            "Ja vem? " * 220,
             "This is an ordinary sentence. Here is another one with other words.",
             "A sentence that starts well " + "\ufffd" * 20,
             "A sentence that starts well " + SYMBOLS * 4,
