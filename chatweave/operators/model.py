@@ -12,6 +12,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chatweave.functions import fixed_values as fv
+from chatweave.functions.naming import artifact_stem
+from chatweave.functions.text import strip
+from chatweave.operators.media import cap_per_chat, likely_text
 from chatweave.operators.quality import assess_quality, normalize_text
 from chatweave.operators.retry import decide_retry, retry_candidates
 from chatweave.plans.session import ship_package, store
@@ -136,3 +140,36 @@ def transcribe(
     for e in events[1:]:
         log = log.unionByName(e)
     return artifacts, log
+
+
+def read_images(
+    images: DataFrame,
+    make_model: MakeModel,
+    cap: int = 0,
+    mode: str = "likely-text",
+    edge_threshold: float = fv.OCR_EDGE_THRESHOLD,
+    tasks: int | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """OCR of ``images`` (chat_id, file, edge_hist, any more columns): those present and without a text.
+
+    Images that the gate keeps count towards the cap of their chat, by name; the model reads the
+    first ``cap`` of them. Returns ``(artifacts, events)``: artifacts are (chat_id, kind, stem,
+    rel_path, text), events (chat_id, file, type, reason), one per image.
+    """
+    keys = ["chat_id", "file"]
+    gated = store(likely_text(images, mode, edge_threshold))
+    dealt = store(cap_per_chat(gated.where("keep").drop("keep"), cap))
+    said = store(apply_model(dealt.where("ocr_action = 'create'").drop("ocr_action"), make_model, keys, tasks=tasks))
+    stem = artifact_stem(F.col("file"))
+    artifacts = said.where("error IS NULL").select(
+        "chat_id", F.lit("ocr").alias("kind"), stem.alias("stem"), F.concat(F.lit("ocr/"), stem, F.lit(".txt")).alias("rel_path"),
+        strip(F.col("text")).alias("text"),
+    )
+    none = F.lit(None).cast("string").alias("reason")
+    outcome = F.when(F.col("error").isNull(), "image_ocr_created").otherwise("image_ocr_failed")
+    events = (
+        gated.where("NOT keep").select(*keys, F.lit("image_ocr_filtered").alias("type"), none)
+        .unionByName(dealt.where("ocr_action = 'deferred'").select(*keys, F.lit("image_ocr_deferred").alias("type"), none))
+        .unionByName(said.select(*keys, outcome.alias("type"), F.col("error").alias("reason")))
+    )
+    return artifacts, events

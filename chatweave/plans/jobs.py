@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 
 from chatweave.functions import fixed_values as fv
 from chatweave.functions.times import resolve_offset
+from chatweave.operators import media, model
+from chatweave.operators.enrich import enrich_messages
 from chatweave.operators.markdown import transcript_lines
 from chatweave.operators.parse import parse_messages
 from chatweave.operators.report import chat_report, report_text
+from chatweave.functions.naming import artifact_stem
+from chatweave.plans.session import store
 from chatweave.sources.chats import read_chat_lines
 from chatweave.streaming.incremental import append_months
 
@@ -122,3 +126,58 @@ def upsert_artifacts(artifacts: DataFrame, out_dir: str, version: int) -> DataFr
     target = f"{out_dir.rstrip('/')}/artifacts/v{version}"
     newest.write.mode("overwrite").parquet(target)
     return spark.read.parquet(target)
+
+
+ARTIFACT_SCHEMA = "chat_id string, kind string, stem string, rel_path string, text string"
+
+
+def media_job(
+    messages: DataFrame,
+    listing: DataFrame,
+    converted: DataFrame,
+    out_dir: str,
+    version: int,
+    speech: model.MakeModel | None = None,
+    ocr: model.MakeModel | None = None,
+    edge_hists: DataFrame | None = None,
+    ocr_cap: int = 0,
+    resume: bool = True,
+) -> tuple[DataFrame, DataFrame]:
+    """Plan the media work of ``messages``, run the models on what is left to do, store the texts, enrich.
+
+    ``listing``: (chat_id, file) there are; ``edge_hists``: (chat_id, file, edge_hist), without which no
+    image is filtered. A model left out turns its flow off. Returns (enriched messages, events
+    (chat_id, file, type, reason)). A second run with the next ``version`` does only what the first left.
+    """
+    spark = messages.sparkSession
+    if version > 1:
+        known = spark.read.parquet(f"{out_dir.rstrip('/')}/artifacts/v{version - 1}")
+    else:
+        known = spark.createDataFrame([], ARTIFACT_SCHEMA)
+    options = media.MediaOptions(transcribe=speech is not None, ocr=ocr is not None, resume=resume)
+    plan = store(media.media_plan(store(media.work_list(messages)), listing, known, converted, options))
+    none = F.lit(None).cast("string").alias("reason")
+    keys = ["chat_id", "file"]
+    # Transcripts found again are reported by the speech flow, which checks them.
+    events = media.plan_events(plan).where("type <> 'audio_transcript_skipped'").select(*keys, "type", none)
+    new = spark.createDataFrame([], ARTIFACT_SCHEMA)
+    if speech is not None:
+        audio = plan.where("kind = 'audio'")
+        old = known.where("kind = 'transcript'").select("chat_id", "stem", "text")
+        existing = audio.where("text_action = 'recheck'").join(old, ["chat_id", "stem"]).select(*keys, "stem", F.coalesce("text", F.lit("")).alias("text"))
+        stem = F.coalesce("stem", artifact_stem(F.col("file"))).alias("stem")
+        todo = audio.where("text_action = 'create'").select(*keys, stem)
+        made, log = model.transcribe(todo, speech, [*keys, "stem"], existing=existing)
+        path = F.concat(F.lit("transcripts/"), "stem", F.lit(".txt")).alias("rel_path")
+        new = new.unionByName(made.select("chat_id", F.lit("transcript").alias("kind"), "stem", path, "text"))
+        events = events.unionByName(log.select(*keys, "type", "reason"))
+    if ocr is not None:
+        images = plan.where("kind = 'image' AND text_action = 'create'").select(*keys)
+        if edge_hists is None:
+            images = images.withColumn("edge_hist", F.lit(None).cast("array<long>"))
+        else:
+            images = images.join(edge_hists.select(*keys, "edge_hist"), keys, "left")
+        read, log = model.read_images(images, ocr, ocr_cap)
+        new = new.unionByName(read)
+        events = events.unionByName(log)
+    return enrich_messages(messages, upsert_artifacts(new, out_dir, version), converted), events

@@ -10,7 +10,7 @@ from chatweave.operators import audio, model, report, retry, runs
 from chatweave.operators.markdown import bullet, transcript_lines, with_month_headings
 from chatweave.operators.parse import parse_messages
 from chatweave.operators.quality import assess_quality
-from chatweave.plans.jobs import publish, upsert_artifacts, write_conversations
+from chatweave.plans.jobs import media_job, publish, upsert_artifacts, write_conversations
 from chatweave.plans.session import ensure_checkpoint_dir
 from chatweave.streaming.incremental import append_months, month_markdown
 
@@ -221,6 +221,50 @@ def test_model_that_cannot_start(spark):
     assert {(r.name, r.type, r.reason) for r in events.collect()} == {(n, "transcriber_unavailable", "model unavailable: no weights") for n in "ab"}
 
 
+def test_media_job_twice(lines_of, spark, tmp_path):
+    """The second run does what the first left: the deferred image and the one that failed."""
+    names = ["a.jpg", "b.jpg", "c.jpg", "d.jpg", "gone.jpg", "tide.opus"]
+    text = "\n".join(f"[17/04/2024, 10:{i:02d}] Mara: <attached: {n}>" for i, n in enumerate(names))
+    messages = chat(lines_of, text)
+    listing = spark.createDataFrame([("c", n) for n in names if n != "gone.jpg"], "chat_id string, file string")
+    converted = spark.createDataFrame([], "chat_id string, stem string, ext string, rel_path string")
+    hists = spark.createDataFrame([("c", "b.jpg", [9, 0])], "chat_id string, file string, edge_hist array<bigint>")
+    good = GOOD
+
+    def reader(broken):
+        def start():
+            def run(row):
+                if row["file"] == broken:
+                    raise ValueError("blurred")
+                return f" text of {row['file']}\n"
+
+            return run
+
+        return start
+
+    def speech():
+        return lambda row, quality_retry=False: good
+
+    def job(version, broken):
+        out, log = media_job(messages, listing, converted, str(tmp_path), version, speech, reader(broken), hists, ocr_cap=2)
+        texts = {r.media[0].file: r.enrichment.ocr_text or r.enrichment.transcript_text for r in out.collect() if r.enrichment}
+        return texts, {(r.file, r.type, r.reason) for r in log.collect()}
+
+    texts, log = job(1, "a.jpg")
+    assert texts == {"c.jpg": "text of c.jpg", "tide.opus": GOOD}
+    always = {("gone.jpg", "missing_file", None), ("b.jpg", "image_ocr_filtered", None)}
+    assert {e for e in log if not e[1].startswith("audio_wav")} == always | {
+        ("a.jpg", "image_ocr_failed", "blurred"), ("c.jpg", "image_ocr_created", None), ("d.jpg", "image_ocr_deferred", None),
+        ("tide.opus", "audio_transcript_created", None),
+    }
+    texts, log = job(2, None)
+    assert set(texts) == {"a.jpg", "c.jpg", "d.jpg", "tide.opus"}
+    assert {e for e in log if not e[1].startswith("audio_wav")} == always | {
+        ("a.jpg", "image_ocr_created", None), ("d.jpg", "image_ocr_created", None), ("c.jpg", "image_ocr_skipped", None),
+        ("tide.opus", "audio_transcript_skipped", None),
+    }
+
+
 def test_model_without_retry_argument(spark):
     items = spark.createDataFrame([("a",)], "name string")
     out = model.apply_model(items, lambda: lambda row: row["name"] * 2, ["name"], quality_retry=True)
