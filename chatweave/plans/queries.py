@@ -310,7 +310,7 @@ def _reads_names() -> Callable[[dict], str]:
       SELECT chat_id, file, n % 5 = 0 OR n % 37 >= 18 AS keep
       FROM plan JOIN sizes USING (chat_id, file) WHERE kind = 'image' AND text_action = 'create'
     ),
-    dealt AS (SELECT *, row_number() OVER (PARTITION BY chat_id ORDER BY file) <= 2 AS now FROM todo WHERE keep),
+    dealt AS (SELECT *, row_number() OVER (PARTITION BY chat_id ORDER BY file) <= 1 AS now FROM todo WHERE keep),
     log AS (
       SELECT chat_id, 'image_ocr_filtered' AS type FROM todo WHERE NOT keep
       UNION ALL SELECT chat_id, 'image_ocr_deferred' FROM dealt WHERE NOT now
@@ -321,13 +321,13 @@ def _reads_names() -> Callable[[dict], str]:
     """
 )
 def ocr_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The OCR of images still to be done: gate, cap of 2 per chat, model. The page's length gives the
+    """The OCR of images still to be done: gate, cap of 1 per chat, model. The page's length gives the
     histogram; every fifth has none."""
     n = F.max(F.length("html"))
     hist = F.when(n % 5 != 0, F.concat(F.array_repeat(F.lit(0).cast("long"), (n % 37).cast("int")), F.array(F.lit(1).cast("long"))))
     hists = inp.page_files(spark, sf_dir).groupBy("chat_id", "file").agg(hist.alias("edge_hist"))
     plan = media_plan(spark, sf_dir).where("kind = 'image' AND text_action = 'create'").select("chat_id", "file")
-    _, log = model.read_images(plan.join(hists, ["chat_id", "file"]), _reads_names, cap=2)
+    _, log = model.read_images(plan.join(hists, ["chat_id", "file"]), _reads_names, cap=1)
     return log.groupBy("chat_id", "type").agg(F.count(F.lit(1)).alias("n"))
 
 
