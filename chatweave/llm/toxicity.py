@@ -23,6 +23,7 @@ MOST_TOXIC = 10_000
 MOST_UNLABELLED = 20_000
 WORDS = 512
 STEPS = 400
+DECAY = 3e-6
 THRESHOLD = 0.7
 
 _MARKS = bytes(b if chr(b).isalnum() or b > 127 else 32 for b in range(256))
@@ -50,24 +51,31 @@ class Model:
         return float(sigmoid(self.bias + self.weights[at[self.words[at] == present]].sum()))
 
 
-def non_negative_fit(toxic: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = STEPS) -> tuple[np.ndarray, float]:
-    """(weights, bias) from 0/1 rows of confirmed toxic and of unlabelled documents, logistic loss."""
-    width = toxic.shape[1]
-    adam = Adam({"w": np.zeros(width), "b": np.array(np.log(prior / (1 - prior)))}, 0.05)
+def non_negative_fit(
+    toxic: np.ndarray, unlabelled: np.ndarray, prior: float, toxic_n: np.ndarray | None = None, unlabelled_n: np.ndarray | None = None, steps: int = STEPS
+) -> tuple[np.ndarray, float]:
+    """(weights, bias) from 0/1 rows of confirmed toxic and of unlabelled documents, and how often each row occurs.
+
+    The loss is the sigmoid loss: it is bounded, so a prior that is a little too high for the
+    unlabelled rows cannot drive the risk on negatives below zero early on.
+    """
+    a, b = (
+        (np.ones(len(m)) if n is None else n) / (len(m) if n is None else n.sum()) for m, n in ((toxic, toxic_n), (unlabelled, unlabelled_n))
+    )
+    adam = Adam({"w": np.zeros(toxic.shape[1], np.float32), "b": np.array(np.log(prior / (1 - prior)))}, 0.05)
     for _ in range(steps):
-        w, b = adam.params["w"], adam.params["b"]
-        p_toxic, p_unlabelled = sigmoid(toxic @ w + b), sigmoid(unlabelled @ w + b)
-        # Slopes of the loss at each row: as a positive p - 1, as a negative p.
-        positive = (toxic.T @ (p_toxic - 1) / len(toxic), (p_toxic - 1).mean())
-        wrong = (toxic.T @ p_toxic / len(toxic), p_toxic.mean())
-        negative = (unlabelled.T @ p_unlabelled / len(unlabelled), p_unlabelled.mean())
-        risk = -np.log1p(-np.minimum(p_unlabelled, 1 - 1e-12)).mean() + prior * np.log1p(-np.minimum(p_toxic, 1 - 1e-12)).mean()
-        if risk >= 0:
-            grads = [prior * a - prior * c + n for a, c, n in zip(positive, wrong, negative, strict=True)]
+        w, bias = adam.params["w"], adam.params["b"]
+        p_toxic, p_unlabelled = sigmoid(toxic @ w + bias), sigmoid(unlabelled @ w + bias)
+        # A row's loss is 1 - p as a positive and p as a negative, so the slopes differ in sign only.
+        slope_toxic, slope_unlabelled = a * p_toxic * (1 - p_toxic), b * p_unlabelled * (1 - p_unlabelled)
+        wrong = toxic.T @ slope_toxic.astype(np.float32), slope_toxic.sum()
+        negative = unlabelled.T @ slope_unlabelled.astype(np.float32), slope_unlabelled.sum()
+        if b @ p_unlabelled - prior * (a @ p_toxic) >= 0:
+            grads = [n - 2 * prior * c for c, n in zip(wrong, negative, strict=True)]
         else:
             grads = [prior * c - n for c, n in zip(wrong, negative, strict=True)]
-        adam.step({"w": grads[0] + 1e-4 * w, "b": np.array(grads[1])})
-    return adam.params["w"], float(adam.params["b"])
+        adam.step({"w": (grads[0] + DECAY * w).astype(np.float32), "b": np.array(grads[1])})
+    return adam.params["w"].astype(float), float(adam.params["b"])
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3, held_out: int = 1) -> Model:
@@ -114,13 +122,15 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
     )
     words = np.sort(np.array([r.word for r in best], np.int64).view(np.uint64))
     listed = F.array([F.lit(int(w)) for w in words.view(np.int64)]) if len(words) else F.array().cast("array<long>")
-    found = rows.select("toxic", F.array_intersect("words", listed).alias("words")).toPandas()
+    # Rows with the same words of the model count together: most have none.
+    alike = rows.select("toxic", F.array_sort(F.array_intersect("words", listed)).alias("words")).groupBy("toxic", "words")
+    found = alike.agg(F.count("*").alias("n")).orderBy("toxic", "words").toPandas()
     release(rows)
     matrix = np.zeros((len(found), len(words)), np.float32)
     for i, some in enumerate(found["words"]):
         matrix[i, np.searchsorted(words, np.asarray(some, np.int64).view(np.uint64))] = 1
-    is_toxic = found["toxic"].to_numpy() == 1
-    weights, bias = non_negative_fit(matrix[is_toxic], matrix[~is_toxic], prior)
+    yes, n = found["toxic"].to_numpy() == 1, found["n"].to_numpy(float)
+    weights, bias = non_negative_fit(matrix[yes], matrix[~yes], prior, n[yes], n[~yes])
     return Model(words, weights, bias)
 
 
