@@ -222,7 +222,7 @@ def window_grads(p: dict[str, np.ndarray], h: np.ndarray, units: np.ndarray) ->
     dout = np.zeros((len(real), HIDDEN), np.float32)
     dout[real] = dflat
     dout = dout.reshape(*units.shape, HIDDEN)
-    grads["X"], grads["U"] = np.zeros_like(p["X"]), np.zeros_like(p["U"])
+    inputs, products = [], []
     dh = np.zeros_like(h)
     for t in range(len(units) - 1, -1, -1):
         before, z, r, n, un = steps[t]
@@ -231,9 +231,16 @@ def window_grads(p: dict[str, np.ndarray], h: np.ndarray, units: np.ndarray) ->
         dn = d * (1 - z) * (1 - n * n)
         dz, dr = d * (before - n) * z * (1 - z), dn * un * r * (1 - r)
         du = np.concatenate([dz, dr, dn * r], 1)
-        np.add.at(grads["X"], np.maximum(units[t], 0), np.concatenate([dz, dr, dn], 1))
-        grads["U"] += before.T @ du
+        inputs.append(np.concatenate([dz, dr, dn], 1))
+        products.append(du)
         dh = np.where(moved, d * z + du @ p["U"].T, dh) + dout[t]
+    grads["U"] = np.concatenate(states[::-1]).T @ np.concatenate(products)
+    # Slopes of the tokens' rows, summed over equal tokens of the window.
+    tokens = np.maximum(units[::-1].ravel(), 0)
+    order = np.argsort(tokens, kind="stable")
+    firsts = np.flatnonzero(np.diff(tokens[order], prepend=-1))
+    grads["X"] = np.zeros_like(p["X"])
+    grads["X"][tokens[order[firsts]]] = np.add.reduceat(np.concatenate(inputs)[order], firsts)
     return grads, h
 
 
