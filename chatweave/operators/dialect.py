@@ -25,9 +25,14 @@ def is_header(style: Column, line: Column) -> Column:
     )
 
 
+def in_sample(sample_lines: int | None) -> Column:
+    """Lines that vote on style and date order; None: all of them."""
+    return F.lit(True) if sample_lines is None else F.col("line_no") < sample_lines
+
+
 def header_evidence(
     lines: DataFrame,
-    sample_lines: int = fv.DETECTION_SAMPLE_LINES,
+    sample_lines: int | None = fv.DETECTION_SAMPLE_LINES,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """One row per (chat_id, block): headers of each style, and the votes of the sampled lines.
@@ -37,7 +42,7 @@ def header_evidence(
     shape excludes the other two. So one set of votes serves detection and forced styles.
     """
     df = with_block(lines, "line_no", block_rows)
-    sampled = F.col("line_no") < sample_lines
+    sampled = in_sample(sample_lines)
     for style, pattern in _HEADERS.items():
         df = df.withColumn(f"_{style}", F.col("line").rlike(pattern))
     aggs = []
@@ -71,8 +76,31 @@ def _voted_order(style: str) -> Column:
     return F.when((dmy > 0) | (mdy > 0), by_vote).otherwise(by_clock)
 
 
+def with_overrides(chats: DataFrame, overrides: DataFrame | None) -> DataFrame:
+    """Add what ``overrides`` (chat_id, style, date_order) say on each chat.
+
+    Null, "auto" and unknown names leave the choice to the other settings. Of several rows of a
+    chat the first name in alphabetical order counts.
+    """
+    if overrides is None:
+        return chats
+
+    def named(column: str, names: tuple[str, ...]) -> Column:
+        name = F.lower(F.trim(F.col(column)))
+        return F.min(F.when(name.isin(*names), name))
+
+    per_chat = overrides.groupBy("chat_id").agg(
+        named("style", tuple(fv.STYLES)).alias("_style"), named("date_order", tuple(fv.DATE_ORDERS)).alias("_order")
+    )
+    return chats.join(per_chat, "chat_id", "left")
+
+
 def resolve_style(evidence: DataFrame, style: str = "auto", date_order: str = "auto") -> DataFrame:
-    """Add ``style`` and ``date_order`` to rows that hold a chat's summed EVIDENCE columns."""
+    """Add ``style`` and ``date_order`` to rows that hold a chat's summed EVIDENCE columns.
+
+    What ``with_overrides`` added comes before the two arguments, and these before the votes.
+    """
+    overridden = "_style" in evidence.columns
     style, date_order = (style or "auto").lower(), (date_order or "auto").lower()
     if style in fv.STYLES:
         chosen: Column = F.lit(style)
@@ -86,6 +114,8 @@ def resolve_style(evidence: DataFrame, style: str = "auto", date_order: str = "a
         order: Column = F.lit(date_order)
     else:
         order = F.when(F.col("style") == "ios", _voted_order("ios")).otherwise(_voted_order("android"))
+    if overridden:
+        chosen, order = F.coalesce("_style", chosen), F.coalesce("_order", order)
     return evidence.withColumn("style", chosen).withColumn(
         "date_order", F.when(F.col("style") == "pt", "dmy").otherwise(order)
     )
@@ -95,27 +125,29 @@ def chat_formats(
     lines: DataFrame,
     style: str = "auto",
     date_order: str = "auto",
-    sample_lines: int = fv.DETECTION_SAMPLE_LINES,
+    sample_lines: int | None = fv.DETECTION_SAMPLE_LINES,
+    overrides: DataFrame | None = None,
 ) -> DataFrame:
     """(chat_id, style, date_order), one row per chat that has lines.
 
     The filter keeps the sample only, but every chat has a line 0, so no chat is lost.
     """
-    sample = lines.where(F.col("line_no") < sample_lines)
+    sample = lines.where(in_sample(sample_lines))
     votes = (
         header_evidence(sample, sample_lines)
         .groupBy("chat_id")
         .agg(*[F.sum(c).alias(c) for c in EVIDENCE])
     )
-    return resolve_style(votes, style, date_order).select("chat_id", "style", "date_order")
+    return resolve_style(with_overrides(votes, overrides), style, date_order).select("chat_id", "style", "date_order")
 
 
 def block_formats(
     lines: DataFrame,
     style: str = "auto",
     date_order: str = "auto",
-    sample_lines: int = fv.DETECTION_SAMPLE_LINES,
+    sample_lines: int | None = fv.DETECTION_SAMPLE_LINES,
     block_rows: int = BLOCK_ROWS,
+    overrides: DataFrame | None = None,
 ) -> DataFrame:
     """Per (chat_id, block): the chat's style and order, and where its messages are.
 
@@ -129,7 +161,7 @@ def block_formats(
     own = [c for c in blocks.columns if c not in EVIDENCE]
     summed = blocks.select(*own, *[F.sum(c).over(chat).alias(c) for c in EVIDENCE])
     return (
-        resolve_style(summed, style, date_order)
+        resolve_style(with_overrides(summed, overrides), style, date_order)
         .withColumns({"_headers": _of_style("headers"), "first_header": _of_style("first")})
         .select(
             "chat_id",

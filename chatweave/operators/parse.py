@@ -174,15 +174,18 @@ def parse_messages(
     me: list[str] | None = None,
     them: list[str] | None = None,
     mode: str = "PERMISSIVE",
-    sample_lines: int = fv.DETECTION_SAMPLE_LINES,
+    sample_lines: int | None = fv.DETECTION_SAMPLE_LINES,
+    overrides: DataFrame | None = None,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Messages of all chats in ``lines(chat_id, line_no, line)``.
 
+    ``sample_lines``: first lines of a chat that decide its style and date order, None for all.
+    ``overrides`` (chat_id, style, date_order) sets both for single chats.
     ``mode``: PERMISSIVE keeps a message whose date or time is not real, with ``ts`` null and
     ``_parse_error`` set; FAILFAST fails the job on the first one.
     """
-    blocks = block_formats(lines, style, date_order, sample_lines, block_rows)
+    blocks = block_formats(lines, style, date_order, sample_lines, block_rows, overrides)
     typed = type_messages(assemble(lines, blocks, block_rows), resolve_offset(tz_offset))
     if mode.upper() == "FAILFAST":
         # A filter, so that it runs whichever columns are read.

@@ -31,6 +31,10 @@ class JobOptions:
     me: list[str] = field(default_factory=list)
     them: list[str] = field(default_factory=list)
     markdown_chars: int = fv.MARKDOWN_CLIP_CHARS
+    #: First lines of a chat that decide its style and date order; None: all lines.
+    sample_lines: int | None = fv.DETECTION_SAMPLE_LINES
+    #: (chat_id, style, date_order) of chats that differ from the two settings above.
+    overrides: DataFrame | None = None
 
 
 def read_messages(spark: SparkSession, folder: str, options: JobOptions = JobOptions()) -> DataFrame:
@@ -43,6 +47,8 @@ def read_messages(spark: SparkSession, folder: str, options: JobOptions = JobOpt
         me=options.me,
         them=options.them,
         mode=options.mode,
+        sample_lines=options.sample_lines,
+        overrides=options.overrides,
     )
 
 

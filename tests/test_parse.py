@@ -194,3 +194,19 @@ def test_count_messages(lines_of, parsed):
 def test_clock_with_seconds(lines_of, line, clock, time):
     text = "\n".join([line.format(clock), line.format(clock)])
     assert [m.ts[11:16] for m in parse_messages(lines_of({"c": text}), tz_offset="+00:00").collect()] == [time, time]
+
+
+def test_overrides_per_chat(spark, lines_of):
+    rows = [("a", "android", "MDY"), ("b", None, "dmy"), ("c", "ios", None), ("d", "none", "auto"), ("other", "pt", "dmy")]
+    overrides = spark.createDataFrame(rows, "chat_id string, style string, date_order string")
+    lines = lines_of({c: "01/02/2025, 09:00 - A: x" for c in "abcde"})
+    got = {r.chat_id: r.ts[:10] for r in parse_messages(lines, tz_offset="+00:00", overrides=overrides, block_rows=2).collect()}
+    assert got == {"a": "2025-01-02", "b": "2025-02-01", "d": "2025-02-01", "e": "2025-02-01"}
+    formats = {r.chat_id: (r.style, r.date_order) for r in chat_formats(lines, overrides=overrides).collect()}
+    assert formats["a"] == ("android", "mdy") and formats["c"][0] == "ios" and len(formats) == 5
+
+
+def test_sample_of_all_lines(lines_of):
+    lines = lines_of({"c": "01/02/2025, 09:00 - A: x\n01/13/2025, 09:00 - A: y"})
+    orders = [chat_formats(lines, sample_lines=n).first().date_order for n in (1, 2, None)]
+    assert orders == ["dmy", "mdy", "mdy"]
