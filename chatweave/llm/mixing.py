@@ -46,8 +46,8 @@ def topic(text: Column, tokens: Column) -> Column:
     )
 
 
-def described(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, lang, topic, tokens); null source or language is the value "unknown"."""
+def described(docs: DataFrame, *more: Column) -> DataFrame:
+    """(doc_id, source, lang, topic, tokens) and ``more``; null source or language is the value "unknown"."""
     text = F.coalesce("text", F.lit(""))
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -55,7 +55,8 @@ def described(docs: DataFrame) -> DataFrame:
         F.coalesce(F.col("lang").cast("string"), F.lit("unknown")).alias("lang"),
         text.alias("text"),
         n_tokens(text).alias("tokens"),
-    ).select("doc_id", "source", "lang", topic(F.col("text"), F.col("tokens")).alias("topic"), "tokens")
+        *more,
+    ).withColumn("topic", topic(F.col("text"), F.col("tokens"))).drop("text")
 
 
 def pooled(facts: DataFrame) -> DataFrame:
@@ -96,6 +97,21 @@ def chance(doc_id: Column) -> Column:
     return F.conv(head, 16, 10).cast("double") / F.lit(4294967296.0)
 
 
+def decided(
+    facts: DataFrame, targets: dict[str, dict[str, float]] | None, budget: float, sweeps: int
+) -> DataFrame:
+    """``facts`` with the rate of their cell and the copies that each row gets."""
+    facts = pooled(facts)
+    cells = facts.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")).toPandas()
+    targets = targets or {m: tempered_targets(cells, m) for m in MARGINS}
+    cells["rate"] = budget * cells["tokens"].sum() * rake(cells, targets, sweeps) / cells["tokens"].to_numpy(float)
+    rows = [(*r[:3], float(r[3])) for r in cells[[*MARGINS, "rate"]].itertuples(index=False)]
+    rates = facts.sparkSession.createDataFrame(rows, "source string, lang string, topic string, rate double")
+    placed = facts.join(F.broadcast(rates), list(MARGINS)).withColumn("rate", F.round("rate", 9))  # bounded by SMALL
+    left = F.col("rate") - F.floor("rate")
+    return placed.withColumn("copies", F.floor("rate") + (chance(F.col("doc_id")) < left).cast("long"))
+
+
 def mix(
     docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET, sweeps: int = SWEEPS
 ) -> DataFrame:
@@ -105,16 +121,17 @@ def mix(
     rounded to nine digits before the decision. Null text is empty (one token, its end); repeated
     rows get equal decisions; other columns are ignored; an empty table gives no rows.
     """
-    facts = pooled(store(described(docs)))
-    cells = facts.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")).toPandas()
-    targets = targets or {m: tempered_targets(cells, m) for m in MARGINS}
-    cells["rate"] = budget * cells["tokens"].sum() * rake(cells, targets, sweeps) / cells["tokens"].to_numpy(float)
-    rows = [(*r[:3], float(r[3])) for r in cells[[*MARGINS, "rate"]].itertuples(index=False)]
-    rates = docs.sparkSession.createDataFrame(rows, "source string, lang string, topic string, rate double")
-    placed = facts.join(F.broadcast(rates), list(MARGINS)).withColumn("rate", F.round("rate", 9))  # bounded by SMALL
-    left = F.col("rate") - F.floor("rate")
-    copies = F.floor("rate") + (chance(F.col("doc_id")) < left).cast("long")
-    return placed.select("doc_id", *MARGINS, "tokens", "rate", copies.alias("copies"))
+    placed = decided(store(described(docs)), targets, budget, sweeps)
+    return placed.select("doc_id", *MARGINS, "tokens", "rate", "copies")
+
+
+def copied(
+    docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET, sweeps: int = SWEEPS
+) -> DataFrame:
+    """The rows of ``docs``, all columns, each as often as ``mix`` says. Nothing is joined on the id."""
+    placed = decided(described(docs, F.struct("*").alias("row")), targets, budget, sweeps)
+    each = F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))
+    return placed.where("copies > 0").select("row", each.alias("copy")).select("row.*")
 
 
 def mix_sql(sweeps: int = SWEEPS, temper: float = TEMPER, budget: float = BUDGET) -> str:

@@ -35,9 +35,8 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which the mix takes a copy."""
-    taken = mixing.mix(docs).where("copies > 0").select("doc_id").distinct()
-    return docs.join(taken, docs["doc_id"].eqNullSafe(taken["doc_id"]), "left_semi").select(*docs.columns)
+    """As many copies of each document as the mix takes of it: none, one or more."""
+    return mixing.copied(docs).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

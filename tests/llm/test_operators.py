@@ -242,3 +242,37 @@ def test_pipeline_keeps_columns_and_clean_rows(spark):
         docs = stage(spark, docs, SF_DIR)
         assert docs.columns == columns and 0 < docs.count() <= n
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF_DIR).count() >= docs.count()
+
+
+def rates_by_brute_force(docs, targets=None):
+    """{doc_id: (rate, copies)} of pandas rows (doc_id, source, lang, topic, tokens), every value raked for itself."""
+    cells = docs.groupby(list(mixing.MARGINS), as_index=False)["tokens"].sum()
+    targets = {m: mixing.tempered_targets(cells, m) for m in mixing.MARGINS} | (targets or {})
+    cells["rate"] = (mixing.BUDGET * cells["tokens"].sum() * mixing.rake(cells, targets) / cells["tokens"]).round(9)
+    out = {}
+    for r in docs.merge(cells[[*mixing.MARGINS, "rate"]], on=list(mixing.MARGINS)).itertuples():
+        chance = int(hashlib.md5(str(r.doc_id).encode()).hexdigest()[:8], 16) / 2**32
+        out[r.doc_id] = (r.rate, int(r.rate) + (chance < r.rate - int(r.rate)))
+    return out
+
+
+def test_mixing_stage_repeats_rare_documents(spark):
+    """The stage gives every document as often as brute force, so that rare sources reach their weights."""
+    import collections
+
+    import corpus_pipeline
+    import pandas as pd
+
+    rows = [(i, "rare" if i % 50 == 0 else "common", "en", f"text number {i}", None if i % 3 else i) for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, lang string, text string, copies int")
+    got = corpus_pipeline.mixed(spark, docs, SF_DIR)
+    assert got.columns == docs.columns
+    got = got.collect()
+    facts = pd.DataFrame([(i, source, lang, "note", 4) for i, source, lang, *_ in rows], columns=["doc_id", *mixing.MARGINS, "tokens"])
+    want = rates_by_brute_force(facts)
+    assert max(c for _, c in want.values()) > 1
+    assert collections.Counter(r.doc_id for r in got) == {i: c for i, (_, c) in want.items() if c}
+    assert {tuple(r) for r in got} <= set(rows)
+    share = sum(r.source == "rare" for r in got) / len(got)
+    raised = {s: n**mixing.TEMPER for s, n in facts["source"].value_counts().items()}
+    assert share == pytest.approx(raised["rare"] / sum(raised.values()), rel=0.1)
