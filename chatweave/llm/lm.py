@@ -6,10 +6,11 @@ frequent words have slots, all other words share slot 0. A gated recurrent unit
 by one softmax and the slot in it by another; inside slot 0 a word has its smoothed share of
 the class's counts, so the model is a proper distribution over all words, known or not.
 
-Every training document gives one span of tokens. Spans are dealt to trainers, as many as their
-number asks for; each runs truncated backpropagation, window by window with the state carried on, and
-Spark averages what they learned, round by round. Scoring carries the state through all windows of a
-document.
+Every token of every training document is trained on. Documents are cut into runs of consecutive
+spans (all but very long ones are one run); runs are dealt to trainers, as many as the number of
+spans asks for. Each runs truncated backpropagation, window by window with the state carried on to the
+end of the run, and Spark averages what they learned, round by round. Scoring carries the state through all
+windows of a document.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -37,6 +39,8 @@ FREQUENT = 1 << 17
 #: Words among which the slots are given.
 CANDIDATES = 20_000
 SPAN = 96
+#: Spans through which training carries the state; a longer document is several runs, for several trainers.
+RUN_SPANS = 64
 WINDOW = 32
 LANES = 64
 SPANS_PER_TRAINER = 4000
@@ -244,19 +248,30 @@ def window_grads(p: dict[str, np.ndarray], h: np.ndarray, units: np.ndarray) ->
     return grads, h
 
 
-def train_on(p: dict[str, np.ndarray], spans: list[np.ndarray], rate: float) -> dict[str, np.ndarray]:
-    """Truncated backpropagation over spans, ``LANES`` side by side, the state carried from window to window."""
+def train_on(p: dict[str, np.ndarray], runs: list[np.ndarray], rate: float) -> dict[str, np.ndarray]:
+    """Truncated backpropagation over all tokens of ``runs``, ``LANES`` side by side.
+
+    The state is carried from window to window to the end of a run. Then its lane takes the next one, so
+    that long runs do not leave the other lanes empty.
+    """
     adam = Adam(dict(p), rate)
-    for at in range(0, len(spans), LANES):
-        some = spans[at : at + LANES]
-        units = np.full((-(-max(map(len, some)) // WINDOW) * WINDOW, len(some)), -1)
-        for lane, span in enumerate(some):
-            units[: len(span), lane] = span
-        h = np.zeros((len(some), HIDDEN), np.float32)
-        for t in range(0, len(units), WINDOW):
-            grads, h = window_grads(adam.params, h, units[t : t + WINDOW])
-            norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
-            adam.step({k: (g / max(1.0, norm)).astype(np.float32) for k, g in grads.items()})
+    lanes: list[tuple[np.ndarray, int]] = []  # a run and how much of it is done
+    h = np.zeros((0, HIDDEN), np.float32)
+    following = iter(runs)
+    while True:
+        going = [i for i, (run, at) in enumerate(lanes) if at < len(run)]
+        lanes = [lanes[i] for i in going] + [(run, 0) for run in islice(following, LANES - len(going))]
+        if not lanes:
+            break
+        h = np.concatenate([h[going], np.zeros((len(lanes) - len(going), HIDDEN), np.float32)])
+        units = np.full((WINDOW, len(lanes)), -1)
+        for lane, (run, at) in enumerate(lanes):
+            some = run[at : at + WINDOW]
+            units[: len(some), lane] = some
+            lanes[lane] = (run, at + WINDOW)
+        grads, h = window_grads(adam.params, h, units)
+        norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
+        adam.step({k: (g / max(1.0, norm)).astype(np.float32) for k, g in grads.items()})
     return {k: v.astype(np.float32) for k, v in adam.params.items()}
 
 
@@ -272,44 +287,53 @@ def unflat(values: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndar
     return out
 
 
-def training_spans(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """(spot, span): one span of every document of ``docs`` (doc_id, text), at a place that a hash of its
-    tokens picks; one in three begins where the document does."""
+def training_runs(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """(spot, place, spans, run): all tokens of every document of ``docs`` (doc_id, text), in runs of at most
+    ``RUN_SPANS`` spans. ``spot`` is a hash of the document's id and tokens, so that copies of a text part,
+    ``place`` the number of the run in it, ``spans`` how many spans the run is worth."""
+    longest = SPAN * RUN_SPANS
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            spots, spans = [], []
-            for _, owner, hashes, endings in token_chunks(batch["text"]):
+            ids = batch["id"].to_numpy(np.int64).view(np.uint64)
+            for first, owner, hashes, endings in token_chunks(batch["text"]):
                 units = vocab.units(hashes, endings).astype(np.int16)
-                for some, token in zip(np.split(units, np.flatnonzero(np.diff(owner)) + 1), np.split(hashes, np.flatnonzero(np.diff(owner)) + 1), strict=True):
-                    spot = int(np.bitwise_xor.reduce(token) >> np.uint64(1))
-                    start = 0 if spot % 3 == 0 else spot // 3 % max(1, len(some) - SPAN + 1)
-                    spots.append(spot)
-                    spans.append(some[start : start + SPAN])
-            yield pd.DataFrame({"spot": spots, "span": spans})
+                cuts = np.flatnonzero(np.diff(owner)) + 1
+                rows = [
+                    (int((np.bitwise_xor.reduce(token) ^ ids[first + i]) >> np.uint64(1)), at // longest, some[at : at + longest])
+                    for i, (some, token) in enumerate(zip(np.split(units, cuts), np.split(hashes, cuts), strict=True))
+                    for at in range(0, len(some), longest)
+                ]
+                yield pd.DataFrame({
+                    "spot": [r[0] for r in rows], "place": [r[1] for r in rows],
+                    "spans": [-(-len(r[2]) // SPAN) for r in rows], "run": [r[2] for r in rows],
+                })
 
-    return docs.select("text").mapInPandas(run, "spot long, span array<short>")
+    rows = docs.select(F.xxhash64("doc_id").alias("id"), "text")
+    return rows.mapInPandas(run, "spot long, place long, spans long, run array<short>")
 
 
 def fit(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
-    """Parameters learned from all ``docs``; their size does not depend on the corpus."""
+    """Parameters learned from all tokens of ``docs``; their size does not depend on the corpus."""
     params = start_params(vocab)
-    spans = store(training_spans(docs, vocab))
-    trainers = -(-spans.count() // SPANS_PER_TRAINER)
+    runs = store(training_runs(docs, vocab))
+    trainers = -(-(runs.agg(F.sum("spans")).first()[0] or 0) // SPANS_PER_TRAINER)
     for k in range(rounds if trainers else 0):
         begin, rate = flat(params), 0.01 / (1 + k)
 
         def run(batches: Iterator[pd.DataFrame], begin=begin, rate=rate) -> Iterator[pd.DataFrame]:
-            some = [np.asarray(s, np.int64) for batch in batches for s in batch["span"]]
+            some = [np.asarray(s, np.int16) for batch in batches for s in batch["run"]]
             if some:
                 learned = flat(train_on(unflat(begin, params), some, rate))
-                yield pd.DataFrame({"place": np.arange(len(learned)), "value": learned.astype(float), "weight": float(len(some))})
+                weight = float(sum(map(len, some)))
+                yield pd.DataFrame({"place": np.arange(len(learned)), "value": learned.astype(float), "weight": weight})
 
-        dealt = spans.repartition(trainers, F.pmod(F.xxhash64("spot"), F.lit(trainers))).sortWithinPartitions(F.xxhash64("spot", F.lit(k)))
-        learned = dealt.select("span").mapInPandas(run, "place int, value double, weight double")
+        dealt = runs.repartition(trainers, F.pmod(F.xxhash64("spot", "place"), F.lit(trainers)))
+        dealt = dealt.sortWithinPartitions(F.xxhash64("spot", "place", F.lit(k)))
+        learned = dealt.select("run").mapInPandas(run, "place int, value double, weight double")
         mean = learned.groupBy("place").agg((F.sum(F.col("value") * F.col("weight")) / F.sum("weight")).alias("v")).toPandas()
         params = unflat(mean.sort_values("place")["v"].to_numpy(), params)
-    release(spans)
+    release(runs)
     return params
 
 

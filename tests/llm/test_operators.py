@@ -276,3 +276,30 @@ def test_mixing_stage_repeats_rare_documents(spark):
     share = sum(r.source == "rare" for r in got) / len(got)
     raised = {s: n**mixing.TEMPER for s, n in facts["source"].value_counts().items()}
     assert share == pytest.approx(raised["rare"] / sum(raised.values()), rel=0.1)
+
+
+def test_language_model_trains_on_every_token(spark, odd_docs, monkeypatch):
+    """Runs hold all tokens of all documents in order, and the trainer takes each of them with the state carried on."""
+    counts = lm.token_counts(odd_docs)
+    vocab = lm.vocabulary(counts)
+    rows = lm.training_runs(odd_docs, vocab).collect()
+    assert sum(len(r.run) for r in rows) == vocab.n_tokens > 90_000
+    assert max(len(r.run) for r in rows) <= lm.SPAN * lm.RUN_SPANS and all(r.spans == -(-len(r.run) // lm.SPAN) for r in rows)
+    of_doc_9 = max((r.spot for r in rows), key=lambda spot: len({tuple(r.run) for r in rows if r.spot == spot}))
+    units = [u for r in sorted((r for r in rows if r.spot == of_doc_9), key=lambda r: r.place) for u in r.run]
+    (_, _, hashes, endings), = lm.token_chunks([" ".join(f"u{i}" for i in range(40_000))])
+    assert units == vocab.units(hashes, endings).tolist()
+
+    seen, state_in = [], []
+    learn = lm.window_grads
+
+    def watched(p, h, units):
+        seen.append(units[units >= 0])
+        state_in.append(np.abs(h).sum(1))
+        return learn(p, h, units)
+
+    monkeypatch.setattr(lm, "window_grads", watched)
+    runs = [np.arange(n) % 1000 for n in [1, 5000, 32, 33, 700] + [64] * 200]
+    lm.train_on(lm.start_params(vocab), runs, 0.01)
+    assert sorted(np.concatenate(seen)) == sorted(np.concatenate(runs))
+    assert sum((s == 0).sum() for s in state_in) == len(runs)  # only a run's first window begins at zero
