@@ -5,8 +5,8 @@ to the target share of every source, language and topic in turn. A document's ra
 raked weight over the cell's tokens, times the token budget: whole copies, and one more with
 the probability that is left, decided by a hash of the id.
 
-Values with less than a thousandth of all tokens are raked as one value "(small)". So a margin has at
-most 1001 values at any size of the corpus, and only the sums of their cells reach the driver.
+Every value is raked for itself, however rare. The cells are a stored table, and every step of raking is a
+sum per value and a join in Spark, so neither cells nor values reach the driver.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatweave.llm.common import store
+from chatweave.llm.common import release, store
 
 MARGINS = ("source", "lang", "topic")
 SWEEPS = 10
@@ -24,7 +24,7 @@ SWEEPS = 10
 TEMPER = 0.7
 #: Tokens to sample as a share of the tokens there are.
 BUDGET = 0.5
-#: Share of all tokens below which a value is raked with the other small ones.
+#: Share of all tokens below which ``mix_sql`` (not ``mix``) rakes a value with the other small ones.
 SMALL = 0.001
 SMALL_NAME = "(small)"
 WORD = "[^\\\\x09-\\\\x0D\\\\x20]+"
@@ -59,17 +59,6 @@ def described(docs: DataFrame, *more: Column) -> DataFrame:
     ).withColumn("topic", topic(F.col("text"), F.col("tokens"))).drop("text")
 
 
-def pooled(facts: DataFrame) -> DataFrame:
-    """``facts`` with the small values of each margin as ``SMALL_NAME``."""
-    sums = facts.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens"))
-    total = F.broadcast(facts.agg(F.sum("tokens").alias("all")))  # one row
-    for m in MARGINS:
-        shares = sums.groupBy(m).agg(F.sum("tokens").alias("n")).join(total).where(F.col("n") >= F.col("all") * SMALL)
-        large = [r[0] for r in shares.select(m).collect()]  # at most 1 / SMALL values
-        facts = facts.withColumn(m, F.when(F.col(m).isin(large), F.col(m)).otherwise(SMALL_NAME))
-    return facts
-
-
 def tempered_targets(cells: pd.DataFrame, margin: str, temper: float = TEMPER) -> dict[str, float]:
     """Shares of the values of a margin, flattened."""
     raised = cells.groupby(margin)["tokens"].sum() ** temper
@@ -79,7 +68,7 @@ def tempered_targets(cells: pd.DataFrame, margin: str, temper: float = TEMPER) -
 def rake(cells: pd.DataFrame, targets: dict[str, dict[str, float]], sweeps: int = SWEEPS) -> np.ndarray:
     """Weights of ``cells`` (source, lang, topic, tokens) raked to the targets of each margin in turn.
 
-    Cells whose value has no target get weight 0.
+    The plain form of ``cell_rates``, for cells that fit one process. Cells whose value has no target get weight 0.
     """
     weight = cells["tokens"].to_numpy(float)
     coded = {m: pd.factorize(cells[m]) for m in MARGINS}
@@ -97,19 +86,45 @@ def chance(doc_id: Column) -> Column:
     return F.conv(head, 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def decided(
+def target_shares(cells: DataFrame, margin: str, targets: dict[str, dict[str, float]] | None) -> DataFrame:
+    """(margin, target): the shares asked for, or the tempered ones of all values of ``cells``."""
+    if targets and margin in targets:
+        rows = [(v, float(share)) for v, share in targets[margin].items()]
+        return cells.sparkSession.createDataFrame(rows, f"{margin} string, target double")
+    raised = cells.groupBy(margin).agg(F.pow(F.sum("tokens").cast("double"), F.lit(TEMPER)).alias("raised"))
+    return raised.join(raised.agg(F.sum("raised").alias("whole"))).select(margin, (F.col("raised") / F.col("whole")).alias("target"))
+
+
+def cell_rates(
     facts: DataFrame, targets: dict[str, dict[str, float]] | None, budget: float, sweeps: int
 ) -> DataFrame:
+    """(source, lang, topic, rate) of every cell of ``facts``, stored.
+
+    Each step scales the weights to one margin: a sum per value, which Spark reduces before it shuffles, and a
+    join with the cells. Steps are stored, as each reads the one before twice.
+    """
+    cells = store(facts.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")))
+    shares = {m: store(target_shares(cells, m, targets)) for m in MARGINS}
+    whole = cells.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    weights = cells.withColumn("weight", F.col("tokens").cast("double"))
+    for _ in range(sweeps):
+        for m in MARGINS:
+            sums = weights.groupBy(m).agg(F.sum("weight").alias("sum"))
+            factor = F.when(F.col("sum") > 0, F.coalesce("target", F.lit(0.0)) / F.col("sum")).otherwise(0.0)
+            factors = sums.join(shares[m], m, "left").select(m, factor.alias("factor"))
+            scaled = weights.join(factors, m).select(*MARGINS, "tokens", (F.col("weight") * F.col("factor")).alias("weight"))
+            before, weights = weights, store(scaled)
+            release(before)
+    for done in (cells, *shares.values()):
+        release(done)
+    rate = F.round(F.lit(budget * whole) * F.col("weight") / F.col("tokens"), 9)
+    return weights.select(*MARGINS, rate.alias("rate"))
+
+
+def decided(facts: DataFrame, rates: DataFrame) -> DataFrame:
     """``facts`` with the rate of their cell and the copies that each row gets."""
-    facts = pooled(facts)
-    cells = facts.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")).toPandas()
-    targets = targets or {m: tempered_targets(cells, m) for m in MARGINS}
-    cells["rate"] = budget * cells["tokens"].sum() * rake(cells, targets, sweeps) / cells["tokens"].to_numpy(float)
-    rows = [(*r[:3], float(r[3])) for r in cells[[*MARGINS, "rate"]].itertuples(index=False)]
-    rates = facts.sparkSession.createDataFrame(rows, "source string, lang string, topic string, rate double")
-    placed = facts.join(F.broadcast(rates), list(MARGINS)).withColumn("rate", F.round("rate", 9))  # bounded by SMALL
     left = F.col("rate") - F.floor("rate")
-    return placed.withColumn("copies", F.floor("rate") + (chance(F.col("doc_id")) < left).cast("long"))
+    return facts.join(rates, list(MARGINS)).withColumn("copies", F.floor("rate") + (chance(F.col("doc_id")) < left).cast("long"))
 
 
 def mix(
@@ -117,11 +132,13 @@ def mix(
 ) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, source, lang): its cell, rate and copies.
 
-    ``targets`` (margin: value: share) default to tempered shares of what is there. ``rate`` is
+    ``targets`` (margin: value: share) default, for each margin, to tempered shares of what is there;
+    values that a given margin does not name get rate 0. ``rate`` is
     rounded to nine digits before the decision. Null text is empty (one token, its end); repeated
     rows get equal decisions; other columns are ignored; an empty table gives no rows.
     """
-    placed = decided(store(described(docs)), targets, budget, sweeps)
+    facts = store(described(docs))
+    placed = decided(facts, cell_rates(facts, targets, budget, sweeps))
     return placed.select("doc_id", *MARGINS, "tokens", "rate", "copies")
 
 
@@ -129,7 +146,8 @@ def copied(
     docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET, sweeps: int = SWEEPS
 ) -> DataFrame:
     """The rows of ``docs``, all columns, each as often as ``mix`` says. Nothing is joined on the id."""
-    placed = decided(described(docs, F.struct("*").alias("row")), targets, budget, sweeps)
+    rates = cell_rates(described(docs), targets, budget, sweeps)
+    placed = decided(described(docs, F.struct("*").alias("row")), rates)
     each = F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))
     return placed.where("copies > 0").select("row", each.alias("copy")).select("row.*")
 

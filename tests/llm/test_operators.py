@@ -303,3 +303,20 @@ def test_language_model_trains_on_every_token(spark, odd_docs, monkeypatch):
     lm.train_on(lm.start_params(vocab), runs, 0.01)
     assert sorted(np.concatenate(seen)) == sorted(np.concatenate(runs))
     assert sum((s == 0).sum() for s in state_in) == len(runs)  # only a run's first window begins at zero
+
+
+def test_mixing_rakes_every_value(spark):
+    """Thousands of sources of 0.02 % beside one of a third: each has its own target, tempered or given."""
+    import pandas as pd
+
+    rows = [(i, "large" if i % 3 == 0 else f"site{i // 2}", ("en", "de")[i % 7 == 0]) for i in range(6000)]
+    docs = spark.createDataFrame([(*r, "some words") for r in rows], "doc_id long, source string, lang string, text string")
+    facts = pd.DataFrame([(*r, "note", 3) for r in rows], columns=["doc_id", *mixing.MARGINS, "tokens"])
+    given = {"source": {"site1": 0.05, "large": 0.5, "site2": 0.45}}
+    for targets in (None, given):
+        got = mixing.mix(docs, targets).toPandas()
+        assert sorted(got["source"]) == sorted(facts["source"])
+        want = rates_by_brute_force(facts, targets)
+        assert {r.doc_id: (pytest.approx(r.rate, abs=2e-9), r.copies) for r in got.itertuples()} == want
+    share = (got["rate"] * got["tokens"]).groupby(got["source"]).sum() / (got["rate"] * got["tokens"]).sum()
+    assert share["site1"] == pytest.approx(0.05, abs=0.02) and share.drop(["site1", "large", "site2"]).max() == 0
