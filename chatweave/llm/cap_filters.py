@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from chatweave.llm.common import components, ship_package, store
 
 COSINE = 0.95
-#: Directions per vector: on average, and at least.
+#: Directions per vector: on average, and at least for each tenfold of the table.
 LIST = 24
 LEAST = 8
 #: Vectors per direction, on average: the number of directions grows with the table.
@@ -38,6 +38,7 @@ class ProductCode:
     def __init__(self, dim: int, words: int) -> None:
         rng = np.random.default_rng([dim, words, 11])
         self.words, self.half = words, dim // 2
+        self.least = least_directions(words)
         self.turn = np.linalg.qr(rng.normal(size=(dim, dim)))[0]
         self.signs = rng.normal(size=(dim, SKETCH_BITS))
         self.codes = []
@@ -56,15 +57,22 @@ class ProductCode:
         for s, t, o in zip(first, second, order, strict=True):
             begin = np.searchsorted(t[o], self.threshold - s)
             n = self.words - begin
-            if n.sum() < LEAST:
-                sums = (s[:, None] + t[None, :]).ravel()
-                out.append(np.sort(np.argpartition(-sums, min(LEAST, len(sums)) - 1)[:LEAST]))
+            if n.sum() < self.least:
+                out.append(self._largest(s, t))
                 continue
             i = np.repeat(np.arange(self.words), n)
             place = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin, n)
             out.append(np.sort(i * self.words + o[place]))
         return out
 
+    def _largest(self, s: np.ndarray, t: np.ndarray) -> np.ndarray:
+        """The ``least`` directions of the largest sums. The i-th and the j-th largest of the halves have i * j
+        sums that are no smaller, so few code words of each half come into question."""
+        a, b = np.argsort(-s, kind="stable")[: self.least], np.argsort(-t, kind="stable")[: self.least]
+        i, j = np.nonzero(np.outer(np.arange(1, len(a) + 1), np.arange(1, len(b) + 1)) <= self.least)
+        best = np.argsort(-(s[a[i]] + t[b[j]]), kind="stable")[: self.least]
+        return np.sort(a[i[best]] * self.words + b[j[best]])
+
     def sketch(self, unit: np.ndarray) -> np.ndarray:
         return np.packbits(unit @ self.signs > 0, axis=1).view(np.uint64).view(np.int64)
 
@@ -83,6 +91,12 @@ def code_words(n_vectors: int) -> int:
     return max(16, int(np.ceil(np.sqrt(n_vectors * LIST / MEETING))))
 
 
+def least_directions(words: int) -> int:
+    """Fewest directions of a vector, growing with the logarithm of the table that has so many code words: near
+    pairs share one of few directions less often, the more directions there are."""
+    return int(np.ceil(LEAST * np.log10(words**2 * MEETING / LIST)))
+
+
 FILTER_SCHEMA = "vec_id long, dim int, filters array<int>, sketch array<long>"
 
 

@@ -320,3 +320,19 @@ def test_mixing_rakes_every_value(spark):
         assert {r.doc_id: (pytest.approx(r.rate, abs=2e-9), r.copies) for r in got.itertuples()} == want
     share = (got["rate"] * got["tokens"]).groupby(got["source"]).sum() / (got["rate"] * got["tokens"]).sum()
     assert share["site1"] == pytest.approx(0.05, abs=0.02) and share.drop(["site1", "large", "site2"]).max() == 0
+
+
+@pytest.mark.parametrize("n_vectors", [10_000, 100_000])
+def test_filters_find_near_pairs_of_large_tables(n_vectors):
+    """Pairs at the threshold share a direction at the size of a large table; the fill-up is the exact one."""
+    rng = np.random.default_rng(6)
+    x, z = rng.normal(size=(2, 1000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    code = cap_filters.ProductCode(64, cap_filters.code_words(n_vectors))
+    pairs = zip(code.decode(x), code.decode(0.95 * x + np.sqrt(1 - 0.95**2) * z), strict=True)
+    assert np.mean([len(np.intersect1d(a, b)) == 0 for a, b in pairs]) <= 0.002
+    s, t = rng.normal(size=(2, code.words))
+    sums = (s[:, None] + t[None, :]).ravel()
+    assert code._largest(s, t).tolist() == np.sort(np.argsort(-sums)[: code.least]).tolist()
