@@ -44,7 +44,8 @@ class ByteTokenizer:
 
     The vocabulary is the named ``tokenizers`` file. Where the same vocabulary lies beside it as
     ranks (``.tiktoken``), that library encodes with it, four times faster and with equal ids;
-    runs of white space too long for it, and vocabularies without ranks, go through ``tokenizers``.
+    texts that hold an added token (``<|endoftext|>``) or runs of white space too long for it, and
+    vocabularies without ranks, go through ``tokenizers`` as the file sets it up.
     """
 
     _loaded: dict[str, ByteTokenizer] = {}
@@ -61,7 +62,7 @@ class ByteTokenizer:
         from tokenizers import Tokenizer
 
         self._plain = Tokenizer.from_file(path)
-        self._plain.encode_special_tokens = True
+        self._added = [token.content for token in self._plain.get_added_tokens_decoder().values()]
         self._fast = None
         ranks = path.removesuffix(".json") + ".tiktoken"
         if os.path.exists(ranks):
@@ -73,8 +74,8 @@ class ByteTokenizer:
             self._fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
 
     def encode(self, text: str) -> bytes:
-        """The ids of ``text`` without special tokens, four bytes each."""
-        if self._fast is None or self.LONGEST_RUN.search(text):
+        """The ids of ``text`` with no special tokens put around it, four bytes each."""
+        if self._fast is None or any(token in text for token in self._added) or self.LONGEST_RUN.search(text):
             return np.array(self._plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return np.array(self._fast.encode_ordinary(text), "<u4").tobytes()
 

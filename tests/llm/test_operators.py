@@ -336,3 +336,12 @@ def test_filters_find_near_pairs_of_large_tables(n_vectors):
     s, t = rng.normal(size=(2, code.words))
     sums = (s[:, None] + t[None, :]).ravel()
     assert code._largest(s, t).tolist() == np.sort(np.argsort(-sums)[: code.least]).tolist()
+
+
+def test_token_ids_are_those_of_a_fresh_tokenizer():
+    from tokenizers import Tokenizer
+
+    ours, fresh = packing.ByteTokenizer.load(tokenizer_path()), Tokenizer.from_file(tokenizer_path())
+    for text in ("<|endoftext|>", "one <|endoftext|> two<|endoftext|>", "<|endoftext|", "plain text", " " * 5000 + "<|endoftext|>"):
+        assert np.frombuffer(ours.encode(text), "<u4").tolist() == fresh.encode(text, add_special_tokens=False).ids
+    assert 50256 in np.frombuffer(ours.encode("a<|endoftext|>b"), "<u4")
