@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatweave.llm import cap_filters, chat_format, line_dedup, lm, media, minhash, mixing, packing, quality_model, toxicity
+from chatweave.llm import cap_filters, chat_format, conversation_repair, line_dedup, lm, media, minhash, mixing, packing, quality_model, token_files, toxicity
 from chatweave.llm.common import store, table, texts_of
 from chatweave.plans.queries import Query
 
@@ -91,3 +91,15 @@ def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(texts_of(table(spark, sf_dir, "documents")))
+
+
+@query()
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token-id files of all documents, written and read back."""
+    return token_files.token_files(texts_of(table(spark, sf_dir, "documents")), tokenizer_path())
+
+
+@query()
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cheapest repairs of all conversations after the fixed damage."""
+    return conversation_repair.repair(conversation_repair.damaged(table(spark, sf_dir, "conversations")))
