@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatweave.llm import cap_filters, chat_format, conversation_repair, line_dedup, lm, media, minhash, mixing, packing, quality_model, token_files, toxicity
+from chatweave.llm import cap_filters, chat_format, collocations, conversation_repair, line_dedup, lm, media, minhash, mixing, packing, quality_model, token_files, toxicity
 from chatweave.llm.common import store, table, texts_of
 from chatweave.plans.queries import Query
 
@@ -103,3 +103,9 @@ def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cheapest repairs of all conversations after the fixed damage."""
     return conversation_repair.repair(conversation_repair.damaged(table(spark, sf_dir, "conversations")))
+
+
+@query(collocations.collocations_sql())
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first phrases of each language by association, over all documents."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
