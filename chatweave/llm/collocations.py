@@ -26,15 +26,15 @@ LONGEST = 5
 MIN_COUNT = 100
 TOP = 2000
 #: Words of one transducer; bytes of text gathered before they are built; words of one range, about.
-SHARD_WORDS = 1 << 20
-SHARD_BYTES = 8 << 20
-RANGE_WORDS = 3 << 20
+SHARD_WORDS = 1 << 19
+SHARD_BYTES = 4 << 20
+RANGE_WORDS = 2 << 20
 #: One window in so many is in the sample that only places the borders of ranges.
 SAMPLE_STRIDE, SAMPLE_SHARE = 1600, 20
 #: Most borders that tasks are given (about 60 bytes each); larger corpora get larger ranges.
 MOST_RANGES = 1 << 20
 #: Windows merged at once while a range is united, n-grams of one transducer when parts are looked up.
-MERGE_AT = 3 << 20
+MERGE_AT = 1 << 20
 LOOKUP_BLOCK = 1 << 16
 
 #: What parts pieces becomes a full stop, which no word can hold.
@@ -64,13 +64,16 @@ def _bounds(keys: list[np.ndarray]) -> np.ndarray:
 def summed(columns: list[np.ndarray], counts: np.ndarray | None) -> tuple[list[np.ndarray], np.ndarray]:
     """Windows in order, each once, with the sum of their counts (None: one each)."""
     if len(columns[0]) and max(int(c.max()) for c in columns) < 1 << 21:
-        wide = [c.astype(np.int64) for c in columns]
-        keys = [wide[0] << 42 | wide[1] << 21 | wide[2], wide[3] << 21 | wide[4]]
-        del wide
+        keys = [np.zeros(len(columns[0]), np.int64), np.zeros(len(columns[0]), np.int64)]
+        for key, part in zip(keys, (columns[:3], columns[3:]), strict=True):
+            for c in part:
+                key <<= 21
+                key |= c
     else:
         keys = columns
     order = np.lexsort(keys[::-1])
     starts = np.flatnonzero(_bounds([k[order] for k in keys])) if len(order) else np.zeros(0, np.int64)
+    del keys
     first = order[starts]
     sums = np.diff(np.append(starts, len(order))) if counts is None else np.add.reduceat(counts[order], starts) if len(starts) else counts[:0]
     return [c[first] for c in columns], sums
@@ -363,19 +366,21 @@ def phrase_counts(docs: DataFrame, least: int = MIN_COUNT) -> DataFrame:
     texts = _texts(docs)
     borders = range_borders(texts)
 
-    def shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: dict[str, list[str]] = {}
         size = 0
 
-        def built() -> Iterator[pd.DataFrame]:
+        def built() -> Iterator[pa.RecordBatch]:
             while waiting:
                 lang, lines = waiting.popitem()
                 words = [w for line in lines for w in words_of(line)]
+                del lines
                 for i, data in shard_pieces(words, borders.get(lang, [])):
-                    yield pd.DataFrame({"lang": [lang], "part": [i], "data": [data]})
+                    yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([i], pa.int32()), pa.array([data])], ["lang", "part", "data"])
 
         for batch in batches:
-            for lang, text in zip(batch["lang"], batch["text"], strict=True):
+            for lang, text in zip(batch.column(0), batch.column(1), strict=True):
+                lang, text = lang.as_py(), text.as_py()  # one by one: a batch may hold long texts
                 waiting.setdefault(lang, []).append(text)
                 size += len(text)
                 if size >= SHARD_BYTES:
@@ -402,7 +407,7 @@ def phrase_counts(docs: DataFrame, least: int = MIN_COUNT) -> DataFrame:
             yield done()
 
     n = max(1, sum(map(len, borders.values())) + 1)
-    pieces = texts.mapInPandas(shards, "lang string, part int, data binary")
+    pieces = texts.mapInArrow(shards, "lang string, part int, data binary")
     return (
         pieces.repartition(n, "lang", "part").sortWithinPartitions("lang", "part")
         .mapInPandas(united, "lang string, phrase string, words int, f long")
