@@ -117,3 +117,26 @@ COUNTER_EVENTS = {
     "image_ocr_filtered": "image_ocr_filtered",
     "image_ocr_deferred": "image_ocr_deferred",
 }
+RETRY_ATTEMPTED = "audio_transcript_retry_attempted"  # no event of its own
+
+# --- run log: seconds ---------------------------------------------------------
+TIMING_KEYS = (
+    "audio_convert_seconds",
+    "audio_transcribe_seconds",
+    "audio_transcript_retry_seconds",
+    "audio_meta_seconds",
+    "image_ocr_seconds",
+    "image_meta_seconds",
+    "stage_parse_seconds",
+    "stage_media_preprocess_seconds",
+    "stage_output_write_seconds",
+    "stage_total_seconds",
+    "transcriber_init_seconds",
+)
+TOTAL_SECONDS = "stage_total_seconds"
+# stage -> key of its seconds
+STAGE_SECONDS = {
+    "parse_messages": "stage_parse_seconds",
+    "media_preprocess": "stage_media_preprocess_seconds",
+    "output_write": "stage_output_write_seconds",
+}

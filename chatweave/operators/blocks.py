@@ -77,20 +77,26 @@ def previous_value(
 
 
 def ranked(df: DataFrame, keys: Sequence[str], order: str, out: str) -> DataFrame:
-    """1-based rank by ``order`` (any sortable type, unique within the key) in groups of any size.
+    """1-based rank by ``order`` (any sortable type, nulls first) in groups of any size, or in the whole table.
 
     Rows are cut into ranges of (keys, order); a range takes the place of a block. The ranges are
-    sampled anew each time they are made, so rows are stored with the range they fell in.
+    sampled anew each time they are made, so rows are stored with the range they fell in. Null keys
+    are a group like any other; equal rows get neighbouring ranks.
     """
     pieces = store(
         df.repartitionByRange(*keys, order).withColumn(BLOCK, F.spark_partition_id())
     )
     sizes = pieces.groupBy(*keys, BLOCK).agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    carried = sizes.select(*keys, BLOCK, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_carry"))
+    carried = sizes.select(
+        *[F.col(k).alias(f"_of_{k}") for k in keys], F.col(BLOCK).alias("_of"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_carry")
+    )
+    same = F.col(BLOCK) == F.col("_of")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_of_{k}"))
     in_piece = Window.partitionBy(*keys, BLOCK).orderBy(order)
     return (
-        pieces.join(carried, [*keys, BLOCK])
+        pieces.join(carried, same)
         .withColumn(out, F.col("_carry") + F.row_number().over(in_piece))
-        .drop("_carry", BLOCK)
+        .drop("_carry", "_of", BLOCK, *[f"_of_{k}" for k in keys])
     )

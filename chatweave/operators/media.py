@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chatweave.functions import fixed_values as fv
@@ -13,9 +13,6 @@ from chatweave.operators.enrich import find_text_artifacts, referenced_files, st
 from chatweave.operators.skew import salted_left_join
 
 
-LIMITED_RANKING = 1000  # Spark limits a ranking before the shuffle up to this many rows
-
-
 @dataclass(frozen=True)
 class MediaOptions:
     transcribe: bool = True
@@ -145,25 +142,11 @@ def likely_text(images: DataFrame, mode: str = "likely-text", edge_threshold: fl
 
 def cap_per_chat(work: DataFrame, cap: int, order: str = "file") -> DataFrame:
     """Add ``ocr_action``: the first ``cap`` files of a chat by name are ``create``, the rest
-    ``deferred``; 0 is no cap. ``order`` must be unique within a chat.
+    ``deferred``; 0 is no cap. Chats of any size are ranked in ranges.
 
-    For small caps, finding the cap-th name is a limited ranking, which Spark cuts to ``cap`` rows
-    per task before the shuffle, and the full list is then only compared with that name. Larger
-    caps rank the whole list in ranges.
+    A null name comes first and takes a place like any other; files without a chat are one chat's.
     """
     if cap <= 0:
         return work.withColumn("ocr_action", F.lit("create"))
-    if cap > LIMITED_RANKING:
-        action = F.when(F.col("_rank") <= cap, "create").otherwise("deferred")
-        return ranked(work, ["chat_id"], order, "_rank").withColumn("ocr_action", action).drop("_rank")
-    last = (
-        work.select("chat_id", order)
-        .withColumn("_rank", F.row_number().over(Window.partitionBy("chat_id").orderBy(order)))
-        .where(F.col("_rank") <= cap)
-        .groupBy("chat_id")
-        .agg(F.max(order).alias("_last"))
-    )
-    joined = salted_left_join(work, last, ["chat_id"], row_id=F.col(order))
-    return joined.withColumn(
-        "ocr_action", F.when(F.col(order) <= F.col("_last"), "create").otherwise("deferred")
-    ).drop("_last")
+    action = F.when(F.col("_rank") <= cap, "create").otherwise("deferred")
+    return ranked(work, ["chat_id"], order, "_rank").withColumn("ocr_action", action).drop("_rank")

@@ -6,6 +6,7 @@ function ``(row: dict) -> str`` or ``(row: dict, quality_retry: bool) -> str``.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -18,6 +19,7 @@ from chatweave.functions.text import strip
 from chatweave.operators.media import cap_per_chat, likely_text
 from chatweave.operators.quality import assess_quality, normalize_text
 from chatweave.operators.retry import decide_retry, retry_candidates
+from chatweave.plans.runlog import RunLog, measured, observed
 from chatweave.plans.session import ship_package, store
 
 MakeModel = Callable[[], Callable[..., str]]
@@ -33,9 +35,12 @@ def apply_model(
     quality_retry: bool = False,
     tasks: int | None = None,
     supports_retry: bool = False,
+    timed: bool = False,
 ) -> DataFrame:
     """(keys, text, error): what the model says about each row.
 
+    ``timed`` adds ``seconds`` of the call and, on the first row of a task, ``init_seconds`` of making its model.
+
     A row on which the model raises gives an ``error`` instead of a text and the job goes on; so do all
     rows of a task that cannot make its model (``UNAVAILABLE``).
     ``tasks`` sets how many model copies run; rows are dealt out evenly, whatever their keys.
@@ -49,21 +54,43 @@ def apply_model(
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = None
         for batch in batches:
+            init = 0.0
             if model is None:
+                started = time.perf_counter()
                 model = _started(make_model)
+                init = time.perf_counter() - started
                 options = {"quality_retry": quality_retry} if supports_retry else {}
-            texts, errors = [], []
+            texts, errors, seconds = [], [], []
             for row in batch.to_dict("records"):
+                started = time.perf_counter()
                 try:
                     texts.append(model(row, **options))
                     errors.append(None)
                 except Exception as e:  # one bad item must not end the run
                     texts.append(None)
                     errors.append(str(e))
-            yield batch[keys].assign(text=texts, error=errors)
+                seconds.append(time.perf_counter() - started)
+            said = batch[keys].assign(text=texts, error=errors)
+            if timed:
+                said = said.assign(seconds=seconds, init_seconds=[init] * (len(batch) > 0) + [0.0] * (len(batch) - 1))
+            yield said
 
     key_types = ", ".join(f"`{k}` {items.schema[k].dataType.simpleString()}" for k in keys)
-    return items.mapInPandas(run, f"{key_types}, text string, error string")
+    times = ", seconds double, init_seconds double" if timed else ""
+    return items.mapInPandas(run, f"{key_types}, text string, error string{times}")
+
+
+def _stored(said: DataFrame, log: RunLog | None, kind: str) -> DataFrame:
+    """What models said, stored; the seconds they took are observed while it is written."""
+    if log is None:
+        return store(said)
+    said, observation = observed(said, seconds=F.sum("seconds"), init=F.sum("init_seconds"))
+    out = store(said)
+    took = measured(observation)
+    log.add_seconds(kind, took["seconds"])
+    if kind != "image_ocr_seconds":
+        log.add_seconds("transcriber_init_seconds", took["init"])
+    return out
 
 
 def _started(make_model: MakeModel) -> Callable[..., str]:
@@ -85,31 +112,41 @@ def transcribe(
     existing: DataFrame | None = None,
     tasks: int | None = None,
     supports_retry: bool = True,
+    log: RunLog | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Run a model over ``items``, check the results, retry the flagged ones once.
 
     ``existing``: (item columns, text) already there from an earlier run; flagged ones are retried
     as well. Returns ``(artifacts, events)``: artifacts are (keys, text) to write, new or replaced;
-    events are (keys, type, reason, issues, token_count).
+    events are (keys, type, reason, issues, token_count). ``log`` gets the start and end of the retries
+    and the seconds that the model took.
 
     Model results are stored before use: a model need not give the same text twice, and a lost
     executor must not make the retry decision differ from the text that is kept.
     """
     keys = list(keys)
-    first = store(apply_model(items, make_model, keys, tasks=tasks, supports_retry=supports_retry))
+    first = _stored(
+        apply_model(items, make_model, keys, tasks=tasks, supports_retry=supports_retry, timed=True), log, "audio_transcribe_seconds"
+    )
     made = first.where(F.col("error").isNull()).select(*keys, normalize_text(F.col("text")).alias("text"))
     checked = assess_quality(made).withColumn("source", F.lit("new"))
     if existing is not None:
         old = existing.select(*keys, normalize_text(F.col("text")).alias("text"))
         checked = checked.unionByName(assess_quality(old).withColumn("source", F.lit("existing")))
-    flagged = store(retry_candidates(checked, keys, "source"))
+    found, counted = observed(retry_candidates(checked, keys, "source"), n=F.count(F.lit(1)))
+    flagged = store(found)
+    n_flagged = measured(counted)["n"]
+    if log is not None and n_flagged:
+        log.event("audio_transcript_retry_start", count=n_flagged)
     inputs = items if existing is None else items.unionByName(existing.drop("text"))
     again = apply_model(
-        inputs.join(flagged.select(*keys), keys, "left_semi"), make_model, keys, quality_retry=True, tasks=tasks, supports_retry=supports_retry
-    )
-    retried = store(
-        assess_quality(again.select(*keys, normalize_text(F.col("text")).alias("retry_text"), "error"), "retry_text")
+        inputs.join(flagged.select(*keys), keys, "left_semi"), make_model, keys, quality_retry=True, tasks=tasks,
+        supports_retry=supports_retry, timed=True,
     )
+    again = _stored(again, log, "audio_transcript_retry_seconds")
+    retried = assess_quality(again.select(*keys, normalize_text(F.col("text")).alias("retry_text"), "error"), "retry_text")
+    if log is not None and n_flagged:
+        log.event("audio_transcript_retry_done", count=n_flagged)
     decided = decide_retry(flagged, retried, keys)
     better = decided.where("replaced").select(*keys, F.col("retry_text").alias("text"))
     artifacts = made.join(better, keys, "left_anti").unionByName(better)
@@ -136,10 +173,10 @@ def transcribe(
     ]
     if existing is not None:
         events.append(event(existing, "audio_transcript_skipped"))
-    log = events[0]
+    said = events[0]
     for e in events[1:]:
-        log = log.unionByName(e)
-    return artifacts, log
+        said = said.unionByName(e)
+    return artifacts, said
 
 
 def read_images(
@@ -149,6 +186,7 @@ def read_images(
     mode: str = "likely-text",
     edge_threshold: float = fv.OCR_EDGE_THRESHOLD,
     tasks: int | None = None,
+    log: RunLog | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """OCR of ``images`` (chat_id, file, edge_hist, any more columns): those present and without a text.
 
@@ -159,7 +197,8 @@ def read_images(
     keys = ["chat_id", "file"]
     gated = store(likely_text(images, mode, edge_threshold))
     dealt = store(cap_per_chat(gated.where("keep").drop("keep"), cap))
-    said = store(apply_model(dealt.where("ocr_action = 'create'").drop("ocr_action"), make_model, keys, tasks=tasks))
+    said = apply_model(dealt.where("ocr_action = 'create'").drop("ocr_action"), make_model, keys, tasks=tasks, timed=True)
+    said = _stored(said, log, "image_ocr_seconds")
     stem = artifact_stem(F.col("file"))
     artifacts = said.where("error IS NULL").select(
         "chat_id", F.lit("ocr").alias("kind"), stem.alias("stem"), F.concat(F.lit("ocr/"), stem, F.lit(".txt")).alias("rel_path"),

@@ -54,6 +54,7 @@ def report_text(
     tz: str,
     outputs: dict[str, str],
     counters: list[str],
+    workers: dict[str, int] | None = None,
     me: list[str] | None = None,
     them: list[str] | None = None,
     title: str = "# Chat Report",
@@ -70,7 +71,7 @@ def report_text(
         F.concat(F.lit("- Export folder: `"), export_folder, F.lit("`")),
         F.lit(f"- Output folder: `{out_dir}`"),
         F.lit(f"- Resume: `{resume}`"),
-        F.lit(f"- TZ: `{tz}`\n"),
+        *([F.lit(f"- TZ: `{tz}`"), F.lit(f"- Workers: `{workers}`\n")] if workers else [F.lit(f"- TZ: `{tz}`\n")]),
         dates,
         F.concat(F.lit("- Participants detected: "), people),
         F.concat(F.lit("- ME mapping: "), _names(me)),

@@ -61,9 +61,24 @@ def release(df: DataFrame) -> None:
     """Delete the files of a table that ``store`` wrote, once no later step reads it."""
     path = getattr(df, "_chatweave_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+        delete_folder(df.sparkSession, path)
+
+
+def _hadoop(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder with all in it, in whatever store it is; none is no error."""
+    system, target = _hadoop(spark, path)
+    system.delete(target, True)
+
+
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies directly in a folder; none if there is no such folder."""
+    system, target = _hadoop(spark, path)
+    return [f.getPath().getName() for f in system.listStatus(target)] if system.exists(target) else []
 
 
 def ship_package(spark: SparkSession) -> None:

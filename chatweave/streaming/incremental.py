@@ -3,6 +3,10 @@
 The marker of a (chat, month) is the last row written for it. It is looked up among the new
 messages by (ts, source_line), where equal messages count as the last of them, and only messages
 after it are appended. Rows already written are never changed.
+
+Markers are a small table of their own, one row per (chat, month, batch), so the history is not
+read again. A batch writes its own folders and its own markers and starts from the markers of earlier
+batches: repeating a batch that was cut off gives the same rows once.
 """
 
 from __future__ import annotations
@@ -15,6 +19,8 @@ from chatweave.functions import fixed_values as fv
 from chatweave.operators.markdown import bullet
 from chatweave.operators.parse import ENRICHMENT_TYPE, MEDIA_TYPE
 from chatweave.operators.skew import salted_left_join
+from chatweave.plans.session import store
+from chatweave.sources.changes import ChangeTable
 
 MONTH_SCHEMA = (
     "chat_id string, batch bigint, msg_idx bigint, ts string, sender string, type string, text string, "
@@ -65,46 +71,67 @@ def missing_marker_events(located: DataFrame) -> DataFrame:
     )
 
 
-def _read(spark: SparkSession, folder: str) -> DataFrame | None:
+def marker_table(spark: SparkSession, out_dir: str) -> ChangeTable:
+    """Last row written per (chat, month); a version is a batch."""
+    return ChangeTable(
+        spark, f"{out_dir.rstrip('/')}/by-month-markers", "chat_id string, month string", "msg_idx bigint, ts string, source_line string", 4
+    )
+
+
+def rebuild_markers(spark: SparkSession, out_dir: str, batch: int) -> bool:
+    """Markers from the written rows themselves, for output whose marker table is lost; False if there is no output.
+
+    The only step that reads the history. They are stored as those of the batch before ``batch``.
+    """
     try:
-        return spark.read.schema(MARKER_SCHEMA).json(folder)
+        written = spark.read.schema(MARKER_SCHEMA).json(f"{out_dir.rstrip('/')}/by-month")
     except AnalysisException as e:
         if e.getCondition() == "PATH_NOT_FOUND":
-            return None
+            return False
         raise
+    last = last_markers(written.where(F.col("batch") < batch))
+    marker_table(spark, out_dir).append(last.withColumn("msg_idx", F.lit(-1).cast("long")), batch - 1)
+    return True
 
 
 def append_months(
     messages: DataFrame, out_dir: str, batch: int, markdown_chars: int = fv.MARKDOWN_CLIP_CHARS
 ) -> DataFrame | None:
-    """Append new messages to ``out_dir/by-month/month=YYYY-MM``; returns missing-marker events.
+    """Append new messages to ``out_dir/by-month/month=YYYY-MM/batch=N``; returns missing-marker events.
 
-    ``batch`` must grow from run to run. Rows are laid out by (month, chat, message) ranges, which
-    keeps files even when one chat or month is very large.
+    ``batch`` (1 or more) must grow from run to run; the same batch again replaces what it wrote.
+    Rows are laid out by (month, chat, message) ranges, which keeps files even when one chat or
+    month is very large.
     """
     spark = messages.sparkSession
     folder = f"{out_dir.rstrip('/')}/by-month"
-    written = _read(spark, folder)
+    markers = marker_table(spark, out_dir)
     events = None
     new = messages
-    if written is not None:
-        located = locate_markers(messages, last_markers(written))
+    if markers.exists() or rebuild_markers(spark, out_dir, batch):
+        located = store(locate_markers(messages, markers.read(below=batch).select("chat_id", "month", "ts", "source_line")))
         new = after_markers(messages, located)
         events = missing_marker_events(located)
-    (
+    rows = (
         new.withColumn("batch", F.lit(batch).cast("long"))
         .withColumn("md", bullet(markdown_chars))
         .select(
-            "month", "chat_id", "batch", "msg_idx", "ts", "sender", "type", "text", "media", "enrichment",
+            "month", "batch", "chat_id", "msg_idx", "ts", "sender", "type", "text", "media", "enrichment",
             "source_line", "sender_id", "md",
         )
-        .repartitionByRange("month", "chat_id", "msg_idx")
+    )
+    (
+        rows.repartitionByRange("month", "chat_id", "msg_idx")
         .sortWithinPartitions("month", "chat_id", "msg_idx")
-        .write.mode("append")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
         .option("ignoreNullFields", "false")
-        .partitionBy("month")
+        .partitionBy("month", "batch")
         .json(folder)
     )
+    last = rows.groupBy("chat_id", "month").agg(F.max_by(F.struct("msg_idx", "ts", "source_line"), "msg_idx").alias("m"))
+    markers.append(last.select("chat_id", "month", "m.*"), batch)
+    markers.compact_if_long(batch - 1)
     return events
 
 

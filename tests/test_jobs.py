@@ -31,7 +31,8 @@ def month_rows(folder):
         for n in names:
             if n.startswith("part-"):
                 with open(os.path.join(d, n), encoding="utf-8") as f:
-                    out.setdefault(os.path.basename(d).removeprefix("month="), []).extend(map(json.loads, f))
+                    month, batch = (part.split("=")[1] for part in d.split(os.sep)[-2:])
+                    out.setdefault(month, []).extend({**json.loads(x), "batch": int(batch)} for x in f)
     return {k: sorted(v, key=lambda r: (r["batch"], r["msg_idx"])) for k, v in out.items()}
 
 

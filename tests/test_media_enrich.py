@@ -130,14 +130,10 @@ def test_ocr_gate(spark):
     assert all(r.keep for r in media.likely_text(df, mode="all").collect())
 
 
-@pytest.mark.parametrize("limited", [1000, 0])
-@pytest.mark.parametrize("cap", [0, 1, 3, 99])
-def test_cap(spark, cap, limited, monkeypatch):
-    """Both rankings give the same; with ``limited`` 0 every cap takes the one in ranges."""
-    monkeypatch.setattr(media, "LIMITED_RANKING", limited)
-    rows = [(c, f"f{i:02d}") for c, n in (("a", 7), ("b", 2)) for i in range(n)]
+@pytest.mark.parametrize("cap", [0, 1, 3, 99, 2000])
+def test_cap(spark, cap):
+    """A null name comes first and takes a place; files without a chat are one chat's."""
+    rows = [(c, None if c != "b" and not i else f"f{i:02d}") for c, n in (("a", 7), ("b", 2), (None, 5)) for i in range(n)]
     df = spark.createDataFrame(rows, "chat_id string, file string").repartition(5)
     got = {(r.chat_id, r.file): r.ocr_action for r in media.cap_per_chat(df, cap).collect()}
-    assert got == {
-        (c, f): "create" if not cap or int(f[1:]) < cap else "deferred" for c, f in rows
-    }
+    assert got == {(c, f): "create" if not cap or int((f or "f0")[1:]) < cap else "deferred" for c, f in rows}

@@ -7,7 +7,6 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from chatweave.operators.media import cap_per_chat
 from chatweave.operators.parse import parse_messages
 from chatweave.operators.quality import assess_quality
 from chatweave.operators.retry import retry_candidates
@@ -48,8 +47,6 @@ def test_groups_are_reduced_before_the_shuffle(spark, large_plans):
     assert "partial_min_by" in large_plans(export_roots(files))
     docs = assess_quality(spark.createDataFrame([("k", 1, "t")], "k string, seq int, text string"))
     assert "partial_min_by" in large_plans(retry_candidates(docs, ["k"], "seq"))
-    images = spark.createDataFrame([("c", "f")], "chat_id string, file string")
-    assert "WindowGroupLimit" in large_plans(cap_per_chat(images, 10))
 
 
 def test_quality_is_computed_once_per_row(spark, large_plans):
