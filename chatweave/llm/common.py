@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatweave.plans.session import release, ship_package, store
 
-__all__ = ["components", "fold", "hash_block", "mix", "release", "ship_package", "shingles", "store", "table", "texts_of", "word_hashes"]
+__all__ = ["components", "fold", "hash_block", "may_be_among", "mix", "release", "ship_package", "shingles", "store", "table", "texts_of", "word_hashes"]
 
 #: Multiplier of the polynomial hash over the bytes of a word: any odd number will do.
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-#: Bytes hashed at once; a longer text is hashed alone.
-_CHUNK = 1 << 20
+#: Bytes hashed at once; a longer text is hashed in parts, cut at white space.
+_CHUNK = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,12 +50,13 @@ def _odd_inverse(n: int) -> int:
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_SIGNS = (b"\n", b" ", b"\t", b"\r", b"\x0b", b"\x0c")
 _POWERS: dict[str, np.ndarray] = {}
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS.get("up", ())) < n:
-        size = max(n, 2 * _CHUNK)
+        size = max(n, _CHUNK + 1)
         for name, factor in (("up", int(_BASE)), ("down", _odd_inverse(int(_BASE)))):
             steps = np.full(size, factor, np.uint64)
             steps[0] = 1
@@ -79,20 +81,45 @@ def hash_block(block: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.searchsorted(limits, starts, side="right"), hashes, last
 
 
-def word_hashes(texts: list[bytes]) -> Iterator[tuple[int, list[np.ndarray]]]:
+def _parts(text: bytes) -> Iterator[bytes]:
+    """Parts of a long text, cut where words are; only a longer word makes a part longer than ``_CHUNK``."""
+    at = 0
+    while at < len(text):
+        to = min(at + _CHUNK, len(text))
+        if to < len(text):
+            cut = max(text.rfind(sign, at, to) for sign in _SIGNS)
+            if cut <= at:
+                after = [i for sign in _SIGNS if (i := text.find(sign, to)) >= 0]
+                cut = min(after, default=len(text))
+            to = cut
+        yield text[at:to]
+        at = to
+
+
+def word_hashes(texts: Iterable[bytes]) -> Iterator[tuple[int, list[np.ndarray]]]:
     """(index of the first text, 64-bit hashes of the words of each text) block by block.
 
-    Words are what white space (bytes 9 to 13 and 32) separates.
+    Words are what white space (bytes 9 to 13 and 32) separates. Texts are taken one by one as they
+    are hashed, so a generator need not hold them together.
     """
-    at = 0
-    while at < len(texts):
-        to, size = at, 0
-        while to < len(texts) and (to == at or size + len(texts[to]) < _CHUNK):
-            size += len(texts[to]) + 1
-            to += 1
-        owner, hashes, _ = hash_block(texts[at:to])
-        yield at, np.split(hashes, np.searchsorted(owner, np.arange(1, to - at)))
-        at = to
+    at, block, size = 0, [], 0
+
+    def hashed() -> tuple[int, list[np.ndarray]]:
+        owner, hashes, _ = hash_block(block)
+        return at, np.split(hashes, np.searchsorted(owner, np.arange(1, len(block))))
+
+    for text in texts:
+        if block and size + len(text) >= _CHUNK:
+            yield hashed()
+            at, block, size = at + len(block), [], 0
+        if len(text) >= _CHUNK:
+            yield at, [np.concatenate([hash_block([part])[1] for part in _parts(text)])]
+            at += 1
+        else:
+            block.append(text)
+            size += len(text) + 1
+    if block:
+        yield hashed()
 
 
 def shingles(words: np.ndarray, k: int) -> np.ndarray:
@@ -107,6 +134,40 @@ def shingles(words: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+# --- few rows among many ----------------------------------------------------------------------
+
+#: Bits of the filter per key, and most bits (16 MB): beyond, more rows pass that need not.
+_BITS_PER_KEY = 16
+_MOST_BITS = 1 << 27
+
+
+def may_be_among(key: Column, keys: DataFrame) -> Column:
+    """Whether a row's ``key`` (a long) may be one of the only column of ``keys``, by two bits of a filter that tasks hold.
+
+    True for every key there is. Rows that it leaves out need no shuffle to find out that they have
+    no partner.
+    """
+    spark = keys.sparkSession
+    number = F.col(keys.columns[0])
+    n = keys.count()
+    bits = 1 << max(10, min(_MOST_BITS, _BITS_PER_KEY * max(n, 1)).bit_length() - 1)
+    place = F.explode(F.array(F.pmod(F.xxhash64(number), F.lit(bits)), F.pmod(F.xxhash64(number, F.lit(1)), F.lit(bits))))
+    words = keys.select(place.alias("p")).groupBy(F.expr("p div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 AS int))")).alias("set"))
+    table = np.zeros(bits // 64, np.uint64)
+    found = words.toPandas()  # at most _MOST_BITS / 64 numbers
+    table[found["word"].to_numpy(np.int64)] = found["set"].to_numpy(np.int64).view(np.uint64)
+    shared = spark.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def seen(first: pd.Series, second: pd.Series) -> pd.Series:
+        found = np.ones(len(first), bool)
+        for p in (first.to_numpy(), second.to_numpy()):
+            found &= (shared.value[p >> 6] >> (p & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+        return pd.Series(found)
+
+    return seen(F.pmod(F.xxhash64(key), F.lit(bits)), F.pmod(F.xxhash64(key, F.lit(1)), F.lit(bits)))
+
+
 # --- connected components ---------------------------------------------------------------------
 
 

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatweave.llm.common import components, mix, shingles, ship_package, store, word_hashes
+from chatweave.llm.common import components, may_be_among, mix, shingles, ship_package, store, word_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -104,7 +104,7 @@ def _prepared(text: str | None) -> bytes:
     return (text or "").lower().encode()
 
 
-SIGNATURE_SCHEMA = "doc_id long, h1 long, h2 long, bands array<long>, sketch binary"
+SIGNATURE_SCHEMA = "doc_id long, text_md5 string, h1 long, h2 long, bands array<long>, sketch binary"
 
 
 def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, k: int = SHINGLE) -> DataFrame:
@@ -114,21 +114,21 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, k: int = S
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = [_prepared(t) for t in batch["text"]]
-            ids, out = batch["doc_id"].to_numpy(), []
-            for start, blocks in word_hashes(texts):
+            texts, ids, out = batch["text"].to_numpy(), batch["doc_id"].to_numpy(), []
+            for start, blocks in word_hashes(_prepared(t) for t in texts):
                 for i, words in enumerate(blocks, start):
+                    md5 = hashlib.md5((texts[i] or "").encode()).hexdigest()
                     if not len(words):
-                        out.append((ids[i], None, None, [], None))
+                        out.append((ids[i], md5, None, None, [], None))
                         continue
-                    digest = hashlib.blake2b(b" ".join(texts[i].split()), digest_size=16).digest()
+                    digest = hashlib.blake2b(b" ".join(_prepared(texts[i]).split()), digest_size=16).digest()
                     value = bag_minhash(*bag(words, k), bands * rows).reshape(bands, rows)
                     key = number.copy()
                     for r in range(rows):
                         key = mix(key * _STEP + value[:, r])
                     h1, h2 = np.frombuffer(digest, np.int64)
-                    out.append((ids[i], h1, h2, key.view(np.int64), (value & np.uint64(255)).astype(np.uint8).tobytes()))
-            frame = pd.DataFrame(out, columns=["doc_id", "h1", "h2", "bands", "sketch"])
+                    out.append((ids[i], md5, h1, h2, key.view(np.int64), (value & np.uint64(255)).astype(np.uint8).tobytes()))
+            frame = pd.DataFrame(out, columns=["doc_id", "text_md5", "h1", "h2", "bands", "sketch"])
             yield frame.astype({"h1": "Int64", "h2": "Int64"})
 
     return docs.select("doc_id", "text").mapInPandas(run, SIGNATURE_SCHEMA)
@@ -246,17 +246,22 @@ def links(buckets: DataFrame, sketches: DataFrame, texts: DataFrame, similarity:
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, class_id, component_id, kept): one row per id of ``docs`` (doc_id, text).
+    """(doc_id, class_id, component_id, kept) of ``judged``: one row per id."""
+    return judged(docs, similarity).drop("text_md5")
+
+
+def judged(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, text_md5, class_id, component_id, kept): one row per id of ``docs`` (doc_id, text).
 
     A class holds the texts with the same words (lower case, white space aside) and is named by its
     smallest id. A component holds the classes that links of ``similarity`` or more connect, and
     is named likewise; its first document is kept. Shorter texts than five words have one run,
-    all their words. Null and empty texts stand alone and are kept. Repeated rows of an id count
-    once. Rows without an id come back with null ids and are kept.
+    all their words. Null and empty texts stand alone and are kept. Of repeated rows of an id that
+    with the smallest md5 of its text is judged, and ``text_md5`` says which. Rows without an id come back with null ids and are kept.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     raw = signatures(texts.where("doc_id IS NOT NULL"))
-    once = store(raw.groupBy("doc_id").agg(F.min(F.struct("h1", "h2", "bands", "sketch")).alias("s")).select("doc_id", "s.*"))
+    once = store(raw.groupBy("doc_id").agg(F.min(F.struct("text_md5", "h1", "h2", "bands", "sketch")).alias("s")).select("doc_id", "s.*"))
     known = once.where("h1 IS NOT NULL")
     classes = store(
         known.groupBy("h1", "h2")
@@ -266,15 +271,17 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     shared = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     buckets = store(buckets.join(shared, "key"))
     wanted = buckets.select("doc_id").distinct()
-    some = store(texts.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).repartition("doc_id"))
+    md5 = F.md5(F.coalesce("text", F.lit("")))
+    chosen = texts.where(may_be_among(F.col("doc_id"), wanted)).join(once.select("doc_id", "text_md5").join(wanted, "doc_id"), "doc_id")
+    some = store(chosen.where(md5 == F.col("text_md5")).select("doc_id", "text").dropDuplicates(["doc_id"]).repartition("doc_id"))
     sketches = classes.select(F.col("class_id").alias("doc_id"), "bands", "sketch").join(wanted, "doc_id", "left_semi")
     grouped = components(links(buckets, sketches, some, similarity))
     member = classes.join(grouped, F.col("class_id") == F.col("node"), "left").select(
         "h1", "h2", "class_id", F.coalesce("component", "class_id").alias("component_id")
     )
-    placed = known.select("doc_id", "h1", "h2").join(member, ["h1", "h2"]).select("doc_id", "class_id", "component_id")
-    alone = once.where("h1 IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
-    nameless = texts.where("doc_id IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
+    placed = known.select("doc_id", "text_md5", "h1", "h2").join(member, ["h1", "h2"]).select("doc_id", "text_md5", "class_id", "component_id")
+    alone = once.where("h1 IS NULL").select("doc_id", "text_md5", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
+    nameless = texts.where("doc_id IS NULL").select("doc_id", F.lit(None).cast("string").alias("text_md5"), F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
     every = placed.unionByName(alone).unionByName(nameless)
     return every.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 

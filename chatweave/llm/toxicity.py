@@ -7,7 +7,7 @@ positives; where this estimate is below zero, the step goes against it (non-nega
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,9 +29,9 @@ THRESHOLD = 0.7
 _MARKS = bytes(b if chr(b).isalnum() or b > 127 else 32 for b in range(256))
 
 
-def words_of(texts: list[str | None]) -> Iterator[np.ndarray]:
+def words_of(texts: Iterable[str | None]) -> Iterator[np.ndarray]:
     """Distinct hashes of the words of each text: lower case, ASCII signs part words."""
-    for _, blocks in word_hashes([(t or "").lower().encode().translate(_MARKS) for t in texts]):
+    for _, blocks in word_hashes((t or "").lower().encode().translate(_MARKS) for t in texts):
         for words in blocks:
             yield np.unique(words)
 
@@ -83,7 +83,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
     ``MOST_UNLABELLED`` unlabelled ones, chosen by a hash of the id. The prior is the share of toxic
     among all labelled training rows.
 
-    Without a confirmed or an unlabelled row the model knows no words and scores the prior.
+    Where every training row has a label, all that are not confirmed toxic stand for unlabelled ones.
+    Without a confirmed row, or any other, the model knows no words and scores the prior.
     """
     ship_package(docs.sparkSession)
     known = one_label(labels, label).where(fold(F.col("doc_id"), folds) != held_out)
@@ -91,13 +92,15 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
     prior = min(max((toxic + 0.5) / (n + 1), 0.001), 0.5)
     ids = docs.select("doc_id").where("doc_id IS NOT NULL").where(fold(F.col("doc_id"), folds) != held_out)
     unlabelled = sampled_ids(ids.join(known, "doc_id", "left_anti"), MOST_UNLABELLED)
+    if unlabelled.isEmpty():
+        unlabelled = sampled_ids(ids.join(known.where("label = 1"), "doc_id", "left_anti"), MOST_UNLABELLED)
     chosen = sampled_ids(known.where("label = 1").select("doc_id"), MOST_TOXIC).withColumn("toxic", F.lit(1)).unionByName(
         unlabelled.withColumn("toxic", F.lit(0))
     )
 
     def distinct_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"toxic": batch["toxic"], "words": [w.view(np.int64) for w in words_of(list(batch["text"]))]})
+            yield pd.DataFrame({"toxic": batch["toxic"], "words": [w.view(np.int64) for w in words_of(batch["text"])]})
 
     rows = store(
         docs.join(F.broadcast(chosen), "doc_id")  # at most MOST_TOXIC + MOST_UNLABELLED ids
@@ -139,7 +142,7 @@ def score_column(text: Column, model: Model) -> Column:
 
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
-        return pd.Series([model.score(w) for w in words_of(list(texts))], dtype=float)
+        return pd.Series([model.score(w) for w in words_of(texts)], dtype=float)
 
     return scored(text)
 
