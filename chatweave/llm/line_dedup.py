@@ -9,8 +9,9 @@ longest common prefix is at least the window. Its first position stays, later on
 the common prefix is extended line by line to the maximal run. Copies are deleted.
 
 No run of ``min_words`` words has more lines than words, so log2(min_words) rounds are enough for
-documents of any length. What is shuffled is narrow: ids, numbers and hashes, except for one join
-that brings the result to the texts.
+documents of any length. What is shuffled is narrow: ids, numbers and hashes, except for the texts
+that may lose lines: a filter finds these before the last join. A document is a doc_id with the
+hash ``t`` of its text, so rows of one id with different texts are documents of their own.
 """
 
 from __future__ import annotations
@@ -20,15 +21,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatweave.llm.common import release, ship_package, store
+from chatweave.llm.common import may_be_among, release, ship_package, store
 
 #: Words of the shortest run that counts as a passage.
 MIN_WORDS = 50
 
-LINE_SCHEMA = "doc_id long, seq int, line_no int, h1 long, h2 long, window int, tails array<long>"
+LINE_SCHEMA = "doc_id long, t long, seq int, line_no int, h1 long, h2 long, window int, tails array<long>"
 _EDGES = b" \t\n\r\x0b\x0c"
 
 
@@ -38,6 +39,10 @@ def _lines(text: str) -> list[tuple[int, bytes]]:
     return [(i, line) for i, line in stripped if line]
 
 
+def _text_hash() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def numbered_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``LINE_SCHEMA``: hash (128 bits) of each line, lines in its window (0: too few words follow), and for
     the lines after the window, as far as they have fewer than ``min_words`` words, a hash of all up to each."""
@@ -46,7 +51,7 @@ def numbered_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for doc, t, text in zip(batch["doc_id"], batch["t"], batch["text"], strict=True):
                 lines = _lines(text or "")
                 digests = [hashlib.blake2b(line, digest_size=16).digest() for _, line in lines]
                 upto = np.cumsum([0, *[len(line.split()) for _, line in lines]])
@@ -62,10 +67,10 @@ def numbered_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                         for digest in digests[end : min(int(lasts[s]), len(lines))]:
                             seen.update(digest)
                             tails.append(int.from_bytes(seen.digest(), "little", signed=True))
-                    rows.append((doc, s, line_no, halves[s, 0], halves[s, 1], window, tails))
-            yield pd.DataFrame(rows, columns=["doc_id", "seq", "line_no", "h1", "h2", "window", "tails"])
+                    rows.append((doc, t, s, line_no, halves[s, 0], halves[s, 1], window, tails))
+            yield pd.DataFrame(rows, columns=["doc_id", "t", "seq", "line_no", "h1", "h2", "window", "tails"])
 
-    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInPandas(run, LINE_SCHEMA)
+    return docs.where("doc_id IS NOT NULL").select("doc_id", _text_hash().alias("t"), "text").mapInPandas(run, LINE_SCHEMA)
 
 
 def _ranked(keyed: DataFrame, keys: list[str]) -> DataFrame:
@@ -79,54 +84,54 @@ def _ranked(keyed: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def shared_windows(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, seq, depth, a, b) of windows of ``lines`` whose lines are all repeated; equal
+    """(doc_id, t, seq, depth, a, b) of windows of ``lines`` whose lines are all repeated; equal
     (depth, a, b) mean equal windows. ``depth`` is the number of lines."""
     ranks = _ranked(lines, ["h1", "h2"])
-    level = store(lines.join(ranks, ["h1", "h2"]).select("doc_id", "seq", "window", F.col("rank").alias("a")))
+    level = store(lines.join(ranks, ["h1", "h2"]).select("doc_id", "t", "seq", "window", F.col("rank").alias("a")))
     longest = lines.agg(F.max("window")).first()[0] or 0
     found, step = None, 1
     while step <= longest:
-        ends = level.select("doc_id", F.col("seq").alias("end_seq"), F.col("a").alias("b"))
+        ends = level.select("doc_id", "t", F.col("seq").alias("end_seq"), F.col("a").alias("b"))
         at_level = level.where((F.col("window") >= step) & (F.col("window") < 2 * step))
-        alone = at_level.where(F.col("window") == step).select("doc_id", "seq", F.col("window").alias("depth"), "a", F.col("a").alias("b"))
+        alone = at_level.where(F.col("window") == step).select("doc_id", "t", "seq", F.col("window").alias("depth"), "a", F.col("a").alias("b"))
         if step > 1:
             paired = (
                 at_level.where(F.col("window") > step)
                 .withColumn("end_seq", F.col("seq") + F.col("window") - step)
-                .join(ends, ["doc_id", "end_seq"])
-                .select("doc_id", "seq", F.col("window").alias("depth"), "a", "b")
+                .join(ends, ["doc_id", "t", "end_seq"])
+                .select("doc_id", "t", "seq", F.col("window").alias("depth"), "a", "b")
             )
             alone = alone.unionByName(paired)
         found = alone if found is None else found.unionByName(alone)
         step *= 2
         if step > longest:
             break
-        pairs = level.withColumn("end_seq", F.col("seq") + step // 2).join(ends, ["doc_id", "end_seq"])
-        pairs = pairs.select("doc_id", "seq", "window", "a", "b")
+        pairs = level.withColumn("end_seq", F.col("seq") + step // 2).join(ends, ["doc_id", "t", "end_seq"])
+        pairs = pairs.select("doc_id", "t", "seq", "window", "a", "b")
         ranks = _ranked(pairs, ["a", "b"])
-        level = store(pairs.join(ranks, ["a", "b"]).select("doc_id", "seq", "window", F.col("rank").alias("a")))
-    return found if found is not None else level.select("doc_id", "seq", F.col("window").alias("depth"), "a", F.col("a").alias("b"))
+        level = store(pairs.join(ranks, ["a", "b"]).select("doc_id", "t", "seq", "window", F.col("rank").alias("a")))
+    return found if found is not None else level.select("doc_id", "t", "seq", F.col("window").alias("depth"), "a", F.col("a").alias("b"))
 
 
 def later_copies(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, seq, n_lines): maximal runs of ``lines`` that occurred before, in order of id and line."""
+    """(doc_id, t, seq, n_lines): maximal runs of ``lines`` that occurred before, in order of id, text hash and line."""
     windows = store(shared_windows(lines, min_words))
-    place = F.struct("doc_id", "seq")
+    place = F.struct("doc_id", "t", "seq")
     keys = ["depth", "a", "b"]
     intervals = store(
         windows.groupBy(*keys).agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").drop("n")
     )
-    members = windows.join(intervals, keys).select("doc_id", "seq", "depth", "first")
-    members = store(members.join(lines.select("doc_id", "seq", "tails"), ["doc_id", "seq"]))
-    tails = members.select("first", "doc_id", "seq", F.posexplode("tails").alias("k", "tail"))
+    members = windows.join(intervals, keys).select("doc_id", "t", "seq", "depth", "first")
+    members = store(members.join(lines.select("doc_id", "t", "seq", "tails"), ["doc_id", "t", "seq"]))
+    tails = members.select("first", "doc_id", "t", "seq", F.posexplode("tails").alias("k", "tail"))
     first_tails = tails.groupBy("first", "k", "tail").agg(F.min(place).alias("first_tail"))
     longer = (
         tails.join(first_tails, ["first", "k", "tail"]).where(F.col("first_tail") < place)
-        .groupBy("doc_id", "seq").agg(F.max(F.col("k") + 1).alias("more"))
+        .groupBy("doc_id", "t", "seq").agg(F.max(F.col("k") + 1).alias("more"))
     )
-    copies = members.where(F.col("first") < place).select("doc_id", "seq", "depth")
-    return copies.join(longer, ["doc_id", "seq"], "left").select(
-        "doc_id", "seq", (F.col("depth") + F.coalesce("more", F.lit(0))).alias("n_lines")
+    copies = members.where(F.col("first") < place).select("doc_id", "t", "seq", "depth")
+    return copies.join(longer, ["doc_id", "t", "seq"], "left").select(
+        "doc_id", "t", "seq", (F.col("depth") + F.coalesce("more", F.lit(0))).alias("n_lines")
     )
 
 
@@ -135,22 +140,29 @@ def without_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     Lines count as equal if they are so without white space around them. The first copy in order
     of doc_id and line stays, also within one document. Blank lines stay where a line is left;
-    texts that lose nothing stay as they are, null included. Repeated rows of an id count once
-    and get the same text. Rows without an id stay as they are. An empty table gives no rows.
+    texts that lose nothing stay as they are, null included. Equal rows of an id count once and get
+    the same text; rows of an id with different texts are ordered by a hash of the text, and what
+    only one of them says stays. Rows without an id stay as they are. An empty table gives no rows.
+    Incoming columns ``n_lines`` and ``n_deleted`` are replaced.
     """
-    if {"n_lines", "n_deleted"} & set(docs.columns):
-        docs = docs.drop("n_lines", "n_deleted")
+    names = [c for c in docs.columns if c not in ("n_lines", "n_deleted")]
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     raw = numbered_lines(texts, min_words)
-    once = raw.groupBy("doc_id", "seq").agg(F.min(F.struct("h1", "h2", "window", "tails")).alias("l"))
-    lines = store(once.select("doc_id", "seq", "l.*"))
+    once = raw.groupBy("doc_id", "t", "seq").agg(F.min(F.struct("h1", "h2", "window", "tails")).alias("l"))
+    lines = store(once.select("doc_id", "t", "seq", "l.*"))
     copies = later_copies(lines, min_words)
-    runs = store(copies.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("seq", "n_lines"))).alias("_runs")))
+    runs = store(copies.groupBy("doc_id", "t").agg(F.array_sort(F.collect_set(F.struct("seq", "n_lines"))).alias("runs")))
     release(lines)
-    cut = docs.join(runs.withColumnRenamed("doc_id", "_id"), F.col("doc_id").cast("long") == F.col("_id"), "left")
-    result = _cut(F.col("text"), F.col("_runs"))
-    return cut.withColumn("_cut", result).select(
-        *[F.col("_cut.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], "_cut.n_lines", "_cut.n_deleted"
+    # The rows travel as one struct, so no column of theirs can clash.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").cast("long").alias("id"), _text_hash().alias("t"))
+    key = F.xxhash64("doc_id", "t")
+    maybe = F.col("id").isNotNull() & may_be_among(F.xxhash64("id", "t"), runs.select(key.alias("key")))
+    marked = rows.withColumn("maybe", maybe)
+    cut = marked.where("maybe").join(runs, (F.col("id") == F.col("doc_id")) & (rows["t"] == runs["t"]), "left").select("row", "runs")
+    whole = marked.where("NOT maybe").select("row", F.lit(None).cast(runs.schema["runs"].dataType).alias("runs"))
+    result = cut.unionByName(whole).select("row", _cut(F.col("row.text"), F.col("runs")).alias("cut"))
+    return result.select(
+        *[F.col("cut.text").alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in names], "cut.n_lines", "cut.n_deleted"
     )
 
 
