@@ -199,6 +199,13 @@ def _cosine(x: Column, y: Column) -> Column:
     return dot(x, y) / (F.sqrt(dot(x, x)) * F.sqrt(dot(y, y)))
 
 
+def _in_range(v: Column) -> Column:
+    """The vector, times a power of two where its squares would leave the range of doubles: no cosine changes."""
+    largest = F.array_max(F.transform(v, F.abs))
+    factor = F.when(largest > 1e150, 2.0**-600).when((largest > 0) & (largest < 1e-150), 2.0**600)
+    return F.when(factor.isNull(), v).otherwise(F.transform(v, lambda x: x * factor))
+
+
 def linked(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every id of ``vectors`` (vec_id, embedding).
 
@@ -217,6 +224,7 @@ def linked(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     every = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), value.alias("v"))
     once = store(
         every.where("vec_id IS NOT NULL").groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("usable", usable)
+        .withColumn("v", _in_range(F.col("v")))
     )
     classes = once.where("usable").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
     reps = store(classes.select(F.col("rep").alias("vec_id"), "v", "copies"))

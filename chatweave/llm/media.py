@@ -190,7 +190,7 @@ def media_features(media: DataFrame) -> DataFrame:
             image = decode(data)
             if not image.size:
                 raise ValueError("image without pixels")
-        except (ValueError, struct.error, IndexError) as e:
+        except (ValueError, OverflowError, struct.error, IndexError) as e:
             return (None, None, None, len(data), hashlib.sha256(data).hexdigest(), None, None, str(e))
         payload, light = image.tobytes(), grey(image)
         return (

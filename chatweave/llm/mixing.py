@@ -24,9 +24,6 @@ SWEEPS = 10
 TEMPER = 0.7
 #: Tokens to sample as a share of the tokens there are.
 BUDGET = 0.5
-#: Share of all tokens below which ``mix_sql`` (not ``mix``) rakes a value with the other small ones.
-SMALL = 0.001
-SMALL_NAME = "(small)"
 WORD = "[^\\\\x09-\\\\x0D\\\\x20]+"
 
 
@@ -160,16 +157,12 @@ def mix_sql(sweeps: int = SWEEPS, temper: float = TEMPER, budget: float = BUDGET
           SELECT doc_id, coalesce(source, 'unknown') AS source, coalesce(lang, 'unknown') AS lang, coalesce(text, '') AS text,
                  CAST(len(regexp_extract_all(coalesce(text, ''), '{word}')) AS BIGINT) + 1 AS tokens
           FROM documents)""",
-        """named AS (
+        """facts AS (
           SELECT doc_id, source, lang, tokens,
                  CASE WHEN contains(text, '|') THEN 'table' WHEN contains(text, '!!') OR contains(text, '***') THEN 'noise'
                       WHEN tokens <= 100 THEN 'note' WHEN contains(text, '@') OR contains(text, '://') THEN 'contact'
                       ELSE 'prose' END AS topic
           FROM texts)""",
-        "facts AS (SELECT doc_id, tokens, " + ", ".join(
-            f"CASE WHEN sum(tokens) OVER (PARTITION BY {m}) >= sum(tokens) OVER () * {SMALL} THEN {m} ELSE '{SMALL_NAME}' END AS {m}"
-            for m in MARGINS
-        ) + " FROM named)",
         """w0 AS (
           SELECT source, lang, topic, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(tokens) AS DOUBLE) AS weight
           FROM facts GROUP BY ALL)""",
