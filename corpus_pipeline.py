@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatweave.llm import line_dedup, minhash, mixing, packing, toxicity
-from chatweave.llm.common import store, table, texts_of
+from chatweave.llm.common import may_be_among, store, table, texts_of
 from chatweave.llm.queries import tokenizer_path
 from chatweave.plans.queries import Query
 
@@ -29,9 +29,15 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group; repeated rows of an id share its fate."""
-    dropped = minhash.near_duplicates(docs).where("NOT kept").select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """The first document of each group; of rows that share an id, those with the text that was judged go with it."""
+    judged = minhash.judged(docs).where("NOT kept")
+    dropped = store(judged.select(F.col("doc_id").alias("dropped_id"), F.col("text_md5").alias("dropped_md5")))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    number = F.col("row.doc_id").cast("long")
+    marked = rows.withColumn("maybe", number.isNotNull() & may_be_among(number, dropped.select("dropped_id")))
+    same = (number == F.col("dropped_id")) & (F.md5(F.coalesce("row.text", F.lit(""))) == F.col("dropped_md5"))
+    kept = marked.where("NOT maybe").unionByName(marked.where("maybe").join(dropped, same, "left_anti"))
+    return kept.select("row.*")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
