@@ -36,6 +36,8 @@ MOST_RANGES = 1 << 20
 #: Windows merged at once while a range is united, n-grams of one transducer when parts are looked up.
 MERGE_AT = 1 << 20
 LOOKUP_BLOCK = 1 << 16
+#: Parts that the phrases of a language are dealt to.
+SHARES = 64
 
 #: What parts pieces becomes a full stop, which no word can hold.
 _TABLE = bytes(
@@ -464,11 +466,14 @@ def collocations(docs: DataFrame, least: int = MIN_COUNT, top: int = TOP) -> Dat
     asked = cuts.select("lang", F.explode(F.array("left", "right")).alias("phrase")).distinct()
     found = store(part_counts(asked, known))
     side = {s: found.select(F.col("lang"), F.col("phrase").alias(s), F.col("f").alias(f)) for s, f in (("left", "l"), ("right", "r"))}
-    n = counts.where("words = 0").select("lang", F.col("f").alias("n"))
+    # A language may have most phrases, so its number of words is repeated for shares of them.
+    share = F.pmod(F.xxhash64("phrase"), F.lit(SHARES)).alias("share")
+    n = counts.where("words = 0").select("lang", F.col("f").alias("n"), F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).cast("long").alias("share"))
     product = F.col("a").cast("decimal(19,0)") * F.col("n").cast("decimal(19,0)") * F.lit(1000)
     parts = F.col("l").cast("decimal(19,0)") * F.col("r").cast("decimal(19,0)")
     scored = (
-        cuts.join(side["left"], ["lang", "left"]).join(side["right"], ["lang", "right"]).join(n, "lang")
+        cuts.join(side["left"], ["lang", "left"]).join(side["right"], ["lang", "right"])
+        .withColumn("share", share).join(n, ["lang", "share"])
         .withColumn("product", product).withColumn("parts", parts)
         .select("lang", "phrase", "a", F.struct(F.expr("product div parts").alias("score"), "k", "l", "r", "n").alias("cut"))
         .groupBy("lang", "phrase", "a").agg(F.min("cut").alias("cut"))
@@ -483,7 +488,7 @@ def collocations(docs: DataFrame, least: int = MIN_COUNT, top: int = TOP) -> Dat
     kept = scored.join(shorter, ["lang", "phrase"], "left").where("longer IS NULL OR longer < a").drop("longer")
     order = F.desc("score"), F.desc("a"), "phrase"
     some = Window.partitionBy("lang", "share").orderBy(*order)
-    first = kept.withColumn("share", F.pmod(F.xxhash64("phrase"), F.lit(64))).withColumn("rank", F.row_number().over(some)).where(F.col("rank") <= top)
+    first = kept.withColumn("share", share).withColumn("rank", F.row_number().over(some)).where(F.col("rank") <= top)
     ranked = first.drop("rank").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long"))
     return ranked.where(F.col("rank") <= top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
