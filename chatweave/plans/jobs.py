@@ -12,13 +12,14 @@ from chatweave.functions import fixed_values as fv
 from chatweave.functions.times import resolve_offset
 from chatweave.operators import media, model
 from chatweave.operators.enrich import enrich_messages
-from chatweave.operators.markdown import transcript_lines
 from chatweave.operators.parse import parse_messages
+from chatweave.operators.parts import json_rows, markdown_rows, parse_parts
 from chatweave.operators.report import chat_report, report_text
 from chatweave.functions.naming import artifact_stem
 from chatweave.plans.runlog import RunLog, measured, observed
 from chatweave.plans.session import store
 from chatweave.sources.changes import ChangeTable
+from chatweave.sources.chatfiles import write_chat_files
 from chatweave.sources.chats import read_chat_lines
 from chatweave.streaming.incremental import append_months
 
@@ -71,16 +72,31 @@ def write_conversations(messages: DataFrame, folder: str) -> None:
 
 
 def write_transcripts(messages: DataFrame, folder: str, max_chars: int = fv.MARKDOWN_CLIP_CHARS) -> None:
-    """Markdown, one folder per chat; a chat's files, in name order, are its transcript."""
-    (
-        transcript_lines(messages, max_chars)
-        .repartitionByRange("chat_id", "msg_idx")
-        .sortWithinPartitions("chat_id", "msg_idx")
-        .select("chat_id", "md")
-        .write.mode("overwrite")
-        .partitionBy("chat_id")
-        .text(folder)
+    """Markdown of many chats in each file, with an index (``sources.chatfiles``). Takes messages or their parts."""
+    write_chat_files(markdown_rows(messages, max_chars), folder, "markdown")
+
+
+def write_conversation_parts(parts: DataFrame, folder: str) -> None:
+    """JSON lines as ``write_conversations`` writes them, from parts: messages of any length, in files with an index."""
+    write_chat_files(json_rows(parts), folder, "json")
+
+
+def publish_parts(spark: SparkSession, folder: str, out_dir: str, options: JobOptions = JobOptions()) -> DataFrame:
+    """Parses the exports below ``folder`` and writes their JSON and Markdown without putting any message together.
+
+    Returns the stored parts. For exports whose messages may not fit into a row; media work and
+    monthly output take whole messages.
+    """
+    out_dir = out_dir.rstrip("/")
+    parts = parse_parts(
+        read_chat_lines(spark, folder), tz_offset=options.tz_offset, style=options.style, date_order=options.date_order,
+        me=options.me, them=options.them, sample_lines=options.sample_lines, overrides=options.overrides,
     )
+    parts.write.mode("overwrite").parquet(f"{out_dir}/message-parts")
+    stored = spark.read.schema(parts.schema).parquet(f"{out_dir}/message-parts")
+    write_conversation_parts(stored, f"{out_dir}/conversation")
+    write_transcripts(stored, f"{out_dir}/transcript", options.markdown_chars)
+    return stored
 
 
 def write_reports(texts: DataFrame, folder: str) -> None:

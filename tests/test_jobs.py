@@ -12,6 +12,7 @@ from chatweave.operators.parse import parse_messages
 from chatweave.operators.quality import assess_quality
 from chatweave.plans.jobs import media_job, publish, upsert_artifacts, write_conversations
 from chatweave.plans.session import ensure_checkpoint_dir
+from chatweave.sources.chatfiles import chat_index, read_chat_files
 from chatweave.streaming.incremental import append_months, month_markdown
 
 GOOD = "This is a good text with more than eight words in it, all of them different."
@@ -106,8 +107,8 @@ def test_publish(lines_of, tmp_path, spark):
     assert [json.loads(x)["chat_id"] for x in raw] == ["c", "c", "c", "d"]
     assert first["ts"] == "2024-03-11T08:15:00+00:00" and first["media"] == [] and first["enrichment"] is None
     assert '"sender":"ç","type":"text","text":"ã\\nb"' in raw[3]
-    parts = sorted(n for n in os.listdir(tmp_path / "transcript" / "chat_id=c") if n.startswith("part-"))
-    text = "".join((tmp_path / "transcript" / "chat_id=c" / n).read_text() for n in parts)
+    found = read_chat_files(chat_index(spark, str(tmp_path / "transcript")).where("chat_id = 'c'")).orderBy("path", "line_no")
+    text = "\n".join(r.line for r in found.collect())
     assert text.startswith("# WhatsApp Transcript\n\n\n## 2024-03\n\n- **2024-03-11 08:15** — **A**: bread\n- **2024-03-12")
     assert "\n\n## 2024-04\n\n- " in text
     (report_file,) = [n for n in os.listdir(tmp_path / "report" / "chat_id=d") if n.startswith("part-")]
