@@ -468,7 +468,7 @@ def collocations(docs: DataFrame, least: int = MIN_COUNT, top: int = TOP) -> Dat
     side = {s: found.select(F.col("lang"), F.col("phrase").alias(s), F.col("f").alias(f)) for s, f in (("left", "l"), ("right", "r"))}
     # A language may have most phrases, so its number of words is repeated for shares of them.
     share = F.pmod(F.xxhash64("phrase"), F.lit(SHARES)).alias("share")
-    n = counts.where("words = 0").select("lang", F.col("f").alias("n"), F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).cast("long").alias("share"))
+    n = counts.where("words = 0").select("lang", F.col("f").alias("n"), F.explode(F.expr(f"sequence(0L, {SHARES - 1}L)")).alias("share"))
     product = F.col("a").cast("decimal(19,0)") * F.col("n").cast("decimal(19,0)") * F.lit(1000)
     parts = F.col("l").cast("decimal(19,0)") * F.col("r").cast("decimal(19,0)")
     scored = (
