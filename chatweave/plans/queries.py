@@ -9,11 +9,16 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chatweave.functions import fixed_values as fv
 from chatweave.functions import naming, text
 from chatweave.operators import audio, dialect, enrich, markdown, media, model, quality, report, retry, runs
 from chatweave.plans import inputs as inp
 from chatweave.plans.session import ensure_checkpoint_dir, store
+from chatweave.operators.parse import parse_messages
+from chatweave.operators.parts import parse_parts, whole_messages
 from chatweave.sources import exports
+from chatweave.sources.archives import read_archive_lines
+from chatweave.sources.chats import read_chat_lines
 from chatweave.sources.manifest import append_events, parse_manifest, read_events
 from chatweave.streaming import incremental
 
@@ -49,6 +54,26 @@ def chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(f"WITH {inp.CHAT_SQL} SELECT chat_id, msg_idx, ts, month, sender, sender_id, type, text FROM msgs")
+def export_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chats written as export folders and archives, and read from there: hidden names, two kinds of line
+    ends, a line before the first message, clocks with seconds."""
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/chatweave-exports-{uuid.uuid4().hex}"
+    inp.export_folders(inp.chat_lines(spark, sf_dir, seconds=True), folder)
+    zipped, _ = read_archive_lines(spark, folder)
+    name = F.regexp_extract("chat_id", r"/_([^/]*)\.zip$", 1).alias("chat_id")
+    lines = read_chat_lines(spark, folder).unionByName(zipped.select(name, "path", "line_no", "line"))
+    messages = parse_messages(lines, tz_offset=inp.UTC, me=["User"], them=["assistant"])
+    return messages.select("chat_id", "msg_idx", "ts", "month", "sender", "sender_id", "type", "text")
+
+
+@query(f"WITH {inp.CHAT_SQL} SELECT chat_id, msg_idx, ts, sender, type, text FROM msgs")
+def message_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages cut into part rows of three lines over blocks of sixteen, and put together again."""
+    parts = parse_parts(inp.chat_lines(spark, sf_dir), tz_offset=inp.UTC, block_rows=16, part_lines=3)
+    return whole_messages(parts).select("chat_id", "msg_idx", "ts", "sender", "type", "text")
+
+
 @query(
     """
     SELECT DISTINCT CAST(conv_id AS VARCHAR) AS chat_id,
@@ -750,26 +775,14 @@ def transcribe_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- runs -------------------------------------------------------------------------------------
 
-_COUNTER_TYPES = {
-    "audio_transcripts_created": "audio_transcript_created",
-    "audio_transcript_retry_succeeded": "audio_transcript_retried",
-    "audio_transcript_retry_failed": "audio_transcript_retry_failed",
-    "image_ocr_created": "image_ocr_created",
-    "image_ocr_deferred": "image_ocr_deferred",
-    "missing_files": "missing_file",
-}
-
 
 @query(
     f"WITH {inp.MANIFEST_SQL} SELECT run_id, "
-    + ", ".join(f"count(*) FILTER (type = '{t}') AS {c}" for c, t in _COUNTER_TYPES.items())
-    + ", count(*) FILTER (type IN ('audio_transcript_retried', 'audio_transcript_retry_failed'))"
-    " AS audio_transcript_retry_attempted, count(*) FILTER (false) AS audio_wav_created, count(*) FILTER (false) AS image_ocr_failed FROM manifest GROUP BY run_id"
+    + ", ".join(f"count(*) FILTER (type = '{t}') AS {c}" for c, t in fv.COUNTER_EVENTS.items())
+    + f", count(*) FILTER (type IN ('audio_transcript_retried', 'audio_transcript_retry_failed')) AS {fv.RETRY_ATTEMPTED} FROM manifest GROUP BY run_id"
 )
 def run_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return runs.run_counters(inp.manifest(spark, sf_dir)).select(
-        "run_id", *_COUNTER_TYPES, "audio_transcript_retry_attempted", "audio_wav_created", "image_ocr_failed"
-    )
+    return runs.run_counters(inp.manifest(spark, sf_dir))
 
 
 @query(
@@ -819,22 +832,30 @@ def manifest_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-    SELECT CAST(user_id AS VARCHAR) AS run_id,
-           greatest(count(*) FILTER (event_type IN ('click', 'view', 'error')) - count(*) FILTER (event_type = 'error'), 0) AS done,
-           round(greatest(count(*) FILTER (event_type IN ('click', 'view', 'error')) - count(*) FILTER (event_type = 'error'), 0)
-                 / count(*) * 100.0, 6) AS percent
-    FROM events GROUP BY user_id
+    WITH counts AS (
+      SELECT CAST(user_id AS VARCHAR) AS run_id,
+             CASE WHEN user_id % 5 = 0 THEN 0 ELSE count(*) FILTER (event_type IN ('click', 'view', 'error')) END AS total,
+             count(*) FILTER (event_type <> 'signup') AS media_done,
+             count(*) FILTER (event_type = 'error') * (user_id % 4 - 1) AS remaining
+      FROM events GROUP BY user_id)
+    SELECT run_id,
+           CASE WHEN total <= 0 THEN 0 ELSE greatest(least(media_done, total) - greatest(remaining, 0), 0) END AS done,
+           CASE WHEN total <= 0 THEN 100.0
+                ELSE round(greatest(least(media_done, total) - greatest(remaining, 0), 0) / total * 100.0, 6) END AS percent
+    FROM counts
     """
 )
 def run_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clicks, views and errors are files done; errors are still waiting for their transcript."""
-    counts = inp.table(spark, sf_dir, "events").groupBy(F.col("user_id").cast("string").alias("run_id")).agg(
-        F.count(F.lit(1)).alias("total"),
-        F.count_if(F.col("event_type").isin("click", "view", "error")).alias("media_done"),
-        F.count_if(F.col("event_type") == "error").alias("remaining"),
-    )
-    done, percent = runs.effective_progress(F.col("total"), F.col("media_done"), F.col("remaining"))
-    return counts.select("run_id", done.alias("done"), F.round(percent, 6).alias("percent"))
+    """More done than there is, more left than done, less than nothing left, and runs without files: every limit occurs."""
+    kind, user = F.col("event_type"), F.col("user_id")
+    counts = inp.table(spark, sf_dir, "events").groupBy("user_id").agg(
+        F.count_if(kind.isin("click", "view", "error")).alias("total"),
+        F.count_if(kind != "signup").alias("media_done"),
+        F.count_if(kind == "error").alias("errors"),
+    )
+    total = F.when(user % 5 == 0, F.lit(0)).otherwise(F.col("total"))
+    done, percent = runs.effective_progress(total, F.col("media_done"), F.col("errors") * (user % 4 - 1))
+    return counts.select(user.cast("string").alias("run_id"), done.alias("done"), F.round(percent, 6).alias("percent"))
 
 
 @query(

@@ -9,23 +9,21 @@ from __future__ import annotations
 import io
 import posixpath
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatweave.plans.session import ship_package, store
-from chatweave.sources.lines import spread
+from chatweave.plans.session import store
+from chatweave.sources.lines import list_files, open_system, spread
 
 CHUNK_BYTES = 8 << 20
 LINE_BATCH = 20_000
 
 
-def _open_zip(uri: str) -> zipfile.ZipFile:
-    from pyarrow import fs
-
-    system, path = fs.FileSystem.from_uri(uri)
+def _open_zip(location: str) -> zipfile.ZipFile:
+    system, path = open_system(location)
     return zipfile.ZipFile(system.open_input_file(path))
 
 
@@ -41,15 +39,8 @@ def entry_path(entry: str) -> str:
 
 
 def list_archives(spark: SparkSession, path: str) -> DataFrame:
-    """(archive): locations of all .zip files below a folder; their bytes are not read."""
-    ship_package(spark)
-    return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.zip")
-        .load(path)
-        .select(F.col("_metadata.file_path").alias("archive"))
-    )
+    """(archive): locations of all .zip files below a folder, whatever their names start with; their bytes are not read."""
+    return list_files(spark, path, "*.zip").select(F.col("path").alias("archive"))
 
 
 def list_entries(archives: DataFrame) -> DataFrame:
@@ -143,31 +134,49 @@ def extract(entries: DataFrame, tasks: int | None = None) -> DataFrame:
 
 
 def entry_lines(entries: DataFrame) -> DataFrame:
-    """(archive, path, line_no, line) of the given text entries, streamed line by line."""
+    """(archive, path, line_no, line, problem) of the given text entries, streamed line by line.
+
+    Each entry is opened once. Its last row has no line: ``problem`` there says why it could not be
+    read to its end (a bad sum, bad compressed data, a password), or is null. Lines of an entry with
+    a problem are to be dropped, as ``sound_lines`` does.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples():
-                with _open_zip(row.archive) as z, z.open(row.entry) as raw:
-                    text = io.TextIOWrapper(raw, encoding="utf-8", errors="replace", newline=None)
-                    start, held = 0, []
-                    for line in text:
-                        held.append(line[:-1] if line.endswith("\n") else line)
-                        if len(held) == LINE_BATCH:
-                            yield _line_frame(row, start, held)
-                            start, held = start + len(held), []
-                    if held:
-                        yield _line_frame(row, start, held)
+                problem = None
+                try:
+                    with _open_zip(row.archive) as z, z.open(row.entry) as raw:
+                        text = io.TextIOWrapper(raw, encoding="utf-8", errors="replace", newline=None)
+                        start, held = 0, []
+                        for line in text:
+                            held.append(line[:-1] if line.endswith("\n") else line)
+                            if len(held) == LINE_BATCH:
+                                yield _line_frame(row, range(start, start + len(held)), held, None)
+                                start, held = start + len(held), []
+                        if held:
+                            yield _line_frame(row, range(start, start + len(held)), held, None)
+                except Exception as e:
+                    problem = f"unreadable entry: {row.entry}: {e}"
+                yield _line_frame(row, [-1], [None], problem)
 
     return spread(entries.select("archive", "entry", "path"), "archive", "entry").mapInPandas(
-        run, "archive string, path string, line_no bigint, line string"
+        run, "archive string, path string, line_no bigint, line string, problem string"
     )
 
 
-def _line_frame(row, start: int, lines: list[str]) -> pd.DataFrame:
-    return pd.DataFrame(
-        {"archive": row.archive, "path": row.path, "line_no": range(start, start + len(lines)), "line": lines}
-    )
+def _line_frame(row, numbers: Iterable[int], lines: list[str | None], problem: str | None) -> pd.DataFrame:
+    return pd.DataFrame({"archive": row.archive, "path": row.path, "line_no": numbers, "line": lines, "problem": problem})
+
+
+def sound_lines(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(lines of archives in which every given entry can be read, one reject row per other archive).
+
+    The lines are stored as they are unpacked; what a broken entry gave until it broke goes again.
+    """
+    read = store(entry_lines(entries))
+    rejects = read.where("problem IS NOT NULL").groupBy("archive").agg(F.min("problem").alias("reason"))
+    return read.where("line IS NOT NULL").drop("problem").join(rejects, "archive", "left_anti"), rejects
 
 
 def read_archive_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -185,8 +194,7 @@ def read_archive_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataF
     wanted = chosen.where(F.col("chat_path").isNotNull()).select(
         F.col("export").alias("archive"), F.col("chat_path").alias("path")
     )
-    chats, broken = sound_entries(store(entries.join(wanted, ["archive", "path"], "left_semi")))
-    lines = entry_lines(chats)
+    lines, broken = sound_lines(entries.join(wanted, ["archive", "path"], "left_semi"))
     return (
         lines.select(F.col("archive").alias("chat_id"), "path", "line_no", "line"),
         rejects.unionByName(none).unionByName(broken),

@@ -16,7 +16,7 @@ from chatweave.sources.chatfiles import chat_index, read_chat_files
 from chatweave.streaming.incremental import append_months, month_markdown
 
 GOOD = "This is a good text with more than eight words in it, all of them different."
-LOOP = "Ja vem? " * 220
+LOOP = "mud, rain, wind and " * 60
 
 
 def chat(lines_of, text, **options):

@@ -104,14 +104,14 @@ def test_export_roots(spark):
         spark,
         [
             ("top", "a.txt", 1), ("top", "x/WhatsApp Chat.txt", 99),
-            ("nested", "nested/WhatsApp Chat.txt", 1), ("nested", "other/long.txt", 500),
+            ("below", "box/WhatsApp Chat.txt", 1), ("below", "other/long.txt", 500),
             ("weak", "p/conversa.txt", 1), ("weak", "q/note.txt", 9), ("weak", "r/chat.txt", 2),
             ("size", "a/1.txt", 5), ("size", "b/2.txt", 6), ("size", "c/3.txt", 6),
             ("none", "pics/a.jpg", 1), ("both", "m/whatsapp.txt", 9), ("both", "n/whatsapp chat.txt", 1),
         ],
     )
     roots = {r.export: r.root for r in exports.export_roots(df).collect()}
-    assert roots == {"top": "", "nested": "nested", "weak": "r", "size": "b", "none": "", "both": "n"}
+    assert roots == {"top": "", "below": "box", "weak": "r", "size": "b", "none": "", "both": "n"}
 
 
 def test_chat_files(spark):
@@ -198,8 +198,8 @@ def test_archives(spark, tmp_path, monkeypatch):
     assert set(reasons) == {"evil.zip", "absolute.zip", "broken.zip"}
     assert reasons["evil.zip"] == "unsafe entry path: ../evil.txt"
     assert {(os.path.basename(r.archive), r.path, r.length) for r in entries.collect()} == {
-        ("good%20one.zip", "x/WhatsApp Chat.txt", 35), ("good%20one.zip", "x/y/p.jpg", 3),
-        ("good%20one.zip", "x/big.bin", 20), ("nochat.zip", "a.jpg", 1),
+        ("good one.zip", "x/WhatsApp Chat.txt", 35), ("good one.zip", "x/y/p.jpg", 3),
+        ("good one.zip", "x/big.bin", 20), ("nochat.zip", "a.jpg", 1),
     }
     content: dict[str, bytes] = {}
     for r in archives.extract(entries).orderBy("archive", "path", "chunk_no").collect():
@@ -212,6 +212,17 @@ def test_archives(spark, tmp_path, monkeypatch):
     assert {os.path.basename(r.archive) for r in rejected.collect()} == {*reasons, "nochat.zip"}
 
 
+@pytest.mark.parametrize("name", ["_hidden.zip", ".hidden.zip", "sub/_x y.zip"])
+def test_archives_of_any_name_are_opened_once(spark, tmp_path, name, capsys):
+    (tmp_path / "sub").mkdir()
+    make_zip(tmp_path / name, {"_chat.txt": b"[20/09/2025, 21:41] A: hi\nyou"})
+    lines, rejects = archives.read_archive_lines(spark, str(tmp_path))
+    assert [(r.chat_id, r.line_no) for r in lines.orderBy("line_no").collect()] == [(str(tmp_path / name), 0), (str(tmp_path / name), 1)]
+    assert rejects.count() == 0
+    lines.explain()  # what is read again is stored: no task unpacks anything any more
+    assert "MapInPandas" not in capsys.readouterr().out
+
+
 @pytest.mark.parametrize("entry, unsafe", [("a/../b", False), ("a/../../b", True), ("/x", True), ("..", True), ("a/..b", False)])
 def test_unsafe_entries(entry, unsafe):
     assert archives.leaves_root(entry) is unsafe
