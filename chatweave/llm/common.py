@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatweave.plans.session import release, ship_package, store
+from chatweave.plans import session
+from chatweave.plans.session import release, store
 
 __all__ = ["components", "fold", "hash_block", "may_be_among", "mix", "release", "ship_package", "shingles", "store", "table", "texts_of", "word_hashes"]
 
@@ -19,6 +20,18 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _CHUNK = 1 << 18
 
 
+#: Bytes that a batch of rows may have on its way to Python, unless the session says otherwise.
+_BATCH_BYTES = 4 << 20
+_BATCH_SETTING, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give Python workers this package, and texts to them in batches of a few megabytes."""
+    session.ship_package(spark)
+    if spark.conf.get(_BATCH_SETTING).rstrip("b") == str(_BATCH_DEFAULT):
+        spark.conf.set(_BATCH_SETTING, str(_BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -30,6 +30,7 @@ from chatweave.llm.common import may_be_among, release, ship_package, store
 MIN_WORDS = 50
 
 LINE_SCHEMA = "doc_id long, t long, seq int, line_no int, h1 long, h2 long, window int, tails array<long>"
+_ROWS_AT_ONCE = 4096
 _EDGES = b" \t\n\r\x0b\x0c"
 
 
@@ -47,10 +48,11 @@ def numbered_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``LINE_SCHEMA``: hash (128 bits) of each line, lines in its window (0: too few words follow), and for
     the lines after the window, as far as they have fewer than ``min_words`` words, a hash of all up to each."""
     ship_package(docs.sparkSession)
+    names = [c.split(" ")[0] for c in LINE_SCHEMA.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
+            rows: list[tuple] = []
             for doc, t, text in zip(batch["doc_id"], batch["t"], batch["text"], strict=True):
                 lines = _lines(text or "")
                 digests = [hashlib.blake2b(line, digest_size=16).digest() for _, line in lines]
@@ -68,7 +70,10 @@ def numbered_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                             seen.update(digest)
                             tails.append(int.from_bytes(seen.digest(), "little", signed=True))
                     rows.append((doc, t, s, line_no, halves[s, 0], halves[s, 1], window, tails))
-            yield pd.DataFrame(rows, columns=["doc_id", "t", "seq", "line_no", "h1", "h2", "window", "tails"])
+                    if len(rows) == _ROWS_AT_ONCE:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows = []
+            yield pd.DataFrame(rows, columns=names)
 
     return docs.where("doc_id IS NOT NULL").select("doc_id", _text_hash().alias("t"), "text").mapInPandas(run, LINE_SCHEMA)
 
