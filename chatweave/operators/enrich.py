@@ -1,18 +1,18 @@
 """Attach transcripts, OCR text and converted audio to the messages that refer to a file.
 
-Lookups run on the distinct files first (few rows, artifact text moves once), then one join
-brings the result to the messages. That join is salted: one file may be posted very often,
-and most messages have no file at all.
+All that is known of a file is found in two shuffles: by stem, where the distinct files meet artifacts
+and converted audio, and by file, where they meet the listing of the export. One join then brings
+the result to the messages. A file that is posted very often, or the many messages without one, make
+partitions that Spark's adaptive joins split.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatweave.functions.naming import candidate_stems
 from chatweave.operators.parse import ENRICHMENT_TYPE, MEDIA_TYPE
-from chatweave.operators.skew import salted_left_join
 
 ARTIFACT_OF = {"audio": "transcript", "image": "ocr"}
 CONVERTED_EXTENSIONS = ("mp3", "wav")  # best first
@@ -35,46 +35,70 @@ def stem_lookups(files: DataFrame) -> DataFrame:
     )
 
 
-def find_text_artifacts(files: DataFrame, artifacts: DataFrame) -> DataFrame:
-    """(chat_id, file, kind, stem, rel_path, text) of the best artifact of each file that has one.
+def matched_files(
+    files: DataFrame, artifacts: DataFrame | None = None, converted: DataFrame | None = None, listing: DataFrame | None = None
+) -> DataFrame:
+    """(chat_id, file, kind, found, converted_file, has_mp3, has_wav, present), one row per file.
 
-    ``artifacts``: (chat_id, kind, stem, rel_path, text), unique per (chat_id, kind, stem). Path
-    and text are taken from the same artifact, so an unreadable one (text null) still wins.
+    ``files`` (chat_id, file, kind), distinct. ``artifacts`` (chat_id, kind, stem, rel_path[, text]), unique
+    per (chat_id, kind, stem); ``found`` is the struct (stem, rel_path[, text]) of the file's best one: primary
+    stem first, path and text of the same artifact, so an unreadable one (text null) still wins.
+    ``converted`` (chat_id, stem, ext, rel_path): mp3 before wav, then the primary stem. ``listing``
+    (chat_id, file). Rows without a chat match nothing.
     """
-    wanted = F.when(F.col("kind") == "audio", F.lit(ARTIFACT_OF["audio"])).otherwise(F.lit(ARTIFACT_OF["image"]))
-    known = artifacts.select(
-        "chat_id", F.col("kind").alias("artifact"), "stem", F.struct("stem", "rel_path", "text").alias("found")
+    text = [c for c in ("text",) if artifacts is None or c in artifacts.columns]
+    found_type = f"struct<stem:string,rel_path:string{',text:string' * len(text)}>"
+    rows = [stem_lookups(files)]
+    if artifacts is not None:
+        what = F.struct("stem", "rel_path", *text)
+        rows.append(artifacts.select("chat_id", "stem", *[F.when(F.col("kind") == k, what).alias(k) for k in ARTIFACT_OF.values()]))
+    if converted is not None:
+        rows.append(converted.select("chat_id", "stem", *[F.when(F.col("ext") == e, F.col("rel_path")).alias(e) for e in CONVERTED_EXTENSIONS]))
+    both = rows[0]
+    for more in rows[1:]:
+        both = both.unionByName(more, allowMissingColumns=True)
+    for name, kind in (*((k, found_type) for k in ARTIFACT_OF.values()), *((e, "string") for e in CONVERTED_EXTENSIONS)):
+        if name not in both.columns:
+            both = both.withColumn(name, F.lit(None).cast(kind))
+    here = Window.partitionBy("chat_id", "stem")
+    known = F.col("chat_id").isNotNull()
+    facts = {n: F.when(known, F.max(n).over(here)) for n in (*ARTIFACT_OF.values(), *CONVERTED_EXTENSIONS)}
+    met = both.select("chat_id", "file", "kind", "rank", *[c.alias(n) for n, c in facts.items()]).where("rank IS NOT NULL")
+    audio = F.col("kind") == "audio"
+    found = F.when(audio, F.col(ARTIFACT_OF["audio"])).otherwise(F.col(ARTIFACT_OF["image"]))
+    # The best converted file is the first by extension, then by stem.
+    best = F.filter(
+        F.array(*[F.when(audio, F.struct(F.lit(i).alias("by"), F.col("rank"), F.col(e).alias("path"))) for i, e in enumerate(CONVERTED_EXTENSIONS)]),
+        lambda c: c["path"].isNotNull(),
     )
-    matched = salted_left_join(
-        stem_lookups(files).withColumn("artifact", wanted),
-        known,
-        ["chat_id", "artifact", "stem"],
-        row_id=F.col("file"),
+    by_file = met.select(
+        "chat_id", "file", "kind", "rank", found.alias("found"), F.array_min(best).alias("best"),
+        *[(audio & F.col(e).isNotNull()).alias(f"has_{e}") for e in CONVERTED_EXTENSIONS], F.lit(False).alias("present"),
     )
+    if listing is not None:
+        there = listing.where("chat_id IS NOT NULL").select("chat_id", "file", F.lit(True).alias("present"))
+        by_file = by_file.unionByName(there, allowMissingColumns=True)
     return (
-        matched.where(F.col("found").isNotNull())
-        .groupBy("chat_id", "file", "kind")
-        .agg(F.min_by("found", "rank").alias("found"))
-        .select("chat_id", "file", "kind", "found.*")
+        by_file.groupBy("chat_id", "file")
+        .agg(
+            F.max("kind").alias("kind"),
+            F.min_by("found", F.when(F.col("found").isNotNull(), F.col("rank"))).alias("found"),
+            F.min("best")["path"].alias("converted_file"),
+            *[F.coalesce(F.bool_or(f"has_{e}"), F.lit(False)).alias(f"has_{e}") for e in CONVERTED_EXTENSIONS],
+            F.bool_or("present").alias("present"),
+        )
+        .where("kind IS NOT NULL")
     )
 
 
+def find_text_artifacts(files: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """(chat_id, file, kind, stem, rel_path, text) of the best artifact of each file that has one."""
+    return matched_files(files, artifacts).where("found IS NOT NULL").select("chat_id", "file", "kind", "found.*")
+
+
 def find_converted(files: DataFrame, converted: DataFrame) -> DataFrame:
     """(chat_id, file, converted_file): mp3 before wav, then the primary stem before the legacy one."""
-    preference = F.array_position(F.array(*[F.lit(e) for e in CONVERTED_EXTENSIONS]), F.col("ext"))
-    by_stem = (
-        converted.where(F.col("ext").isin(*CONVERTED_EXTENSIONS))
-        .groupBy("chat_id", "stem")
-        .agg(F.collect_set(F.struct(preference.alias("ext_rank"), F.col("rel_path"))).alias("found"))
-    )
-    matched = salted_left_join(
-        stem_lookups(files.where(F.col("kind") == "audio")), by_stem, ["chat_id", "stem"], row_id=F.col("file")
-    )
-    return (
-        matched.select("chat_id", "file", "rank", F.explode("found").alias("f"))
-        .groupBy("chat_id", "file")
-        .agg(F.min_by("f.rel_path", F.struct("f.ext_rank", "rank")).alias("converted_file"))
-    )
+    return matched_files(files, None, converted).where("converted_file IS NOT NULL").select("chat_id", "file", "converted_file")
 
 
 def _attached(file: Column, kind: Column, converted: Column, meta: Column) -> Column:
@@ -97,21 +121,10 @@ def enrich_messages(
     are regrouped by message, and the last file that has an artifact fills the enrichment.
     """
     columns = messages.columns
-    files = referenced_files(messages)
-    keys = ["chat_id", "_file", "_kind"]
-    texts = find_text_artifacts(files, artifacts).select(
-        "chat_id", "file", "kind", F.struct("rel_path", "text").alias("_artifact")
-    )
-    resolved = files.drop("n").join(texts, ["chat_id", "file", "kind"], "left")
-    if converted is not None:
-        resolved = resolved.join(find_converted(files, converted), ["chat_id", "file"], "left")
-    else:
-        resolved = resolved.withColumn("converted_file", F.lit(None).cast("string"))
-    resolved = resolved.select(
-        "chat_id", F.col("file").alias("_file"), F.col("kind").alias("_kind"), "_artifact",
-        F.col("converted_file").alias("_converted"),
+    keys = ["chat_id", "_file"]
+    resolved = matched_files(referenced_files(messages).drop("n"), artifacts, converted).select(
+        "chat_id", F.col("file").alias("_file"), F.col("found").alias("_artifact"), F.col("converted_file").alias("_converted")
     )
-    counts = files.select("chat_id", F.col("file").alias("_file"), F.col("kind").alias("_kind"), "n")
 
     if many_files:
         rows = messages.select("*", F.posexplode_outer("media").alias("_pos", "_ref"))
@@ -121,7 +134,7 @@ def enrich_messages(
     rows = rows.withColumn("_file", F.when(looked_up, F.col("_ref.file"))).withColumn(
         "_kind", F.when(looked_up, F.col("_ref.kind"))
     )
-    joined = salted_left_join(rows, resolved, keys, F.col("msg_idx"), key_counts=counts)
+    joined = rows.join(resolved, keys, "left")
 
     audio = F.col("_kind") == "audio"
     path, text = F.col("_artifact.rel_path"), F.col("_artifact.text")

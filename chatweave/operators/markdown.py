@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from chatweave.functions import fixed_values as fv
 from chatweave.functions.text import blank_to_null, clip, strip
 from chatweave.functions.times import display_time
-from chatweave.operators.blocks import BLOCK_ROWS, previous_value
+from chatweave.operators.blocks import BLOCK_ROWS, densely, previous_value
 
 
 def display_name(sender: Column, sender_id: Column) -> Column:
@@ -42,12 +42,18 @@ def bullet(max_chars: int = fv.MARKDOWN_CLIP_CHARS) -> Column:
     )
 
 
-def with_month_headings(messages: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Add ``new_month``: the month differs from that of the message before. It may come back."""
+def with_month_headings(messages: DataFrame, block_rows: int = BLOCK_ROWS, sparse: bool = False) -> DataFrame:
+    """Add ``new_month``: the month differs from that of the message before. It may come back.
+
+    ``sparse``: the numbers of messages have gaps (parsed ones have none), so they are numbered anew first.
+    """
+    numbered, order = messages, "msg_idx"
+    if sparse:
+        numbered, order = densely(messages, ["chat_id"], "msg_idx", "_place"), "_place"
     return (
-        previous_value(messages, ["chat_id"], "msg_idx", "month", "_previous", block_rows)
+        previous_value(numbered, ["chat_id"], order, "month", "_previous", block_rows)
         .withColumn("new_month", ~F.col("month").eqNullSafe(F.col("_previous")))
-        .drop("_previous")
+        .drop("_previous", "_place")
     )
 
 

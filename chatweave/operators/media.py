@@ -8,9 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chatweave.functions import fixed_values as fv
-from chatweave.operators.blocks import ranked
-from chatweave.operators.enrich import find_text_artifacts, referenced_files, stem_lookups
-from chatweave.operators.skew import salted_left_join
+from chatweave.operators.blocks import densely, ranked
+from chatweave.operators.enrich import find_text_artifacts, matched_files, referenced_files
 
 
 @dataclass(frozen=True)
@@ -26,6 +25,11 @@ def work_list(messages: DataFrame) -> DataFrame:
     return referenced_files(messages).drop("n")
 
 
+def sorted_work(work: DataFrame) -> DataFrame:
+    """``work`` with ``place``: 0, 1, 2, ... by name among the files of a kind in a chat, of any number."""
+    return densely(work, ["chat_id", "kind"], "file", "place")
+
+
 def missing_files(work: DataFrame, listing: DataFrame) -> DataFrame:
     """Files that messages refer to and the export does not have. Names are compared as they are."""
     return work.join(listing.select("chat_id", "file"), ["chat_id", "file"], "left_anti")
@@ -42,20 +46,6 @@ def with_artifact(work: DataFrame, artifacts: DataFrame) -> DataFrame:
     return find_text_artifacts(work, artifacts).select("chat_id", "file", "kind", "stem")
 
 
-def _converted_flags(work: DataFrame, converted: DataFrame) -> DataFrame:
-    """(chat_id, file, has_mp3, has_wav) under any candidate stem."""
-    by_stem = converted.groupBy("chat_id", "stem").agg(
-        F.bool_or(F.col("ext") == "mp3").alias("mp3"), F.bool_or(F.col("ext") == "wav").alias("wav")
-    )
-    matched = salted_left_join(
-        stem_lookups(work.where(F.col("kind") == "audio")), by_stem, ["chat_id", "stem"], row_id=F.col("file")
-    )
-    return matched.groupBy("chat_id", "file").agg(
-        F.coalesce(F.bool_or("mp3"), F.lit(False)).alias("has_mp3"),
-        F.coalesce(F.bool_or("wav"), F.lit(False)).alias("has_wav"),
-    )
-
-
 def media_plan(
     work: DataFrame,
     listing: DataFrame,
@@ -68,14 +58,8 @@ def media_plan(
     ``text_action``: missing | skip | recheck | create | null (nothing to do).
     ``wav_action``: skip | create | create_if_flagged | null. ``mp3_action``: skip | create | null.
     """
-    present = listing.select("chat_id", "file", F.lit(True).alias("present")).distinct()
-    found = with_artifact(work, artifacts)
-    df = (
-        work.join(present, ["chat_id", "file"], "left")
-        .join(found, ["chat_id", "file", "kind"], "left")
-        .join(_converted_flags(work, converted), ["chat_id", "file"], "left")
-        .withColumn("present", F.coalesce("present", F.lit(False)))
-    )
+    narrow = artifacts.select("chat_id", "kind", "stem", "rel_path")
+    df = matched_files(work, narrow, converted, listing).withColumn("stem", F.col("found.stem"))
     audio = F.col("kind") == "audio"
     done = F.col("stem").isNotNull() & F.lit(options.resume)
     active = F.when(audio, F.lit(options.transcribe)).otherwise(F.lit(options.ocr))

@@ -181,9 +181,11 @@ def _work(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store(media.work_list(inp.attachment_messages(spark, sf_dir)))
 
 
-@query(f"WITH {inp.PAGES_SQL} SELECT chat_id, file, kind FROM work")
+@query(
+    f"WITH {inp.PAGES_SQL} SELECT chat_id, file, kind, row_number() OVER (PARTITION BY chat_id, kind ORDER BY file) - 1 AS place FROM work"
+)
 def media_worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.work_list(inp.attachment_messages(spark, sf_dir))
+    return media.sorted_work(media.work_list(inp.attachment_messages(spark, sf_dir)))
 
 
 @query(
@@ -489,7 +491,7 @@ def media_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def month_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     messages = inp.order_messages(spark, sf_dir).select("chat_id", "msg_idx", "month")
-    return markdown.with_month_headings(messages)
+    return markdown.with_month_headings(messages, sparse=True)  # order numbers have gaps
 
 
 @query(f"WITH {inp.ORDERS_SQL} SELECT chat_id, month, count(*) AS n_messages FROM om GROUP BY ALL")

@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from chatweave.functions import fixed_values as fv
 from chatweave.operators.markdown import bullet
 from chatweave.operators.parse import ENRICHMENT_TYPE, MEDIA_TYPE
-from chatweave.operators.skew import salted_left_join
 from chatweave.plans.session import store
 from chatweave.sources.changes import ChangeTable
 
@@ -61,7 +60,7 @@ def locate_markers(messages: DataFrame, markers: DataFrame) -> DataFrame:
 
 def after_markers(messages: DataFrame, located: DataFrame) -> DataFrame:
     """Messages not written yet: those after their month's marker, or all of a month without one."""
-    joined = salted_left_join(messages, located, ["chat_id", "month"], row_id=F.col("msg_idx"))
+    joined = messages.join(located, ["chat_id", "month"], "left")
     return joined.where(F.col("marker_idx").isNull() | (F.col("msg_idx") > F.col("marker_idx"))).drop("marker_idx")
 
 
@@ -141,7 +140,7 @@ def month_markdown(spark: SparkSession, out_dir: str) -> DataFrame:
         f"{out_dir.rstrip('/')}/by-month"
     )
     first = rows.groupBy("chat_id", "month").agg(F.min(F.struct("batch", "msg_idx")).alias("_first"))
-    joined = salted_left_join(rows, first, ["chat_id", "month"], row_id=F.col("msg_idx"))
+    joined = rows.join(first, ["chat_id", "month"], "left")
     is_first = (F.col("_first.batch") == F.col("batch")) & (F.col("_first.msg_idx") == F.col("msg_idx"))
     heading = F.when(is_first, F.concat(F.lit("# "), F.col("month"), F.lit("\n")))
     return joined.select("chat_id", "month", "batch", "msg_idx", F.concat_ws("\n", heading, "md").alias("md"))

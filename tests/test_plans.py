@@ -7,12 +7,18 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from chatweave.operators.parse import parse_messages
+from chatweave.operators.enrich import enrich_messages
+from chatweave.operators.media import media_plan
+from chatweave.operators.parse import ENRICHMENT_TYPE, MEDIA_TYPE, MESSAGE_COLUMNS, parse_messages
 from chatweave.operators.quality import assess_quality
 from chatweave.operators.retry import retry_candidates
 from chatweave.sources.exports import export_roots
 
 
+TYPES = {"msg_idx": "bigint", "media": MEDIA_TYPE, "enrichment": ENRICHMENT_TYPE}
+MESSAGE_TYPES = {c: TYPES.get(c, "string") for c in MESSAGE_COLUMNS}
+
+
 @pytest.fixture()
 def large_plans(spark):
     plain = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
@@ -53,3 +59,25 @@ def test_quality_is_computed_once_per_row(spark, large_plans):
     docs = assess_quality(spark.createDataFrame([("k", 1, "t")], "k string, seq int, text string"))
     plan = large_plans(retry_candidates(docs, ["k"], "seq").select(F.size("before_issues")))
     assert "Filter" not in plan.split("ObjectHashAggregate")[-1].split("SortAggregate")[-1]
+
+
+def shuffles(plan: str) -> int:
+    return len(re.findall(r"(?<!Reused)Exchange (?:hash|range|Single|RoundRobin)", plan))
+
+
+def test_all_of_a_file_is_found_in_two_shuffles(spark, tmp_path, large_plans):
+    schemas = {
+        "work": "chat_id string, file string, kind string", "listing": "chat_id string, file string",
+        "artifacts": "chat_id string, kind string, stem string, rel_path string, text string",
+        "converted": "chat_id string, stem string, ext string, rel_path string",
+        "messages": ", ".join(f"`{n}` {t}" for n, t in MESSAGE_TYPES.items()),
+    }
+    tables = {}
+    for name, schema in schemas.items():
+        spark.createDataFrame([], schema).write.parquet(str(tmp_path / name))
+        tables[name] = spark.read.parquet(str(tmp_path / name))
+    plan = large_plans(media_plan(tables["work"], tables["listing"], tables["artifacts"], tables["converted"]))
+    assert shuffles(plan) == 2 and "Join" not in plan and "text:string" not in plan
+    # Distinct files, their stems, their facts, and the join: both of its sides, of which one lies right.
+    plan = large_plans(enrich_messages(tables["messages"], tables["artifacts"], tables["converted"]))
+    assert shuffles(plan) <= 4 and plan.count("FileScan") == 4

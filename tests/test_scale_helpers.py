@@ -1,4 +1,4 @@
-"""Blocks and salts change how work is spread, never the result."""
+"""Blocks change how work is spread, never the result."""
 
 from __future__ import annotations
 
@@ -7,8 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from chatweave.operators.blocks import previous_value, running_total
-from chatweave.operators.skew import salted_left_join
+from chatweave.operators.blocks import BLOCK, densely, previous_value, running_total, with_block
 
 
 @pytest.fixture(scope="module")
@@ -33,33 +32,14 @@ def test_running_total_and_previous_value(spark, rows, block_rows):
     assert sorted(map(tuple, both.select("k", "o", "v", "t", "p").collect()), key=str) == sorted(want, key=str)
 
 
-@pytest.mark.parametrize("hot_rows", [1, 100, 10**6])
-def test_salted_join(spark, hot_rows):
-    left = [("hot", i) for i in range(500)] + [("b", 500), ("gone", 501), (None, 502), (None, 503)]
-    right = [("hot", 1), ("b", 2), ("unused", 3)]
-    df = spark.createDataFrame(left, "k string, i bigint")
-    other = spark.createDataFrame(right, "k string, v int")
-    got = salted_left_join(df, other, ["k"], F.col("i"), hot_rows=hot_rows, salts=8)
-    assert sorted(map(tuple, got.select("k", "i", "v").collect()), key=lambda r: r[1]) == [
-        (k, i, dict(right).get(k)) for k, i in left
-    ]
-
-
-def test_hot_key_is_spread(spark):
-    """With broadcasts off, the rows of a hot key reach several tasks of the join."""
-    plain = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
-    old = {k: spark.conf.get(k) for k in plain}
-    for k, v in plain.items():
-        spark.conf.set(k, v)
-    try:
-        df = spark.range(20_000).select(
-            F.when(F.col("id") % 10 < 8, "hot").otherwise(F.col("id").cast("string")).alias("k"), "id"
-        )
-        other = spark.createDataFrame([("hot", 1)], "k string, v int")
-        joined = salted_left_join(df, other, ["k"], F.col("id"), hot_rows=1000)
-        sizes = joined.where("v = 1").groupBy(F.spark_partition_id()).count().collect()
-        assert sum(r["count"] for r in sizes) == 16_000
-        assert max(r["count"] for r in sizes) < 8_000
-    finally:
-        for k, v in old.items():
-            spark.conf.set(k, v)
+def test_dense_numbers_of_sparse_and_text_keys(spark):
+    """Numbers without gaps, whatever the order's type; blocks made by them are full."""
+    rows = [(k, f"name {i * 7919 % 1000:04d}", i * 1_000_003) for k in ("a", None) for i in range(500)]
+    df = spark.createDataFrame(rows, "k string, name string, o bigint").repartition(5)
+    everywhere = {(r.k, r.name): r.n for r in densely(df, [], "name", "n").collect()}
+    assert sorted(everywhere.values()) == list(range(1000))
+    assert [k[1] for k, _ in sorted(everywhere.items(), key=lambda x: x[1])] == sorted(r[1] for r in rows)
+    by_key = densely(df, ["k"], "o", "n")
+    assert {(r.k, r.o): r.n for r in by_key.collect()} == {(k, o): o // 1_000_003 for k, _, o in rows}
+    sizes = [r["count"] for r in with_block(by_key, "n", 100).groupBy("k", BLOCK).count().collect()]
+    assert sizes == [100] * 10
