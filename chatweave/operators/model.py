@@ -80,16 +80,24 @@ def apply_model(
     return items.mapInPandas(run, f"{key_types}, text string, error string{times}")
 
 
-def _stored(said: DataFrame, log: RunLog | None, kind: str) -> DataFrame:
-    """What models said, stored; the seconds they took are observed while it is written."""
-    if log is None:
-        return store(said)
+def _said(items: DataFrame, make_model: MakeModel, keys: Sequence[str], log: RunLog | None, kind: str, folder: str | None, **options) -> DataFrame:
+    """What models say of ``items``, stored; the seconds they take are observed while it is written.
+
+    With a ``folder`` a lost job goes on where it stopped (``streaming.model_runs``).
+    """
+    if folder is not None:
+        from chatweave.streaming.model_runs import apply_model_resumably  # it imports this module
+
+        said = apply_model_resumably(items, make_model, keys, folder, **options)
+    else:
+        said = apply_model(items, make_model, keys, timed=True, **options)
     said, observation = observed(said, seconds=F.sum("seconds"), init=F.sum("init_seconds"))
     out = store(said)
-    took = measured(observation)
-    log.add_seconds(kind, took["seconds"])
-    if kind != "image_ocr_seconds":
-        log.add_seconds("transcriber_init_seconds", took["init"])
+    if log is not None:
+        took = measured(observation)
+        log.add_seconds(kind, took["seconds"])
+        if kind != "image_ocr_seconds":
+            log.add_seconds("transcriber_init_seconds", took["init"])
     return out
 
 
@@ -113,21 +121,21 @@ def transcribe(
     tasks: int | None = None,
     supports_retry: bool = True,
     log: RunLog | None = None,
+    folder: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Run a model over ``items``, check the results, retry the flagged ones once.
 
     ``existing``: (item columns, text) already there from an earlier run; flagged ones are retried
     as well. Returns ``(artifacts, events)``: artifacts are (keys, text) to write, new or replaced;
     events are (keys, type, reason, issues, token_count). ``log`` gets the start and end of the retries
-    and the seconds that the model took.
+    and the seconds that the model took. In a ``folder`` of its own a lost run goes on where it stopped.
 
     Model results are stored before use: a model need not give the same text twice, and a lost
     executor must not make the retry decision differ from the text that is kept.
     """
     keys = list(keys)
-    first = _stored(
-        apply_model(items, make_model, keys, tasks=tasks, supports_retry=supports_retry, timed=True), log, "audio_transcribe_seconds"
-    )
+    options = {"tasks": tasks, "supports_retry": supports_retry}
+    first = _said(items, make_model, keys, log, "audio_transcribe_seconds", folder and f"{folder}/first", **options)
     made = first.where(F.col("error").isNull()).select(*keys, normalize_text(F.col("text")).alias("text"))
     checked = assess_quality(made).withColumn("source", F.lit("new"))
     if existing is not None:
@@ -139,11 +147,10 @@ def transcribe(
     if log is not None and n_flagged:
         log.event("audio_transcript_retry_start", count=n_flagged)
     inputs = items if existing is None else items.unionByName(existing.drop("text"))
-    again = apply_model(
-        inputs.join(flagged.select(*keys), keys, "left_semi"), make_model, keys, quality_retry=True, tasks=tasks,
-        supports_retry=supports_retry, timed=True,
+    again = _said(
+        inputs.join(flagged.select(*keys), keys, "left_semi"), make_model, keys, log, "audio_transcript_retry_seconds",
+        folder and f"{folder}/again", quality_retry=True, **options,
     )
-    again = _stored(again, log, "audio_transcript_retry_seconds")
     retried = assess_quality(again.select(*keys, normalize_text(F.col("text")).alias("retry_text"), "error"), "retry_text")
     if log is not None and n_flagged:
         log.event("audio_transcript_retry_done", count=n_flagged)
@@ -187,18 +194,19 @@ def read_images(
     edge_threshold: float = fv.OCR_EDGE_THRESHOLD,
     tasks: int | None = None,
     log: RunLog | None = None,
+    folder: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """OCR of ``images`` (chat_id, file, edge_hist, any more columns): those present and without a text.
 
     Images that the gate keeps count towards the cap of their chat, by name; the model reads the
     first ``cap`` of them. Returns ``(artifacts, events)``: artifacts are (chat_id, kind, stem,
-    rel_path, text), events (chat_id, file, type, reason), one per image.
+    rel_path, text), events (chat_id, file, type, reason), one per image. In a ``folder`` of its own a lost
+    run goes on where it stopped.
     """
     keys = ["chat_id", "file"]
     gated = store(likely_text(images, mode, edge_threshold))
     dealt = store(cap_per_chat(gated.where("keep").drop("keep"), cap))
-    said = apply_model(dealt.where("ocr_action = 'create'").drop("ocr_action"), make_model, keys, tasks=tasks, timed=True)
-    said = _stored(said, log, "image_ocr_seconds")
+    said = _said(dealt.where("ocr_action = 'create'").drop("ocr_action"), make_model, keys, log, "image_ocr_seconds", folder, tasks=tasks)
     stem = artifact_stem(F.col("file"))
     artifacts = said.where("error IS NULL").select(
         "chat_id", F.lit("ocr").alias("kind"), stem.alias("stem"), F.concat(F.lit("ocr/"), stem, F.lit(".txt")).alias("rel_path"),

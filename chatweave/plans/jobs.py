@@ -201,6 +201,7 @@ def media_job(
     """
     spark = messages.sparkSession
     known = store(artifact_table(spark, out_dir).read(below=version))
+    runs = f"{out_dir.rstrip('/')}/model-runs/{version:06d}"  # the same version again goes on with its calls
     options = media.MediaOptions(transcribe=speech is not None, ocr=ocr is not None, resume=resume)
     plan = store(media.media_plan(store(media.work_list(messages)), listing, known, converted, options))
     none = F.lit(None).cast("string").alias("reason")
@@ -214,7 +215,7 @@ def media_job(
         existing = audio.where("text_action = 'recheck'").join(old, ["chat_id", "stem"]).select(*keys, "stem", F.coalesce("text", F.lit("")).alias("text"))
         stem = F.coalesce("stem", artifact_stem(F.col("file"))).alias("stem")
         todo = audio.where("text_action = 'create'").select(*keys, stem)
-        made, said = model.transcribe(todo, speech, [*keys, "stem"], existing=existing, tasks=tasks, log=log)
+        made, said = model.transcribe(todo, speech, [*keys, "stem"], existing=existing, tasks=tasks, log=log, folder=f"{runs}/speech")
         path = F.concat(F.lit("transcripts/"), "stem", F.lit(".txt")).alias("rel_path")
         new = new.unionByName(made.select("chat_id", F.lit("transcript").alias("kind"), "stem", path, "text"))
         events = events.unionByName(said.select(*keys, "type", "reason"))
@@ -224,7 +225,7 @@ def media_job(
             images = images.withColumn("edge_hist", F.lit(None).cast("array<long>"))
         else:
             images = images.join(edge_hists.select(*keys, "edge_hist"), keys, "left")
-        read, said = model.read_images(images, ocr, ocr_cap, tasks=tasks, log=log)
+        read, said = model.read_images(images, ocr, ocr_cap, tasks=tasks, log=log, folder=f"{runs}/ocr")
         new = new.unionByName(read)
         events = events.unionByName(said)
     if log is not None:
