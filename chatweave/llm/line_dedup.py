@@ -164,13 +164,20 @@ def without_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     maybe = F.col("id").isNotNull() & may_be_among(F.xxhash64("id", "t"), runs.select(key.alias("key")))
     marked = rows.withColumn("maybe", maybe)
     cut = marked.where("maybe").join(runs, (F.col("id") == F.col("doc_id")) & (rows["t"] == runs["t"]), "left").select("row", "runs")
-    whole = marked.where("NOT maybe").select("row", F.lit(None).cast(runs.schema["runs"].dataType).alias("runs"))
-    result = cut.unionByName(whole).select("row", _cut(F.col("row.text"), F.col("runs")).alias("cut"))
+    whole = marked.where("NOT maybe").select(
+        "row", F.struct(F.col("row.text").alias("text"), _n_lines(F.col("row.text")).alias("n_lines"), F.lit(0).cast("long").alias("n_deleted")).alias("cut")
+    )
+    result = cut.select("row", _cut(F.col("row.text"), F.col("runs")).alias("cut")).unionByName(whole)
     return result.select(
         *[F.col("cut.text").alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in names], "cut.n_lines", "cut.n_deleted"
     )
 
 
+def _n_lines(text: Column) -> Column:
+    """Lines that are not blank: places where a line begins and, after white space, something is there."""
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"(?:^|\n)[ \t\r\x0b\x0c]*+[^ \t\r\x0b\x0c\n]")).cast("long")
+
+
 def _cut(text, runs):
     @F.pandas_udf("text string, n_lines long, n_deleted long")
     def cut(texts: pd.Series, deleted: pd.Series) -> pd.DataFrame:
