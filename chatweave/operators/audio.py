@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chatweave.functions import fixed_values as fv
 from chatweave.functions.text import strip
+from chatweave.operators.blocks import densely
 
 
 def check_audio(audio_info: DataFrame) -> DataFrame:
@@ -56,3 +57,21 @@ def join_chunks(chunks: DataFrame, keys: list[str], idx: str = "chunk_idx", text
         )
         .select(*keys, F.array_join(F.col("_parts.t"), " ").alias(text))
     )
+
+
+def clip_rows(chunks: DataFrame, key: str, idx: str = "chunk_idx", text: str = "text") -> DataFrame:
+    """Writer rows (``operators.parts.WRITER_COLUMNS``) of ``join_chunks``: a clip of any length, its chunks as ordered rows.
+
+    ``key`` takes the place of the chat: ``sources.chatfiles`` then writes one line per clip and its index.
+    """
+    spoken = chunks.select(F.col(key).alias("chat_id"), F.col(idx).alias("_idx"), strip(F.col(text)).alias("_text")).where("_text <> ''")
+    zero, none = F.lit(0).cast("long"), F.lit(None).cast("string")
+    heads = chunks.select(F.col(key).alias("chat_id")).distinct().select(
+        "chat_id", zero.alias("msg_idx"), F.lit(-1).cast("long").alias("part"), F.lit("").alias("open"), F.lit("\n").alias("close"),
+        F.lit(True).alias("takes_text"), none.alias("text"),
+    )
+    parts = densely(spoken, ["chat_id"], "_idx", "part").select(
+        "chat_id", zero.alias("msg_idx"), F.col("part").cast("long").alias("part"), none.alias("open"), none.alias("close"),
+        F.lit(None).cast("boolean").alias("takes_text"), F.concat(F.when(F.col("part") > 0, " ").otherwise(""), F.col("_text")).alias("text"),
+    )
+    return heads.unionByName(parts)

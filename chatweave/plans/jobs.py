@@ -14,7 +14,7 @@ from chatweave.operators import media, model
 from chatweave.operators.enrich import enrich_messages
 from chatweave.operators.parse import parse_messages
 from chatweave.operators.parts import json_rows, markdown_rows, parse_parts
-from chatweave.operators.report import chat_report, report_text
+from chatweave.operators.report import chat_summary, participants, report_rows
 from chatweave.functions.naming import artifact_stem
 from chatweave.plans.runlog import RunLog, measured, observed
 from chatweave.plans.session import store
@@ -99,9 +99,9 @@ def publish_parts(spark: SparkSession, folder: str, out_dir: str, options: JobOp
     return stored
 
 
-def write_reports(texts: DataFrame, folder: str) -> None:
-    """Report texts (chat_id, report), one folder per chat, replaced as a whole."""
-    texts.write.mode("overwrite").partitionBy("chat_id").text(folder)
+def write_reports(rows: DataFrame, folder: str) -> None:
+    """Reports (``operators.report.report_rows``) of many chats in each file, with an index, replaced as a whole."""
+    write_chat_files(rows, folder, "plain")
 
 
 def publish(
@@ -121,10 +121,10 @@ def publish(
     if log is not None:
         log.event("md_written", out="transcript")
     events = append_months(stored, out_dir, batch, options.markdown_chars)
-    report = chat_report(stored)
+    report = chat_summary(stored)
     if log is None:
-        texts = report_text(report, counters=["n_messages"], **_report_header(options, out_dir))
-        write_reports(texts, f"{out_dir}/report")
+        rows = report_rows(report, participants(stored), counters=["n_messages"], **_report_header(options, out_dir))
+        write_reports(rows, f"{out_dir}/report")
     return report, events
 
 
@@ -149,10 +149,11 @@ def write_run_reports(report: DataFrame, log: RunLog, out_dir: str, options: Job
     counted = counted.withColumns({n: F.lit(f"{s:.3f}") for n, s in log.seconds.items()})
     header = _report_header(options, out_dir, resume)
     header["outputs"]["manifest"] = log.folder
-    texts = report_text(
-        counted, counters=["n_messages", *names, *log.seconds], workers={"audio_workers": workers, "ocr_workers": workers}, **header
+    people = participants(report.sparkSession.read.parquet(f"{out_dir}/messages"))
+    rows = report_rows(
+        counted, people, counters=["n_messages", *names, *log.seconds], workers={"audio_workers": workers, "ocr_workers": workers}, **header
     )
-    write_reports(texts, f"{out_dir}/report")
+    write_reports(rows, f"{out_dir}/report")
 
 
 def artifact_table(spark: SparkSession, out_dir: str) -> ChangeTable:

@@ -23,7 +23,7 @@ from chatweave.functions import fixed_values as fv
 from chatweave.plans.session import ship_package
 from chatweave.sources.lines import open_system, plain_folder, split_lines, spread
 
-SUFFIXES = {"json": "jsonl", "markdown": "md"}
+SUFFIXES = {"json": "jsonl", "markdown": "md", "plain": "txt"}
 COMMIT = "_committed-"
 INDEX_END = ".index"
 
@@ -35,10 +35,12 @@ class MessageText:
         self.style, self.n, self.begun, self.held = style, 0, False, ""
 
     def add(self, text: str) -> Iterator[str]:
-        """What can be written of the next part: for Markdown, white space waits until more text follows."""
+        """What can be written of the next part: plain text as it is; in Markdown white space waits until more text follows."""
         if self.style == "json":
             yield "\\n" if self.n else '"'
             yield json.dumps(text, ensure_ascii=False)[1:-1]
+        elif self.style == "plain":
+            yield text
         else:
             said = ("\n" if self.n else "") + text
             if not self.begun:
@@ -52,7 +54,7 @@ class MessageText:
         self.n += 1
 
     def end(self) -> str:
-        return "" if self.style == "markdown" else '"' if self.n else "null"
+        return "" if self.style != "json" else '"' if self.n else "null"
 
 
 def pieces(rows: Iterable[Row], style: str) -> Iterator[tuple[str | None, str]]:
@@ -131,7 +133,7 @@ class ChatFilesWriter(DataSourceWriter):
 
 
 class ChatFiles(DataSource):
-    """``df.write.format("chat_files").mode(...).option("style", "json" or "markdown").save(folder)``."""
+    """``df.write.format("chat_files").mode(...).option("style", "json", "markdown" or "plain").save(folder)``."""
 
     @classmethod
     def name(cls) -> str:

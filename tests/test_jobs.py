@@ -12,7 +12,7 @@ from chatweave.operators.parse import parse_messages
 from chatweave.operators.quality import assess_quality
 from chatweave.plans.jobs import media_job, publish, upsert_artifacts, write_conversations
 from chatweave.plans.session import ensure_checkpoint_dir
-from chatweave.sources.chatfiles import chat_index, read_chat_files
+from chatweave.sources.chatfiles import chat_index, read_chat_files, write_chat_files
 from chatweave.streaming.incremental import append_months, month_markdown
 
 GOOD = "This is a good text with more than eight words in it, all of them different."
@@ -111,8 +111,8 @@ def test_publish(lines_of, tmp_path, spark):
     text = "\n".join(r.line for r in found.collect())
     assert text.startswith("# WhatsApp Transcript\n\n\n## 2024-03\n\n- **2024-03-11 08:15** — **A**: bread\n- **2024-03-12")
     assert "\n\n## 2024-04\n\n- " in text
-    (report_file,) = [n for n in os.listdir(tmp_path / "report" / "chat_id=d") if n.startswith("part-")]
-    lines = (tmp_path / "report" / "chat_id=d" / report_file).read_text().splitlines()
+    found = read_chat_files(chat_index(spark, str(tmp_path / "report")).where("chat_id = 'd'")).orderBy("path", "line_no")
+    lines = [r.line for r in found.collect()]
     assert "- Participants detected: ç" in lines and "- n_messages: 1" in lines
     write_conversations(spark.read.parquet(str(tmp_path / "messages")).limit(1), str(tmp_path / "conversation"))
     assert spark.read.text(str(tmp_path / "conversation")).count() == 1
@@ -151,6 +151,29 @@ def test_audio(spark):
     assert {r.stem: r.text for r in audio.join_chunks(texts, ["stem"]).collect()} == {"a": "y z", "b": ""}
 
 
+def test_long_lists_are_rows_until_they_are_written(spark, lines_of, tmp_path, capsys):
+    """Reports and clips written from rows are those composed in a row; no plan gathers a list."""
+    text = "\n".join(f"[05/01/2025, 10:00] Name{i % 50}: a" for i in range(120))
+    messages = parse_messages(lines_of({"c": text, "d": "[05/01/2025, 10:00] just so"}), tz_offset="+00:00")
+    header = dict(
+        chat_file=F.col("chat_id"), export_folder=F.lit("x"), out_dir="o", resume=False, tz="+00:00", outputs={"a": "b"},
+        counters=["n_messages"], workers={"audio_workers": 2}, me=["Name1"],
+    )
+    want = {r.chat_id: r.report for r in report.report_text(report.chat_report(messages), **header).collect()}
+    rows = report.report_rows(report.chat_summary(messages), report.participants(messages), **header)
+    chunks = spark.createDataFrame([("a", 10, " z "), ("a", 2, "y"), ("a", 3, " "), ("b", 0, " ")], "stem string, chunk_idx int, text string")
+    clips = audio.clip_rows(chunks, "stem")
+    for df, folder in ((rows, "report"), (clips, "clips")):
+        df.explain()
+        assert "collect_list" not in capsys.readouterr().out
+        write_chat_files(df, str(tmp_path / folder), "plain")
+    got: dict[str, list[str]] = {}
+    for r in read_chat_files(chat_index(spark, str(tmp_path / "report"))).orderBy("path", "line_no").collect():
+        got.setdefault(r.chat_id, []).append(r.line)
+    assert {c: "\n".join(x) for c, x in got.items()} == want and ", ".join(sorted({f"Name{i}" for i in range(50)})) in want["c"]
+    assert {r.chat_id: r.line for r in read_chat_files(chat_index(spark, str(tmp_path / "clips"))).collect()} == {"a": "y z", "b": ""}
+
+
 def decide(spark, before, after, error=None):
     first = assess_quality(spark.createDataFrame([("f", 1, before)], "k string, seq int, text string"))
     again = assess_quality(

@@ -12,6 +12,7 @@ from chatweave.plans.jobs import JobOptions, MediaInputs, artifact_table, run_jo
 from chatweave.plans.runlog import RunLog, measured, observed
 from chatweave.plans.session import folder_names
 from chatweave.sources.changes import ChangeTable
+from chatweave.sources.chatfiles import chat_index, read_chat_files
 from chatweave.sources.manifest import read_events
 
 GOOD = "A calm text of more than eight words, and every one of them is new here."
@@ -101,11 +102,9 @@ def test_run_job_logs_itself(spark, exports):
 
 def test_reports_hold_the_run(spark, exports):
     job(spark, exports, "r1", 1, exports)
-    texts = {}
-    for chat in ("north", "south"):
-        folder = exports / "out" / "report" / f"chat_id={chat}"
-        (name,) = [n for n in os.listdir(folder) if n.startswith("part-")]
-        texts[chat] = (folder / name).read_text().splitlines()
+    texts: dict[str, list[str]] = {}
+    for r in read_chat_files(chat_index(spark, str(exports / "out" / "report"))).orderBy("path", "line_no").collect():
+        texts.setdefault(r.chat_id, []).append(r.line)
     assert "- Workers: `{'audio_workers': 2, 'ocr_workers': 2}`" in texts["north"]
     assert {"- n_messages: 5", "- missing_files: 1", "- image_ocr_created: 1", "- image_ocr_deferred: 1"} <= set(texts["north"])
     assert {"- n_messages: 4", "- missing_files: 0", "- audio_transcript_retry_attempted: 1"} <= set(texts["south"])
