@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from chatweave.operators.enrich import enrich_messages
 from chatweave.operators.media import media_plan
+from chatweave.operators.model import transcribe
 from chatweave.operators.parse import ENRICHMENT_TYPE, MEDIA_TYPE, MESSAGE_COLUMNS, parse_messages
 from chatweave.operators.quality import assess_quality
 from chatweave.operators.retry import retry_candidates
@@ -61,6 +62,21 @@ def test_quality_is_computed_once_per_row(spark, large_plans):
     assert "Filter" not in plan.split("ObjectHashAggregate")[-1].split("SortAggregate")[-1]
 
 
+def test_events_of_transcripts_read_what_was_decided(spark, large_plans):
+    """No event kind assesses a text again, and the log's tables hold no first texts."""
+
+    def better_again():
+        return lambda row, quality_retry: "a text that is fine" if quality_retry else row["text"]
+
+    items = spark.createDataFrame([(1, "bad \ufffd"), (2, "good")], "doc_id int, text string")
+    _, log = transcribe(items, better_again, ["doc_id"])
+    plan = large_plans(log.groupBy("type").count())
+    assert "regexp" not in plan and "Python" not in plan and "Join" not in plan
+    assert {(r.doc_id, r.type) for r in log.collect()} == {
+        (1, "audio_transcript_created"), (2, "audio_transcript_created"), (1, "audio_transcript_quality_flagged"), (1, "audio_transcript_retried"),
+    }
+
+
 def shuffles(plan: str) -> int:
     return len(re.findall(r"(?<!Reused)Exchange (?:hash|range|Single|RoundRobin)", plan))
 

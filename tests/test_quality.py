@@ -63,6 +63,16 @@ def test_normalize(spark):
     assert got == ["one two\nthree", "a\n\nb c", "x", "a\x7fb", ""]
 
 
+def test_normalized_text_stays_as_it_is(spark):
+    rng = random.Random(1)
+    texts = ["".join(rng.choices("a\u00e9  \t\n\r\x02\x0b\u200b\ufeff\u00a0", k=rng.randrange(30))) for _ in range(300)]
+    dropped = {ord("\r"): "\n", 0xFEFF: None, 0x200B: None} | {c: None for c in range(32) if chr(c) not in "\t\n\r"}
+    want = [re.sub(" *\n *", "\n", re.sub(r"[ \t]+", " ", t.translate(dropped))).strip() for t in texts]
+    once = spark.createDataFrame(list(enumerate(texts)), "i int, t string").withColumn("n", normalize_text(F.col("t")))
+    got = once.select("i", "n", normalize_text(F.col("n")).alias("again")).orderBy("i").collect()
+    assert [r.n for r in got] == want and [r.again for r in got] == want
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_measures_match_plain_counting(spark, seed):
     rng = random.Random(seed)
