@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatweave.llm.common import may_be_among, release, ship_package, store
+from chatweave.llm.common import frugal, may_be_among, release, ship_package, store
 
 #: Words of the shortest run that counts as a passage.
 MIN_WORDS = 50
@@ -75,7 +75,7 @@ def numbered_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                         rows = []
             yield pd.DataFrame(rows, columns=names)
 
-    return docs.where("doc_id IS NOT NULL").select("doc_id", _text_hash().alias("t"), "text").mapInPandas(run, LINE_SCHEMA)
+    return docs.where("doc_id IS NOT NULL").select("doc_id", _text_hash().alias("t"), "text").mapInPandas(frugal(run), LINE_SCHEMA)
 
 
 def _ranked(keyed: DataFrame, keys: list[str]) -> DataFrame:

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatweave.llm.common import components, may_be_among, mix, shingles, ship_package, store, word_hashes
+from chatweave.llm.common import components, frugal, may_be_among, mix, shingles, ship_package, store, word_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -131,7 +131,7 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, k: int = S
             frame = pd.DataFrame(out, columns=["doc_id", "text_md5", "h1", "h2", "bands", "sketch"])
             yield frame.astype({"h1": "Int64", "h2": "Int64"})
 
-    return docs.select("doc_id", "text").mapInPandas(run, SIGNATURE_SCHEMA)
+    return docs.select("doc_id", "text").mapInPandas(frugal(run), SIGNATURE_SCHEMA)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int = SHINGLE) -> DataFrame:
@@ -222,7 +222,7 @@ def links_across(
         if left is not None and len(left):
             yield emit(left, np.array([len(left)]))
 
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, "a long, b long")
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(frugal(run), "a long, b long")
 
 
 def links(buckets: DataFrame, sketches: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

@@ -16,13 +16,14 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chatweave.llm.common import ship_package, store
+from chatweave.llm.common import frugal, give_back, ship_package, store
 
 CAPACITY = 2048
 END_ID = 0
@@ -45,7 +46,8 @@ class ByteTokenizer:
     The vocabulary is the named ``tokenizers`` file. Where the same vocabulary lies beside it as
     ranks (``.tiktoken``), that library encodes with it, four times faster and with equal ids;
     texts that hold an added token (``<|endoftext|>``) or runs of white space too long for it, and
-    vocabularies without ranks, go through ``tokenizers`` as the file sets it up.
+    vocabularies without ranks, go through ``tokenizers`` as the file sets it up. That one is not
+    kept until such a text comes: a worker holds one form of the vocabulary, not two.
     """
 
     _loaded: dict[str, ByteTokenizer] = {}
@@ -59,20 +61,25 @@ class ByteTokenizer:
         return cls._loaded[path]
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
-        self._plain = Tokenizer.from_file(path)
+        self._path, self._fast = path, None
         self._added = [token.content for token in self._plain.get_added_tokens_decoder().values()]
-        self._fast = None
         ranks = path.removesuffix(".json") + ".tiktoken"
         if os.path.exists(ranks):
             import public_tokenizers
             import tiktoken
 
+            del self._plain
+            give_back()
             with open(ranks, "rb") as lines:
                 table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
             self._fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
 
+    @cached_property
+    def _plain(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self._path)
+
     def encode(self, text: str) -> bytes:
         """The ids of ``text`` with no special tokens put around it, four bytes each."""
         if self._fast is None or any(token in text for token in self._added) or self.LONGEST_RUN.search(text):
@@ -104,7 +111,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY)
                     rows.append((doc, i, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)])))
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
 
-    return docs.select("doc_id", "text").mapInPandas(run, PIECE_SCHEMA)
+    return docs.select("doc_id", "text").mapInPandas(frugal(run), PIECE_SCHEMA)
 
 
 # --- plan -------------------------------------------------------------------------------------
@@ -298,5 +305,5 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Data
             yield batch[names].assign(doc_id=batch["doc_id"].astype("Int64"), sequence_id=sequence, offset=offset)
 
     return numbered(pieces, max(1, int(histogram["n"].sum()))).select(*names, "number").mapInPandas(
-        run, f"{PIECE_SCHEMA}, sequence_id long, offset long"
+        frugal(run), f"{PIECE_SCHEMA}, sequence_id long, offset long"
     )

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatweave.llm.common import fold, release, ship_package, store, word_hashes
+from chatweave.llm.common import fold, frugal, release, ship_package, store, word_hashes
 from chatweave.llm.fitting import Adam, one_label, sampled_ids, sigmoid
 
 #: Documented bounds of the training sample, and words in the model.
@@ -105,7 +105,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
     rows = store(
         docs.join(F.broadcast(chosen), "doc_id")  # at most MOST_TOXIC + MOST_UNLABELLED ids
         .select("toxic", "text")
-        .mapInPandas(distinct_words, "toxic int, words array<long>")
+        .mapInPandas(frugal(distinct_words), "toxic int, words array<long>")
     )
     n_toxic, n_rows = rows.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
     if not n_toxic or n_toxic == n_rows:

@@ -10,7 +10,7 @@ import pytest
 
 pytest.importorskip("chatweave.llm")
 
-from chatweave.llm import cap_filters, chat_format, line_dedup, lm, media, minhash, mixing, packing, quality_model, toxicity  # noqa: E402
+from chatweave.llm import cap_filters, chat_format, common, line_dedup, lm, media, minhash, mixing, packing, quality_model, toxicity  # noqa: E402
 from chatweave.llm.common import components, shingles, word_hashes  # noqa: E402
 from chatweave.llm.queries import REGISTRY, tokenizer_path  # noqa: E402
 from tests.oracle import connect, differences  # noqa: E402
@@ -345,3 +345,23 @@ def test_token_ids_are_those_of_a_fresh_tokenizer():
     for text in ("<|endoftext|>", "one <|endoftext|> two<|endoftext|>", "<|endoftext|", "plain text", " " * 5000 + "<|endoftext|>"):
         assert np.frombuffer(ours.encode(text), "<u4").tolist() == fresh.encode(text, add_special_tokens=False).ids
     assert 50256 in np.frombuffer(ours.encode("a<|endoftext|>b"), "<u4")
+
+
+def test_a_worker_keeps_one_form_of_the_vocabulary(monkeypatch):
+    monkeypatch.setattr(packing.ByteTokenizer, "_loaded", {})
+    tokenizer = packing.ByteTokenizer.load(tokenizer_path())
+    tokenizer.encode("plain text")
+    assert tokenizer._fast is None or "_plain" not in vars(tokenizer)
+    assert 50256 in np.frombuffer(tokenizer.encode("a<|endoftext|>b"), "<u4")  # loaded when it is needed
+    assert "_plain" in vars(tokenizer)
+
+
+def test_tasks_give_memory_back(monkeypatch):
+    done = []
+    monkeypatch.setattr(common, "give_back", lambda: done.append(1))
+    whole = common.frugal(lambda batches: (b + 1 for b in batches))
+    assert list(whole(iter([1, 2]))) == [2, 3] and done == [1]
+    stopped = whole(iter([1, 2]))
+    assert next(stopped) == 2
+    stopped.close()
+    assert done == [1, 1]
