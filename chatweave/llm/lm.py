@@ -173,78 +173,117 @@ def gru_step(p: dict[str, np.ndarray], h: np.ndarray, unit: np.ndarray) -> tuple
     return n + z * (h - n), (h, z, r, n, u[:, 2 * HIDDEN :])
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+def _softmax(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(natural logs, shares) of each row; ``x`` is overwritten."""
+    x -= x.max(1, keepdims=True)
+    shares = np.exp(x)
+    total = shares.sum(1, keepdims=True)
+    x -= np.log(total)
+    shares /= total
+    return x, shares
 
 
 def log_probabilities(p: dict[str, np.ndarray], h: np.ndarray, unit: np.ndarray, grads: dict[str, np.ndarray] | None = None):
     """Natural log probability of each unit after state ``h``; with ``grads`` (filled) also the slope at ``h``
-    of minus their mean."""
-    k, s = unit // SLOTS, unit % SLOTS
+    of minus their mean.
+
+    Rows are sorted by class, so that a class costs a product or two and everything else is done for all rows at once.
+    """
+    order = np.argsort(unit // SLOTS, kind="stable")
+    h, k, s = h[order], unit[order] // SLOTS, unit[order] % SLOTS
     rows = np.arange(len(unit))
-    by_class = _log_softmax(h @ p["C"] + p["bc"])
-    out = by_class[rows, k]
-    dh = None
-    if grads is not None:
-        d = np.exp(by_class)
-        d[rows, k] -= 1
-        d /= len(unit)
-        grads["C"], grads["bc"] = h.T @ d, d.sum(0)
-        grads["S"], grads["bs"] = np.zeros_like(p["S"]), np.zeros_like(p["bs"])
-        dh = d @ p["C"].T
-    order = np.argsort(k, kind="stable")
-    cuts = np.searchsorted(k[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
-        at = order[cuts[c] : cuts[c + 1]]
-        if not len(at):
-            continue
-        slots = _log_softmax(h[at] @ p["S"][c] + p["bs"][c])
-        mine = np.arange(len(at))
-        out[at] += slots[mine, s[at]]
-        if grads is not None:
-            d = np.exp(slots)
-            d[mine, s[at]] -= 1
-            d /= len(unit)
-            grads["S"][c], grads["bs"][c] = h[at].T @ d, d.sum(0)
-            dh[at] += d @ p["S"][c].T
-    return (out, dh) if grads is not None else out
+    cuts = np.searchsorted(k, np.arange(CLASSES + 1))
+    there = np.flatnonzero(np.diff(cuts))
+    spans = [(c, slice(cuts[c], cuts[c + 1])) for c in there]
+    by_class, class_shares = _softmax(h @ p["C"] + p["bc"])
+    in_class = p["bs"][k]
+    for c, at in spans:
+        in_class[at] += h[at] @ p["S"][c]
+    slots, slot_shares = _softmax(in_class)
+    out = np.empty(len(unit), h.dtype)
+    out[order] = by_class[rows, k] + slots[rows, s]
+    if grads is None:
+        return out
+    d = class_shares
+    d[rows, k] -= 1
+    d /= len(unit)
+    grads["C"], grads["bc"] = h.T @ d, d.sum(0)
+    dh = d @ p["C"].T
+    d = slot_shares
+    d[rows, s] -= 1
+    d /= len(unit)
+    grads["S"], grads["bs"] = np.zeros_like(p["S"]), np.zeros_like(p["bs"])
+    if len(there):
+        grads["bs"][there] = np.add.reduceat(d, cuts[there])
+    for c, at in spans:
+        grads["S"][c] = h[at].T @ d[at]
+        dh[at] += d[at] @ p["S"][c].T
+    slope = np.empty_like(dh)
+    slope[order] = dh
+    return out, slope
 
 
 def window_grads(p: dict[str, np.ndarray], h: np.ndarray, units: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """Slopes of the mean loss over one window (steps x lanes, -1: no token) and the state after it."""
-    states, steps = [], []
-    for unit in units:
-        states.append(h)
-        new, kept = gru_step(p, h, np.maximum(unit, 0))
-        steps.append(kept)
-        h = np.where(unit[:, None] >= 0, new, h)
-    real = units.ravel() >= 0
-    flat = np.concatenate(states)[real]
+    """Slopes of the mean loss over one window (steps x lanes, -1: no token) and the state after it.
+
+    What does not depend on the step before is computed for the whole window at once.
+    """
+    present = units >= 0
+    full = present.all(1)
+    shape = (*units.shape, HIDDEN)
+    x = p["X"][np.maximum(units, 0)]
+    states, gates, news, uns = np.empty(shape, np.float32), np.empty((*units.shape, 2 * HIDDEN), np.float32), np.empty(shape, np.float32), np.empty(shape, np.float32)
+    for t in range(len(units)):
+        states[t] = h
+        u = h @ p["U"]
+        g = gates[t]
+        np.add(x[t, :, : 2 * HIDDEN], u[:, : 2 * HIDDEN], out=g)
+        np.negative(g, out=g)
+        np.exp(g, out=g)
+        g += 1
+        np.reciprocal(g, out=g)
+        uns[t] = u[:, 2 * HIDDEN :]
+        n = news[t]
+        np.multiply(g[:, HIDDEN:], uns[t], out=n)
+        n += x[t, :, 2 * HIDDEN :]
+        np.tanh(n, out=n)
+        new = h - n
+        new *= g[:, :HIDDEN]
+        new += n
+        h = new if full[t] else np.where(present[t][:, None], new, h)
+    z, r = gates[..., :HIDDEN], gates[..., HIDDEN:]
+    real = present.ravel()
     grads: dict[str, np.ndarray] = {}
-    _, dflat = log_probabilities(p, flat, units.ravel()[real], grads)
+    _, dflat = log_probabilities(p, states.reshape(-1, HIDDEN)[real], units.ravel()[real], grads)
     dout = np.zeros((len(real), HIDDEN), np.float32)
     dout[real] = dflat
-    dout = dout.reshape(*units.shape, HIDDEN)
-    inputs, products = [], []
+    dout = dout.reshape(shape)
+    by_new, by_z, by_r = (1 - z) * (1 - news * news), (states - news) * z * (1 - z), uns * r * (1 - r)
+    inputs, products = np.empty(x.shape, np.float32), np.empty(x.shape, np.float32)
+    back = np.ascontiguousarray(p["U"].T)
     dh = np.zeros_like(h)
     for t in range(len(units) - 1, -1, -1):
-        before, z, r, n, un = steps[t]
-        moved = (units[t] >= 0)[:, None]
-        d = np.where(moved, dh, 0)
-        dn = d * (1 - z) * (1 - n * n)
-        dz, dr = d * (before - n) * z * (1 - z), dn * un * r * (1 - r)
-        du = np.concatenate([dz, dr, dn * r], 1)
-        inputs.append(np.concatenate([dz, dr, dn], 1))
-        products.append(du)
-        dh = np.where(moved, d * z + du @ p["U"].T, dh) + dout[t]
-    grads["U"] = np.concatenate(states[::-1]).T @ np.concatenate(products)
+        d = dh if full[t] else np.where(present[t][:, None], dh, 0)
+        some, du = inputs[t], products[t]
+        dn = some[:, 2 * HIDDEN :]
+        np.multiply(d, by_new[t], out=dn)
+        np.multiply(d, by_z[t], out=du[:, :HIDDEN])
+        np.multiply(dn, by_r[t], out=du[:, HIDDEN : 2 * HIDDEN])
+        np.multiply(dn, r[t], out=du[:, 2 * HIDDEN :])
+        before = du @ back
+        before += d * z[t]
+        if not full[t]:
+            before = np.where(present[t][:, None], before, dh)
+        before += dout[t]
+        dh = before
+    inputs[..., : 2 * HIDDEN] = products[..., : 2 * HIDDEN]
+    grads["U"] = states.reshape(-1, HIDDEN).T @ products.reshape(-1, 3 * HIDDEN)
     # Slopes of the tokens' rows, summed over equal tokens of the window.
-    tokens = np.maximum(units[::-1].ravel(), 0)
+    tokens = np.maximum(units, 0).ravel()
     order = np.argsort(tokens, kind="stable")
     firsts = np.flatnonzero(np.diff(tokens[order], prepend=-1))
     grads["X"] = np.zeros_like(p["X"])
-    grads["X"][tokens[order[firsts]]] = np.add.reduceat(np.concatenate(inputs)[order], firsts)
+    grads["X"][tokens[order[firsts]]] = np.add.reduceat(inputs.reshape(-1, 3 * HIDDEN)[order], firsts)
     return grads, h
 
 
@@ -270,8 +309,8 @@ def train_on(p: dict[str, np.ndarray], runs: list[np.ndarray], rate: float) -> d
             units[: len(some), lane] = some
             lanes[lane] = (run, at + WINDOW)
         grads, h = window_grads(adam.params, h, units)
-        norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
-        adam.step({k: (g / max(1.0, norm)).astype(np.float32) for k, g in grads.items()})
+        norm = np.sqrt(sum(float(np.vdot(g, g)) for g in grads.values()))
+        adam.step({k: (g / norm).astype(np.float32) for k, g in grads.items()} if norm > 1 else grads)
     return {k: v.astype(np.float32) for k, v in adam.params.items()}
 
 

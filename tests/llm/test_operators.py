@@ -365,3 +365,39 @@ def test_tasks_give_memory_back(monkeypatch):
     assert next(stopped) == 2
     stopped.close()
     assert done == [1, 1]
+
+
+def test_slopes_of_a_window(monkeypatch):
+    """Against differences of the loss, with lanes that end early; softmaxes are taken for all classes at once."""
+    rng = np.random.default_rng(3)
+    shapes = {"X": (lm.CLASSES * lm.SLOTS, 3 * lm.HIDDEN), "U": (lm.HIDDEN, 3 * lm.HIDDEN), "C": (lm.HIDDEN, lm.CLASSES), "bc": (lm.CLASSES,), "S": (lm.CLASSES, lm.HIDDEN, lm.SLOTS), "bs": (lm.CLASSES, lm.SLOTS)}
+    p = {k: rng.normal(0, 0.4, s) for k, s in shapes.items()}
+    units = rng.integers(0, 100, (9, 5))
+    units[6:, 1], units[2:, 3] = -1, -1
+    h = rng.normal(0, 0.5, (5, lm.HIDDEN))
+
+    def loss(p):
+        total, n = 0.0, 0
+        for lane in range(5):
+            some, state = units[units[:, lane] >= 0, lane], h[lane : lane + 1]
+            for unit in some:
+                total -= lm.log_probabilities(p, state, np.array([unit]))[0]
+                state, _ = lm.gru_step(p, state, np.array([unit]))
+            n += len(some)
+        return total / n
+
+    calls, softmax = [], lm._softmax
+    monkeypatch.setattr(lm, "_softmax", lambda x: calls.append(1) or softmax(x))
+    grads, after = lm.window_grads(p, h, units)
+    assert len(calls) == 2
+    state = h[3:4]
+    for unit in units[:2, 3]:
+        state, _ = lm.gru_step(p, state, np.array([unit]))
+    assert after[3] == pytest.approx(state[0], abs=1e-5)
+    top = {k: np.unravel_index(np.argsort(-abs(g).ravel())[:4], g.shape) for k, g in grads.items()}
+    for k, places in top.items():
+        for at in zip(*places, strict=True):
+            up, down = ({**p, k: p[k].copy()} for _ in range(2))
+            up[k][at] += 1e-4
+            down[k][at] -= 1e-4
+            assert grads[k][at] == pytest.approx((loss(up) - loss(down)) / 2e-4, rel=2e-3, abs=1e-5)
