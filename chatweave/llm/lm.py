@@ -173,54 +173,50 @@ def gru_step(p: dict[str, np.ndarray], h: np.ndarray, unit: np.ndarray) -> tuple
     return n + z * (h - n), (h, z, r, n, u[:, 2 * HIDDEN :])
 
 
-def _softmax(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(natural logs, shares) of each row; ``x`` is overwritten."""
+def _log_softmax(x: np.ndarray) -> np.ndarray:
+    """Natural logs of the shares of each row; ``x`` is overwritten."""
     x -= x.max(1, keepdims=True)
-    shares = np.exp(x)
-    total = shares.sum(1, keepdims=True)
-    x -= np.log(total)
-    shares /= total
-    return x, shares
+    x -= np.log(np.exp(x).sum(1, keepdims=True))
+    return x
 
 
 def log_probabilities(p: dict[str, np.ndarray], h: np.ndarray, unit: np.ndarray, grads: dict[str, np.ndarray] | None = None):
     """Natural log probability of each unit after state ``h``; with ``grads`` (filled) also the slope at ``h``
     of minus their mean.
 
-    Rows are sorted by class, so that a class costs a product or two and everything else is done for all rows at once.
+    For the slots rows are sorted by class, so that a class costs a product or two and the rest is done for all rows at once.
     """
-    order = np.argsort(unit // SLOTS, kind="stable")
-    h, k, s = h[order], unit[order] // SLOTS, unit[order] % SLOTS
+    k, s = unit // SLOTS, unit % SLOTS
     rows = np.arange(len(unit))
-    cuts = np.searchsorted(k, np.arange(CLASSES + 1))
+    by_class = _log_softmax(h @ p["C"] + p["bc"])
+    order = np.argsort(k, kind="stable")
+    cuts = np.searchsorted(k[order], np.arange(CLASSES + 1))
     there = np.flatnonzero(np.diff(cuts))
     spans = [(c, slice(cuts[c], cuts[c + 1])) for c in there]
-    by_class, class_shares = _softmax(h @ p["C"] + p["bc"])
-    in_class = p["bs"][k]
+    sorted_h = h[order]
+    slots = p["bs"][k[order]]
     for c, at in spans:
-        in_class[at] += h[at] @ p["S"][c]
-    slots, slot_shares = _softmax(in_class)
-    out = np.empty(len(unit), h.dtype)
-    out[order] = by_class[rows, k] + slots[rows, s]
+        slots[at] += sorted_h[at] @ p["S"][c]
+    slots = _log_softmax(slots)
+    out = by_class[rows, k]
+    out[order] += slots[rows, s[order]]
     if grads is None:
         return out
-    d = class_shares
+    d = np.exp(by_class, out=by_class)
     d[rows, k] -= 1
     d /= len(unit)
     grads["C"], grads["bc"] = h.T @ d, d.sum(0)
     dh = d @ p["C"].T
-    d = slot_shares
-    d[rows, s] -= 1
+    d = np.exp(slots, out=slots)
+    d[rows, s[order]] -= 1
     d /= len(unit)
     grads["S"], grads["bs"] = np.zeros_like(p["S"]), np.zeros_like(p["bs"])
-    if len(there):
-        grads["bs"][there] = np.add.reduceat(d, cuts[there])
+    back = np.empty_like(sorted_h)
     for c, at in spans:
-        grads["S"][c] = h[at].T @ d[at]
-        dh[at] += d[at] @ p["S"][c].T
-    slope = np.empty_like(dh)
-    slope[order] = dh
-    return out, slope
+        grads["S"][c], grads["bs"][c] = sorted_h[at].T @ d[at], d[at].sum(0)
+        back[at] = d[at] @ p["S"][c].T
+    dh[order] += back
+    return out, dh
 
 
 def window_grads(p: dict[str, np.ndarray], h: np.ndarray, units: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
@@ -258,32 +254,36 @@ def window_grads(p: dict[str, np.ndarray], h: np.ndarray, units: np.ndarray) ->
     dout = np.zeros((len(real), HIDDEN), np.float32)
     dout[real] = dflat
     dout = dout.reshape(shape)
-    by_new, by_z, by_r = (1 - z) * (1 - news * news), (states - news) * z * (1 - z), uns * r * (1 - r)
+    not_z, not_r, bend, moved = 1 - z, 1 - r, 1 - news * news, states - news
     inputs, products = np.empty(x.shape, np.float32), np.empty(x.shape, np.float32)
-    back = np.ascontiguousarray(p["U"].T)
     dh = np.zeros_like(h)
     for t in range(len(units) - 1, -1, -1):
         d = dh if full[t] else np.where(present[t][:, None], dh, 0)
         some, du = inputs[t], products[t]
         dn = some[:, 2 * HIDDEN :]
-        np.multiply(d, by_new[t], out=dn)
-        np.multiply(d, by_z[t], out=du[:, :HIDDEN])
-        np.multiply(dn, by_r[t], out=du[:, HIDDEN : 2 * HIDDEN])
+        np.multiply(d, not_z[t], out=dn)
+        dn *= bend[t]
+        dz = np.multiply(d, moved[t], out=du[:, :HIDDEN])
+        dz *= z[t]
+        dz *= not_z[t]
+        dr = np.multiply(dn, uns[t], out=du[:, HIDDEN : 2 * HIDDEN])
+        dr *= r[t]
+        dr *= not_r[t]
         np.multiply(dn, r[t], out=du[:, 2 * HIDDEN :])
-        before = du @ back
+        before = du @ p["U"].T
         before += d * z[t]
         if not full[t]:
             before = np.where(present[t][:, None], before, dh)
         before += dout[t]
         dh = before
     inputs[..., : 2 * HIDDEN] = products[..., : 2 * HIDDEN]
-    grads["U"] = states.reshape(-1, HIDDEN).T @ products.reshape(-1, 3 * HIDDEN)
+    grads["U"] = states[::-1].reshape(-1, HIDDEN).T @ products[::-1].reshape(-1, 3 * HIDDEN)
     # Slopes of the tokens' rows, summed over equal tokens of the window.
-    tokens = np.maximum(units, 0).ravel()
+    tokens = np.maximum(units[::-1], 0).ravel()
     order = np.argsort(tokens, kind="stable")
     firsts = np.flatnonzero(np.diff(tokens[order], prepend=-1))
     grads["X"] = np.zeros_like(p["X"])
-    grads["X"][tokens[order[firsts]]] = np.add.reduceat(inputs.reshape(-1, 3 * HIDDEN)[order], firsts)
+    grads["X"][tokens[order[firsts]]] = np.add.reduceat(inputs[::-1].reshape(-1, 3 * HIDDEN)[order], firsts)
     return grads, h
 
 
@@ -309,7 +309,7 @@ def train_on(p: dict[str, np.ndarray], runs: list[np.ndarray], rate: float) -> d
             units[: len(some), lane] = some
             lanes[lane] = (run, at + WINDOW)
         grads, h = window_grads(adam.params, h, units)
-        norm = np.sqrt(sum(float(np.vdot(g, g)) for g in grads.values()))
+        norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
         adam.step({k: (g / norm).astype(np.float32) for k, g in grads.items()} if norm > 1 else grads)
     return {k: v.astype(np.float32) for k, v in adam.params.items()}
 

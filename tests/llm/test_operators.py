@@ -386,8 +386,8 @@ def test_slopes_of_a_window(monkeypatch):
             n += len(some)
         return total / n
 
-    calls, softmax = [], lm._softmax
-    monkeypatch.setattr(lm, "_softmax", lambda x: calls.append(1) or softmax(x))
+    calls, softmax = [], lm._log_softmax
+    monkeypatch.setattr(lm, "_log_softmax", lambda x: calls.append(1) or softmax(x))
     grads, after = lm.window_grads(p, h, units)
     assert len(calls) == 2
     state = h[3:4]
