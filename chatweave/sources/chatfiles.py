@@ -11,6 +11,7 @@ Rows of a message stream through the writer, so a message of any length takes th
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -26,6 +27,8 @@ from chatweave.sources.lines import open_system, plain_folder, split_lines, spre
 SUFFIXES = {"json": "jsonl", "markdown": "md", "plain": "txt"}
 COMMIT = "_committed-"
 INDEX_END = ".index"
+#: After a job failed: looks that must find nothing more of it, seconds between them, and seconds in all.
+ABORT_LOOKS, ABORT_PAUSE, ABORT_SECONDS = 4, 0.25, 30.0
 
 
 class MessageText:
@@ -129,7 +132,14 @@ class ChatFilesWriter(DataSourceWriter):
             system.delete_file(f"{inner}/{name}")
 
     def abort(self, messages: list[Written | None]) -> None:
-        _delete(self.folder, [name for m in messages if m is not None for name in m.files])
+        """Deletes what the job's tasks wrote. ``messages`` tell nothing of tasks that Spark kills: these may have
+        written and may still write, so the folder is looked at until nothing new has come for a while."""
+        quiet, until = 0, time.monotonic() + ABORT_SECONDS
+        while quiet < ABORT_LOOKS and time.monotonic() < until:
+            found = _of_job(self.folder, self.job)
+            _delete(self.folder, found)
+            quiet = 0 if found else quiet + 1
+            time.sleep(ABORT_PAUSE)
 
 
 class ChatFiles(DataSource):
@@ -155,7 +165,21 @@ def _delete(folder: str, names: list[str]) -> None:
     for name in names:
         for path in (f"{inner}/{name}", f"{inner}/{name}{INDEX_END}"):
             if system.get_file_info(path).type == fs.FileType.File:
-                system.delete_file(path)
+                try:
+                    system.delete_file(path)
+                except FileNotFoundError:  # the task that wrote it was faster
+                    pass
+
+
+def _of_job(folder: str, job: str) -> list[str]:
+    """Files that tasks of a job wrote into a folder, indexes aside."""
+    from pyarrow import fs
+
+    system, inner = open_system(folder)
+    if system.get_file_info(inner).type != fs.FileType.Directory:
+        return []
+    names = {i.base_name for i in system.get_file_info(fs.FileSelector(inner)) if i.base_name.startswith(f"{job}-")}
+    return sorted({name.removesuffix(INDEX_END) for name in names})
 
 
 def _records(folder: str) -> list[tuple[str, dict]]:

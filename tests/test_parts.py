@@ -12,6 +12,7 @@ from chatweave.operators.markdown import transcript_lines
 from chatweave.operators.parse import MESSAGE_COLUMNS, parse_messages
 from chatweave.operators.parts import WRITER_COLUMNS, json_rows, markdown_rows, parse_parts, whole_messages
 from chatweave.plans.jobs import JobOptions, publish_parts, write_conversation_parts, write_transcripts
+from chatweave.sources import chatfiles
 from chatweave.sources.chatfiles import chat_index, pieces, read_chat_files, write_chat_files
 
 CHAT = "\n".join([
@@ -119,6 +120,21 @@ def test_a_failed_task_leaves_nothing(spark, tmp_path):
     assert set(written(spark, tmp_path / "f")) == {f"chat0000{i}" for i in range(3)}
 
 
+def test_an_aborted_job_deletes_files_of_killed_tasks(tmp_path, monkeypatch):
+    """Also those that nothing told of, and those that come while it looks; other jobs' files stay."""
+    writer = chatfiles.ChatFilesWriter(str(tmp_path), "markdown", False)
+    names = [f"{writer.job}-00000{i}-7.md" for i in range(3)]
+    for name in (*names[:2], "other-000000-7.md"):
+        (tmp_path / name).write_text("x")
+        (tmp_path / f"{name}.index").write_text("{}")
+    (tmp_path / f"{names[1]}.index").unlink()
+    late = iter([lambda: (tmp_path / names[2]).write_text("late")])
+    monkeypatch.setattr(chatfiles.time, "sleep", lambda _: next(late, lambda: None)())
+    writer.abort([chatfiles.Written(names[:1]), None, None])
+    assert sorted(os.listdir(tmp_path)) == ["other-000000-7.md", "other-000000-7.md.index"]
+    chatfiles.ChatFilesWriter(str(tmp_path / "none"), "markdown", False).abort([])
+
+
 def test_writer_rows_of_messages(spark, lines_of):
     messages = parse_messages(lines_of({"c": CHAT}), tz_offset="+00:00")
     assert set(MESSAGE_COLUMNS) == set(messages.columns)
