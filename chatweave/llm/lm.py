@@ -27,7 +27,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chatweave.llm.common import fold, hash_block, release, ship_package, store
-from chatweave.llm.fitting import Adam
 
 END = np.uint64(0x5851F42D4C957F2D)
 END_ENDING = -1
@@ -45,10 +44,14 @@ WINDOW = 32
 LANES = 64
 SPANS_PER_TRAINER = 4000
 ROUNDS = 2
-#: Tokens and documents scored side by side.
+#: Tokens and documents scored side by side, of tokens that are held for it.
 CHUNK_BYTES = 3 << 20
+SCORED_TOKENS = 1 << 21
 SCORED_LANES = 256
 SCORED_WINDOW = 64
+#: Rows and numbers that are worked on together, so that they stay in the cache.
+CACHED_ROWS = 480
+STEP_NUMBERS = 1 << 14
 LN10 = np.log(10)
 
 # --- tokens and counts ------------------------------------------------------------------------
@@ -174,9 +177,12 @@ def gru_step(p: dict[str, np.ndarray], h: np.ndarray, unit: np.ndarray) -> tuple
 
 
 def _log_softmax(x: np.ndarray) -> np.ndarray:
-    """Natural logs of the shares of each row; ``x`` is overwritten."""
-    x -= x.max(1, keepdims=True)
-    x -= np.log(np.exp(x).sum(1, keepdims=True))
+    """Natural logs of the shares of each row; ``x`` is overwritten, some rows at a time, which stay in the cache."""
+    raised = np.empty((min(len(x), CACHED_ROWS), x.shape[1]), x.dtype)
+    for at in range(0, len(x), CACHED_ROWS):
+        some = x[at : at + CACHED_ROWS]
+        some -= some.max(1, keepdims=True)
+        some -= np.log(np.exp(some, out=raised[: len(some)]).sum(1, keepdims=True))
     return x
 
 
@@ -188,17 +194,26 @@ def log_probabilities(p: dict[str, np.ndarray], h: np.ndarray, unit: np.ndarray,
     """
     k, s = unit // SLOTS, unit % SLOTS
     rows = np.arange(len(unit))
-    by_class = _log_softmax(h @ p["C"] + p["bc"])
-    order = np.argsort(k, kind="stable")
-    cuts = np.searchsorted(k[order], np.arange(CLASSES + 1))
-    there = np.flatnonzero(np.diff(cuts))
-    spans = [(c, slice(cuts[c], cuts[c + 1])) for c in there]
-    sorted_h = h[order]
-    slots = p["bs"][k[order]]
+    if grads is None:  # the chosen class is all that is needed: no table of all rows
+        out = np.empty(len(unit), np.result_type(h, p["C"], p["bc"]))
+        for at in range(0, len(unit), CACHED_ROWS):
+            some = h[at : at + CACHED_ROWS] @ p["C"]
+            some += p["bc"]
+            out[at : at + CACHED_ROWS] = _log_softmax(some)[rows[: len(some)], k[at : at + CACHED_ROWS]]
+    else:
+        by_class = h @ p["C"]
+        by_class += p["bc"]
+        by_class = _log_softmax(by_class)
+        out = by_class[rows, k]
+    order = np.argsort(k.astype(np.int16), kind="stable")
+    cuts = np.concatenate(([0], np.cumsum(np.bincount(k, minlength=CLASSES)))).tolist()
+    spans = [(c, slice(cuts[c], cuts[c + 1])) for c in range(CLASSES) if cuts[c] < cuts[c + 1]]
+    sorted_h = np.take(h, order, axis=0)
+    slots = np.take(p["bs"], k[order], axis=0)
     for c, at in spans:
-        slots[at] += sorted_h[at] @ p["S"][c]
+        some = slots[at]
+        some += sorted_h[at] @ p["S"][c]
     slots = _log_softmax(slots)
-    out = by_class[rows, k]
     out[order] += slots[rows, s[order]]
     if grads is None:
         return out
@@ -210,81 +225,157 @@ def log_probabilities(p: dict[str, np.ndarray], h: np.ndarray, unit: np.ndarray,
     d = np.exp(slots, out=slots)
     d[rows, s[order]] -= 1
     d /= len(unit)
-    grads["S"], grads["bs"] = np.zeros_like(p["S"]), np.zeros_like(p["bs"])
-    back = np.empty_like(sorted_h)
+    to_slots, to_bias = grads["S"], grads["bs"] = np.zeros_like(p["S"]), np.zeros_like(p["bs"])
+    back, turned = np.empty_like(sorted_h), p["S"].transpose(0, 2, 1)
     for c, at in spans:
-        grads["S"][c], grads["bs"][c] = sorted_h[at].T @ d[at], d[at].sum(0)
-        back[at] = d[at] @ p["S"][c].T
-    dh[order] += back
+        some = d[at]
+        np.matmul(sorted_h[at].T, some, out=to_slots[c])
+        np.add.reduce(some, axis=0, out=to_bias[c])
+        np.matmul(some, turned[c], out=back[at])
+    place = np.empty_like(order)
+    place[order] = rows
+    dh += np.take(back, place, axis=0)
     return out, dh
 
 
-def window_grads(p: dict[str, np.ndarray], h: np.ndarray, units: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """Slopes of the mean loss over one window (steps x lanes, -1: no token) and the state after it.
+def unroll(p: dict[str, np.ndarray], h: np.ndarray, units: np.ndarray, begins: np.ndarray | None = None, keep: bool = False):
+    """States before each step of a window (steps x lanes, -1: no token, the state stays) and after the last one.
 
-    What does not depend on the step before is computed for the whole window at once.
+    At ``begins`` a lane starts at zero. With ``keep`` also the gates, the proposed states and what the state gave
+    to them, else None. Steps write into arrays that are there already.
     """
+    steps, lanes = units.shape
+    two = 2 * HIDDEN
+    kind, kept = np.result_type(h, p["U"]), steps if keep else 1
+    minus, own = -p["X"][:, :two], np.ascontiguousarray(p["X"][:, two:])
     present = units >= 0
-    full = present.all(1)
-    shape = (*units.shape, HIDDEN)
-    x = p["X"][np.maximum(units, 0)]
-    states, gates, news, uns = np.empty(shape, np.float32), np.empty((*units.shape, 2 * HIDDEN), np.float32), np.empty(shape, np.float32), np.empty(shape, np.float32)
-    for t in range(len(units)):
-        states[t] = h
-        u = h @ p["U"]
-        g = gates[t]
-        np.add(x[t, :, : 2 * HIDDEN], u[:, : 2 * HIDDEN], out=g)
-        np.negative(g, out=g)
+    full, tokens = present.all(1).tolist(), np.maximum(units, 0)
+    states = np.empty((steps + 1, lanes, HIDDEN), kind)
+    z, r, news, uns = (np.empty((kept, lanes, HIDDEN), kind) for _ in range(4))
+    u, g, some = (np.empty((lanes, n * HIDDEN), kind) for n in (3, 2, 1))
+    states[0] = h
+    for t in range(steps):
+        now, after, at = states[t], states[t + 1], t if keep else 0
+        if begins is not None and begins[t].any():
+            now[begins[t]] = 0
+        n, un = news[at], uns[at]
+        np.matmul(now, p["U"], out=u)
+        np.subtract(np.take(minus, tokens[t], axis=0), u[:, :two], out=g)  # minus the sums
         np.exp(g, out=g)
         g += 1
         np.reciprocal(g, out=g)
-        uns[t] = u[:, 2 * HIDDEN :]
-        n = news[t]
-        np.multiply(g[:, HIDDEN:], uns[t], out=n)
-        n += x[t, :, 2 * HIDDEN :]
+        np.copyto(z[at], g[:, :HIDDEN])
+        np.copyto(r[at], g[:, HIDDEN:])
+        np.copyto(un, u[:, two:])
+        np.multiply(r[at], un, out=n)
+        n += np.take(own, tokens[t], axis=0)
         np.tanh(n, out=n)
-        new = h - n
-        new *= g[:, :HIDDEN]
-        new += n
-        h = new if full[t] else np.where(present[t][:, None], new, h)
-    z, r = gates[..., :HIDDEN], gates[..., HIDDEN:]
-    real = present.ravel()
+        np.subtract(now, n, out=some)
+        some *= z[at]
+        np.add(some, n, out=after)
+        if not full[t]:
+            np.copyto(after, now, where=~present[t][:, None])
+    return states, (z, r, news, uns) if keep else None
+
+
+def window_grads(p: dict[str, np.ndarray], h: np.ndarray, units: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Slopes of the mean loss over one window (steps x lanes, -1: no token) and the state after it.
+
+    What does not depend on the step before is computed for the whole window at once. Slopes lie in the
+    order of the way back, the last step first.
+    """
+    steps, lanes = units.shape
+    two = 2 * HIDDEN
+    present = units >= 0
+    full, real = present.all(1).tolist(), present.ravel()
+    states, (z, r, news, uns) = unroll(p, h, units, keep=True)
+    after, states = states[-1], states[:-1]
+    kind = states.dtype
+    flat_states, flat_units = states.reshape(-1, HIDDEN), units.ravel()
     grads: dict[str, np.ndarray] = {}
-    _, dflat = log_probabilities(p, states.reshape(-1, HIDDEN)[real], units.ravel()[real], grads)
-    dout = np.zeros((len(real), HIDDEN), np.float32)
-    dout[real] = dflat
-    dout = dout.reshape(shape)
-    not_z, not_r, bend, moved = 1 - z, 1 - r, 1 - news * news, states - news
-    inputs, products = np.empty(x.shape, np.float32), np.empty(x.shape, np.float32)
-    dh = np.zeros_like(h)
-    for t in range(len(units) - 1, -1, -1):
-        d = dh if full[t] else np.where(present[t][:, None], dh, 0)
-        some, du = inputs[t], products[t]
-        dn = some[:, 2 * HIDDEN :]
-        np.multiply(d, not_z[t], out=dn)
-        dn *= bend[t]
-        dz = np.multiply(d, moved[t], out=du[:, :HIDDEN])
-        dz *= z[t]
-        dz *= not_z[t]
-        dr = np.multiply(dn, uns[t], out=du[:, HIDDEN : 2 * HIDDEN])
-        dr *= r[t]
-        dr *= not_r[t]
-        np.multiply(dn, r[t], out=du[:, 2 * HIDDEN :])
-        before = du @ p["U"].T
-        before += d * z[t]
+    if all(full):
+        _, dout = log_probabilities(p, flat_states, flat_units, grads)
+    else:
+        dout = np.zeros((len(real), HIDDEN), kind)
+        _, dout[real] = log_probabilities(p, flat_states[real], flat_units[real], grads)
+    dout = dout.reshape(states.shape)
+    # Slopes of the tokens' rows come to lie by token, to be summed over equal ones.
+    tokens = np.maximum(units[::-1], 0).ravel().astype(np.int16)
+    order = np.argsort(tokens, kind="stable")
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
+    place = place.reshape(units.shape)
+    inputs, products = np.empty((len(order), 3 * HIDDEN), kind), np.empty((steps, lanes, 3 * HIDDEN), kind)
+    row = np.empty((lanes, 3 * HIDDEN), kind)
+    some, other, dn, dh = (np.zeros((lanes, HIDDEN), kind) for _ in range(4))
+    turned = p["U"].T
+    for t in range(steps - 1, -1, -1):
+        d, n = dh if full[t] else np.where(present[t][:, None], dh, 0), news[t]
+        np.subtract(1, z[t], out=other)
+        np.multiply(d, other, out=dn)
+        np.subtract(states[t], n, out=some)
+        some *= d
+        some *= z[t]
+        np.multiply(some, other, out=row[:, :HIDDEN])
+        np.multiply(n, n, out=some)
+        np.subtract(1, some, out=some)
+        dn *= some
+        np.subtract(1, r[t], out=other)
+        np.multiply(dn, uns[t], out=some)
+        some *= r[t]
+        np.multiply(some, other, out=row[:, HIDDEN:two])
+        np.copyto(row[:, two:], dn)
+        inputs[place[steps - 1 - t]] = row
+        np.multiply(dn, r[t], out=row[:, two:])
+        products[steps - 1 - t] = row
+        before = row @ turned
+        before += np.multiply(d, z[t], out=some)
         if not full[t]:
             before = np.where(present[t][:, None], before, dh)
         before += dout[t]
         dh = before
-    inputs[..., : 2 * HIDDEN] = products[..., : 2 * HIDDEN]
-    grads["U"] = states[::-1].reshape(-1, HIDDEN).T @ products[::-1].reshape(-1, 3 * HIDDEN)
-    # Slopes of the tokens' rows, summed over equal tokens of the window.
-    tokens = np.maximum(units[::-1], 0).ravel()
-    order = np.argsort(tokens, kind="stable")
-    firsts = np.flatnonzero(np.diff(tokens[order], prepend=-1))
+    grads["U"] = states[::-1].reshape(-1, HIDDEN).T @ products.reshape(-1, 3 * HIDDEN)
+    tokens = tokens[order]
+    firsts = np.flatnonzero(np.diff(tokens, prepend=-1))
     grads["X"] = np.zeros_like(p["X"])
-    grads["X"][tokens[order[firsts]]] = np.add.reduceat(inputs[::-1].reshape(-1, 3 * HIDDEN)[order], firsts)
-    return grads, h
+    grads["X"][tokens[firsts]] = np.add.reduceat(inputs, firsts)
+    return grads, after
+
+
+class Steps:
+    """Adam's steps, as ``Adam`` takes them, on single-precision arrays of its own, changed in place and some numbers at a time."""
+
+    def __init__(self, params: dict[str, np.ndarray], rate: float) -> None:
+        self.params, self.rate, self.t = {k: v.astype(np.float32) for k, v in params.items()}, rate, 0
+        self.parts = [
+            (k, slice(at, at + STEP_NUMBERS), self.params[k].reshape(-1)[at : at + STEP_NUMBERS])
+            for k, v in params.items() for at in range(0, v.size, STEP_NUMBERS)
+        ]
+        self.moments = [(np.zeros_like(some), np.zeros_like(some)) for _, _, some in self.parts]
+        self.scratch = np.empty((2, STEP_NUMBERS), np.float32)
+
+    def step(self, grads: dict[str, np.ndarray], norm: float | np.floating = 1.0) -> None:
+        """One step down ``grads``, divided by ``norm`` if that is above 1."""
+        self.t += 1
+        first, second = 1 - 0.9**self.t, 1 - 0.999**self.t
+        for (k, at, param), (m, v) in zip(self.parts, self.moments, strict=True):
+            g = grads[k].reshape(-1)[at]
+            a, b = self.scratch[:, : len(g)]
+            if norm > 1:
+                g = (g / norm).astype(np.float32)
+            m *= 0.9
+            m += np.multiply(g, 0.1, out=a)
+            v *= 0.999
+            np.multiply(g, 0.001, out=a)
+            a *= g
+            v += a
+            np.divide(v, second, out=b)
+            np.sqrt(b, out=b)
+            b += 1e-8
+            np.divide(m, first, out=a)
+            a *= self.rate
+            a /= b
+            param -= a
 
 
 def train_on(p: dict[str, np.ndarray], runs: list[np.ndarray], rate: float) -> dict[str, np.ndarray]:
@@ -293,7 +384,7 @@ def train_on(p: dict[str, np.ndarray], runs: list[np.ndarray], rate: float) -> d
     The state is carried from window to window to the end of a run. Then its lane takes the next one, so
     that long runs do not leave the other lanes empty.
     """
-    adam = Adam(dict(p), rate)
+    adam = Steps(p, rate)
     lanes: list[tuple[np.ndarray, int]] = []  # a run and how much of it is done
     h = np.zeros((0, HIDDEN), np.float32)
     following = iter(runs)
@@ -310,8 +401,8 @@ def train_on(p: dict[str, np.ndarray], runs: list[np.ndarray], rate: float) -> d
             lanes[lane] = (run, at + WINDOW)
         grads, h = window_grads(adam.params, h, units)
         norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
-        adam.step({k: (g / norm).astype(np.float32) for k, g in grads.items()} if norm > 1 else grads)
-    return {k: v.astype(np.float32) for k, v in adam.params.items()}
+        adam.step(grads, norm)
+    return adam.params
 
 
 def flat(p: dict[str, np.ndarray]) -> np.ndarray:
@@ -396,8 +487,8 @@ def log_likelihoods(p: dict[str, np.ndarray], docs: list[np.ndarray]) -> np.ndar
     out = np.zeros(len(docs))
     plan = lane_plan(np.array([len(d) for d in docs]), SCORED_LANES)
     steps = max(sum(len(docs[i]) for i in lane) for lane in plan)
-    units = np.full((steps, len(plan)), -1)
-    owner = np.zeros((steps, len(plan)), np.int64)
+    units = np.full((steps, len(plan)), -1, np.int16)
+    owner = np.zeros((steps, len(plan)), np.int32)
     begins = np.zeros((steps, len(plan)), bool)
     for lane, some in enumerate(plan):
         at = 0
@@ -409,12 +500,8 @@ def log_likelihoods(p: dict[str, np.ndarray], docs: list[np.ndarray]) -> np.ndar
     h = np.zeros((len(plan), HIDDEN), np.float32)
     for t in range(0, steps, SCORED_WINDOW):
         window = units[t : t + SCORED_WINDOW]
-        states = np.empty((*window.shape, HIDDEN), np.float32)
-        for j, unit in enumerate(window):
-            if begins[t + j].any():
-                h[begins[t + j]] = 0
-            states[j] = h
-            h, _ = gru_step(p, h, np.maximum(unit, 0))
+        states, _ = unroll(p, h, window, begins[t : t + SCORED_WINDOW])
+        states, h = states[:-1], states[-1]
         real = window >= 0
         got = log_probabilities(p, states[real], window[real])
         out += np.bincount(owner[t : t + SCORED_WINDOW][real], got, minlength=len(docs))
@@ -426,41 +513,64 @@ PARTIAL_SCHEMA = (
 )
 
 
-def partial_scores(docs: DataFrame, vocab: Vocabulary, params: dict[str, np.ndarray]) -> DataFrame:
-    """One row per document: sums over tokens whose counts the task holds, and the other tokens with numbers."""
+def scored_rows(batches: Iterator[pd.DataFrame], vocab: Vocabulary, params: dict[str, np.ndarray], row: int) -> Iterator[pd.DataFrame]:
+    """``PARTIAL_SCHEMA`` of batches of (doc_id, text), rows numbered from ``row``.
+
+    Documents are held as units until there are ``SCORED_TOKENS``, so that many are scored beside a long one.
+    """
     names = [c.split(" ")[0] for c in PARTIAL_SCHEMA.split(", ")]
     log_counts = np.log10(vocab.frequent_counts + 0.5)
+    held: list[tuple[list[np.ndarray], np.ndarray, pd.DataFrame]] = []
+
+    def scored() -> Iterator[pd.DataFrame]:
+        model, at = log_likelihoods(params, [doc for docs, _, _ in held for doc in docs]) / LN10, 0
+        for docs, inside, frame in held:
+            yield frame.assign(model=model[at : at + len(docs)] + inside)[names].astype({"doc_id": "Int64"})
+            at += len(docs)
+        held.clear()
+
+    size = 0
+    for batch in batches:
+        ids = batch["doc_id"].astype("Int64")
+        for first, owner, hashes, endings in token_chunks(batch["text"]):
+            n = int(owner[-1]) + 1
+            units = vocab.units(hashes, endings)
+            cuts = np.flatnonzero(np.diff(owner)) + 1
+            # Inside slot 0: the word's smoothed count over the class's; END is never there if it was seen.
+            in_rest = units % SLOTS == 0
+            inside = -np.bincount(owner[in_rest], vocab.log_rest[units[in_rest] // SLOTS], minlength=n)
+            at = np.zeros(len(hashes), np.int64)
+            there = np.zeros(len(hashes), bool)
+            if len(vocab.frequent):
+                at = np.searchsorted(vocab.frequent, hashes)
+                at[at == len(vocab.frequent)] = 0
+                there = vocab.frequent[at] == hashes
+            base = np.bincount(owner[there], log_counts[at[there]], minlength=n)
+            rest_there = there & in_rest
+            inside += np.bincount(owner[rest_there], log_counts[at[rest_there]], minlength=n)
+            known, tokens = np.bincount(owner[there], minlength=n), np.bincount(owner, minlength=n)
+            rare, rare_of = hashes[~there].view(np.int64), owner[~there]
+            split = np.searchsorted(rare_of, np.arange(1, n))
+            counted = [np.unique(some, return_counts=True) for some in np.split(rare, split)]
+            frame = pd.DataFrame({
+                "row": np.arange(row, row + n), "doc_id": ids.iloc[first : first + n].to_numpy(object), "n_tokens": tokens, "known": known,
+                "base": base, "rare": [h for h, _ in counted], "rare_n": [times.astype(np.int32) for _, times in counted],
+            })
+            row += n
+            held.append((np.split(units.astype(np.int16), cuts), inside, frame))
+            size += len(units)
+            if size >= SCORED_TOKENS:
+                yield from scored()
+                size = 0
+    if held:
+        yield from scored()
+
+
+def partial_scores(docs: DataFrame, vocab: Vocabulary, params: dict[str, np.ndarray]) -> DataFrame:
+    """One row per document: sums over tokens whose counts the task holds, and the other tokens with numbers."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        row = TaskContext.get().partitionId() << 33
-        for batch in batches:
-            ids = batch["doc_id"].astype("Int64")
-            rows = []
-            for first, owner, hashes, endings in token_chunks(batch["text"]):
-                n = int(owner[-1]) + 1
-                units = vocab.units(hashes, endings)
-                cuts = np.flatnonzero(np.diff(owner)) + 1
-                model = log_likelihoods(params, np.split(units, cuts)) / LN10
-                # Inside slot 0: the word's smoothed count over the class's; END is never there if it was seen.
-                in_rest = units % SLOTS == 0
-                model -= np.bincount(owner[in_rest], vocab.log_rest[units[in_rest] // SLOTS], minlength=n)
-                at = np.zeros(len(hashes), np.int64)
-                held = np.zeros(len(hashes), bool)
-                if len(vocab.frequent):
-                    at = np.searchsorted(vocab.frequent, hashes)
-                    at[at == len(vocab.frequent)] = 0
-                    held = vocab.frequent[at] == hashes
-                base = np.bincount(owner[held], log_counts[at[held]], minlength=n)
-                rest_held = held & in_rest
-                model += np.bincount(owner[rest_held], log_counts[at[rest_held]], minlength=n)
-                known, tokens = np.bincount(owner[held], minlength=n), np.bincount(owner, minlength=n)
-                rare, rare_of = hashes[~held].view(np.int64), owner[~held]
-                split = np.searchsorted(rare_of, np.arange(1, n))
-                for i, some in enumerate(np.split(rare, split)):
-                    h, times = np.unique(some, return_counts=True)
-                    rows.append((row, ids.iloc[first + i], tokens[i], known[i], base[i], model[i], h, times))
-                    row += 1
-            yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
+        yield from scored_rows(batches, vocab, params, TaskContext.get().partitionId() << 33)
 
     return docs.select("doc_id", "text").mapInPandas(run, PARTIAL_SCHEMA)
 

@@ -367,6 +367,66 @@ def test_tasks_give_memory_back(monkeypatch):
     assert done == [1, 1]
 
 
+def small_model(docs):
+    counts = lm.token_counts(docs)
+    vocab = lm.vocabulary(counts)
+    params = lm.start_params(vocab)
+    rng = np.random.default_rng(1)
+    return vocab, {k: (v + rng.normal(0, 0.1, v.shape)).astype(np.float32) for k, v in params.items()}
+
+
+def test_documents_of_many_batches_are_scored_side_by_side(odd_docs, monkeypatch):
+    """One pass for all batches, so a long document does not run beside those of its own batch alone."""
+    import pandas as pd
+
+    vocab, params = small_model(odd_docs)
+    texts = ["a b c the " * 900, "", None, "Only words", "x " * 300] * 3
+    batches = [pd.DataFrame({"doc_id": [i], "text": [t]}) for i, t in enumerate(texts)]
+    alone = pd.concat([f for k, b in enumerate(batches) for f in lm.scored_rows(iter([b]), vocab, params, k)])
+    calls, scored = [], lm.log_likelihoods
+    monkeypatch.setattr(lm, "log_likelihoods", lambda p, docs: calls.append(len(docs)) or scored(p, docs))
+    together = pd.concat(lm.scored_rows(iter(batches), vocab, params, 0))
+    assert calls == [len(texts)]
+    assert together["row"].tolist() == together["doc_id"].tolist() == list(range(len(texts)))
+    for c in ("n_tokens", "known", "base", "model"):
+        assert together[c].tolist() == pytest.approx(alone[c].tolist(), rel=1e-6)
+    monkeypatch.setattr(lm, "SCORED_TOKENS", 3000)
+    calls.clear()
+    cut = pd.concat(lm.scored_rows(iter(batches), vocab, params, 0))
+    assert calls == [1, 5, 5, 4]
+    assert cut["model"].tolist() == pytest.approx(together["model"].tolist(), rel=1e-6)
+
+
+def test_a_window_unrolled_is_its_steps(odd_docs):
+    _, p = small_model(odd_docs)
+    rng = np.random.default_rng(5)
+    units, h = rng.integers(0, 1000, (12, 7)), rng.normal(0, 0.5, (7, lm.HIDDEN)).astype(np.float32)
+    units[9:, 2], begins = -1, np.zeros((12, 7), bool)
+    begins[4, 5] = True
+    states, _ = lm.unroll(p, h, units, begins)
+    for t, row in enumerate(units):
+        h[begins[t]] = 0
+        assert states[t] == pytest.approx(h, abs=1e-6)
+        h = np.where((row >= 0)[:, None], lm.gru_step(p, h, np.maximum(row, 0))[0], h)
+    assert states[-1] == pytest.approx(h, abs=1e-6)
+
+
+def test_steps_in_place_are_adams(monkeypatch):
+    """Bit for bit, whatever the parts; what was given stays as it was."""
+    from chatweave.llm.fitting import Adam
+
+    rng = np.random.default_rng(2)
+    given = {"a": rng.normal(size=(40, 9)).astype(np.float32), "b": rng.normal(size=7).astype(np.float32)}
+    before = {k: v.copy() for k, v in given.items()}
+    monkeypatch.setattr(lm, "STEP_NUMBERS", 100)
+    one, other = Adam(dict(given), 0.01), lm.Steps(given, 0.01)
+    for norm in (0.5, np.float64(3.7), 1.0, np.float64(11.0)):
+        grads = {k: rng.normal(size=v.shape).astype(np.float32) for k, v in given.items()}
+        one.step({k: (g / norm).astype(np.float32) if norm > 1 else g for k, g in grads.items()})
+        other.step(grads, norm)
+    assert all(np.array_equal(one.params[k], other.params[k]) and np.array_equal(given[k], before[k]) for k in given)
+
+
 def test_slopes_of_a_window(monkeypatch):
     """Against differences of the loss, with lanes that end early; softmaxes are taken for all classes at once."""
     rng = np.random.default_rng(3)
